@@ -26,9 +26,9 @@ WITH split AS (
 judged AS (
   SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
     CASE {fits} END AS rule,
-    CASE {globs} END AS glob
+    CASE {globs} END AS pattern
   FROM split)
-SELECT *, CASE rule {actions} ELSE CASE WHEN glob IS NULL THEN 'allow' ELSE 'block' END END AS verdict FROM judged"""
+SELECT *, CASE rule {actions} ELSE CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END END AS verdict FROM judged"""
 
 
 QUERIES = {"op2_url_filters": op2_url_filters}

@@ -111,7 +111,7 @@ _LOWER = {k: k + 32 for k in range(65, 91)}
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], blocked: Sequence[str] = BLOCKED, key: str = "page_id", url: str = "url") -> DataFrame:
-    """(key, host, path, rule, verdict, glob) per row: the longest fitting rule decides, else the first fitting glob blocks,
+    """(key, host, path, rule, verdict, pattern) per row: the longest fitting rule decides, else the first fitting glob blocks,
     else the URL is allowed."""
     rules = sorted(rules, key=lambda r: (-len(r.name), r.name))
     globs = [g for r in rules for g in r.globs] + list(blocked)
@@ -131,7 +131,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], blocked: Sequence[str] = BLOC
                     names.append(rule.name if rule else None)
                     hits.append(hit)
                     verdicts.append(rule.action if rule else "block" if hit else "allow")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 4096), *(pa.array(x, pa.string()) for x in ([h for h, _ in split], [p for _, p in split], names, verdicts, hits))], [key, "host", "path", "rule", "verdict", "glob"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 4096), *(pa.array(x, pa.string()) for x in ([h for h, _ in split], [p for _, p in split], names, verdicts, hits))], [key, "host", "path", "rule", "verdict", "pattern"])
 
-    return pages.select(F.col(key).cast("long").alias(key), F.col(url).alias(url)).mapInArrow(run, f"`{key}` long, host string, path string, rule string, verdict string, glob string")
+    return pages.select(F.col(key).cast("long").alias(key), F.col(url).alias(url)).mapInArrow(run, f"`{key}` long, host string, path string, rule string, verdict string, pattern string")
 
