@@ -33,10 +33,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def words(text: Column) -> Column:
-    """The words of a text as an array; empty for null or blank texts."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+def words(text: Column, gap: str = SPACE) -> Column:
+    """The words of a text between matches of ``gap``, as an array; empty for null or blank texts."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A{gap}", "")
+    found = F.split(trimmed, gap)
+    # A gap at the end leaves one empty string there.
+    return F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
 
 
 def word_count(text: Column) -> Column:

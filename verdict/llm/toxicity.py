@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 
 from verdict.llm.training import held_out, training_rows
 
-#: Terms of fewer letters than FUZZY_FROM must match exactly; a lexicon has at most MAX_TERMS terms.
-FUZZY_FROM, MAX_TERMS, WINDOW, MAX_ROWS = 5, 400, 6, 6_000
+#: Words of fewer letters than FUZZY_FROM, stems of fewer than STEM_FUZZY_FROM and terms that are not pure must match
+#: exactly; a lexicon has at most MAX_TERMS terms.
+FUZZY_FROM, STEM_FUZZY_FROM, MAX_TERMS, WINDOW, MAX_ROWS = 5, 7, 400, 6, 6_000
+#: The least share of label 1 among the documents that hold a stem, for one that is not pure.
+MIXED = 0.35
 TOKEN = re.compile(r"[^\W_]+")
 #: Letters that digits stand for in disguised words.
 LEET = dict(zip("013457", "oieast"))
@@ -40,6 +43,11 @@ ADDRESS = frozenset("you your yours u ur du dich dein ihr tu toi vous tú usted
 class Term(NamedTuple):
     text: str
     stem: bool  # also fits words that go on after it
+    pure: bool = True  # else documents of label 0 hold it too, though less often
+
+    @property
+    def edits(self) -> int:
+        return int(self.pure and len(self.text) >= (STEM_FUZZY_FROM if self.stem else FUZZY_FROM))
 
 
 class Automaton:
@@ -55,7 +63,7 @@ class Automaton:
         ends: list[list[int]] = [[]]
         allowed = [0]
         for k, term in enumerate(self.terms):
-            own, node = edits if len(term.text) >= FUZZY_FROM else 0, 0
+            own, node = min(edits, term.edits), 0
             for c in term.text:
                 allowed[node] = max(allowed[node], own)
                 if c not in children[node]:
@@ -80,7 +88,7 @@ class Automaton:
             return frozenset(found.items())
 
         def verdict(state: frozenset[tuple[int, int]]) -> tuple[int, int, bool]:
-            hits = [(e, -len(self.terms[k].text), k) for node, e in state for k in ends[node] if e <= (edits if len(self.terms[k].text) >= FUZZY_FROM else 0)]
+            hits = [(e, -len(self.terms[k].text), k) for node, e in state for k in ends[node] if e <= min(edits, self.terms[k].edits)]
             if not hits:
                 return -1, 0, False
             e, _, k = min(hits)
@@ -193,25 +201,28 @@ class Model(NamedTuple):
                 yield k, out
 
     def scores(self, texts: Sequence[str | None], slice_chars: int = 1_000_000) -> np.ndarray:
-        out, start = np.full(len(texts), logistic(self.layer, [0.0] * 4)), 0
+        out, start = np.full(len(texts), logistic(self.layer, [0.0] * 5)), 0
         while start < len(texts):
             stop, total = start, 0
             while stop < len(texts) and (stop == start or total + len(texts[stop] or "") <= slice_chars):
                 total += len(texts[stop] or "")
                 stop += 1
             for k, found in self.hits(texts[start:stop]):
-                out[start + k] = logistic(self.layer, inputs(found))
+                out[start + k] = logistic(self.layer, inputs(found, self.automaton.terms))
             start = stop
         return out
 
 
-def inputs(hits: Iterable[Hit]) -> list[float]:
-    hits = list(hits)
+def inputs(hits: Iterable[Hit], terms: Sequence[Term]) -> list[float]:
+    """Plain hits of pure terms, the same with an edit, quoted ones, distinct terms, and hits of terms that are not pure."""
+    plain = [h for h in hits if not h.quoted]
+    pure = [h for h in plain if terms[h.term].pure]
     return [
-        log1p(sum(h.weight for h in hits if not h.quoted and not h.distance)),
-        log1p(sum(h.weight for h in hits if not h.quoted and h.distance)),
+        log1p(sum(h.weight for h in pure if not h.distance)),
+        log1p(sum(h.weight for h in pure if h.distance)),
         log1p(sum(h.weight for h in hits if h.quoted)),
-        log1p(len({h.term for h in hits if not h.quoted}) - 1) if any(not h.quoted for h in hits) else 0.0,
+        log1p(max(0, len({h.term for h in pure}) - 1)),
+        float(sum(not terms[h.term].pure for h in plain)),
     ]
 
 
@@ -219,8 +230,8 @@ def logistic(layer: Sequence[float], x: Sequence[float]) -> float:
     return 1 / (1 + exp(-max(-40.0, min(40.0, layer[0] + sum(w * v for w, v in zip(layer[1:], x))))))
 
 
-#: What the layer is before it sees data: bias, plain hits, hits with an edit, quoted hits, distinct terms.
-PRIOR = (-3.0, 6.0, 5.0, 1.0, 1.0)
+#: What the layer is before it sees data: the bias, and a weight for each of ``inputs``.
+PRIOR = (-3.0, 6.0, 5.0, 1.0, 1.0, 1.5)
 
 
 def chance(ones: int, total: int, base: float) -> float:
@@ -239,51 +250,67 @@ def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: flo
 
     Copies of a document count once: documents with the same least hash of five-word shingles are one.
     """
+    groups: dict[int, int] = {}
+
+    def read(wanted: int) -> Iterator[tuple[int, set[str]]]:
+        for text, label in rows:
+            if int(label == 1) == wanted:
+                words = TOKEN.findall(text.lower())
+                group = min((zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))), default=0)
+                groups[group] = max(groups.get(group, 0), wanted)
+                yield group, set(words)
+
     ones: dict[str, set[int]] = defaultdict(set)
+    stems_one: dict[str, set[int]] = defaultdict(set)
+    endings: dict[str, set[str]] = defaultdict(set)
+    for group, found in read(1):
+        for word in found:
+            ones[word].add(group)
+            for n in range(3, min(8, len(word)) + 1):
+                stems_one[word[:n]].add(group)
+                endings[word[:n]].add(word)
+    stems_one = {x: a for x, a in stems_one.items() if len(a) >= 4 and len(endings[x]) >= 4}
+    # Of the other documents only what stands in these counts, so memory follows the rows of label 1.
     zeros: dict[str, set[int]] = defaultdict(set)
-    groups: dict[int, int] = {}
-    for text, label in rows:
-        words = TOKEN.findall(text.lower())
-        group = min((zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))), default=0)
-        groups[group] = max(groups.get(group, 0), int(label == 1))
-        for word in set(words):
-            (ones if label == 1 else zeros)[word].add(group)
+    stems_zero: dict[str, set[int]] = defaultdict(set)
+    for group, found in read(0):
+        for word in found:
+            if word in ones:
+                zeros[word].add(group)
+            for n in range(3, min(8, len(word)) + 1):
+                if word[:n] in stems_one:
+                    stems_zero[word[:n]].add(group)
     if not groups or not 0 < sum(groups.values()) < len(groups):
         return []
     base = sum(groups.values()) / len(groups)
     sizes = Counter(len(ones[w] | zeros[w]) if w in zeros else len(ones[w]) for w in ones)
 
-    def marks(a: set[int], b: set[int], candidates: int) -> bool:
+    def marks(a: set[int], b: set[int], candidates: int, share: float, odds: float) -> bool:
         n = len(a | b)
-        return len(a) >= 3 and len(a) >= purity * n and chance(len(a), n, base) * candidates < level
+        return len(a) >= 3 and len(a) >= share * n and chance(len(a), n, base) * candidates < odds
 
     empty: set[int] = set()
-    words = {w: len(a) for w, a in ones.items() if len(w) >= 3 and not w.isdigit() and marks(a, zeros.get(w, empty), sizes[len(a | zeros.get(w, empty))])}
-    stems_one: dict[str, set[int]] = defaultdict(set)
-    stems_zero: dict[str, set[int]] = defaultdict(set)
-    endings: dict[str, set[str]] = defaultdict(set)
-    for source, to in ((ones, stems_one), (zeros, stems_zero)):
-        for word, found in source.items():
-            for n in range(4, min(8, len(word)) + 1):
-                to[word[:n]] |= found
-                if source is ones:
-                    endings[word[:n]].add(word)
     count = Counter(len(a) for a in stems_one.values())
-    good = {s: len(a) for s, a in stems_one.items() if len(endings[s]) >= 4 and len(a) >= 4 and marks(a, stems_zero.get(s, empty), count[len(a)])}
-    stems: list[str] = []
-    for s in sorted(good, key=lambda s: (len(s), s)):
-        if any(s.startswith(x) for x in stems):
-            continue
-        best = s
-        while longer := [x for x in good if len(x) == len(best) + 1 and x.startswith(best) and good[x] >= 0.95 * good[s] and len(endings[x]) >= 4]:
-            best = longer[0]
-        stems.append(best)
-    found = [(good[s], Term(s, True)) for s in stems] + [(n, Term(w, False)) for w, n in words.items() if not any(w.startswith(s) for s in stems)]
-    return [t for _, t in sorted(found, key=lambda x: (-x[0], x[1]))][:MAX_TERMS]
-
-
-def train(rows: Sequence[tuple[str, int]], steps: int = 400, pull: float = 0.02) -> Model:
-    """Fits lexicon, exceptions and layer. The layer is kept near PRIOR, which stands where data are silent."""
+    terms: list[tuple[int, Term]] = []
+    for pure, share, odds in ((True, purity, level), (False, MIXED, level / 100)):
+        good = {x: len(a) for x, a in stems_one.items() if len(a) >= 4 and len(endings[x]) >= (4 if len(x) > 3 else 8) and 2 * max(len(ones[w]) for w in endings[x]) <= len(a) and marks(a, stems_zero.get(x, empty), count[len(a)], share, odds)}
+        done: list[str] = [t.text for _, t in terms]
+        for s in sorted(good, key=lambda x: (len(x), x)):
+            if any(s.startswith(x) or x.startswith(s) for x in done):
+                continue
+            best = s
+            while longer := [x for x in good if len(x) == len(best) + 1 and x.startswith(best) and good[x] >= 0.95 * good[s]]:
+                best = longer[0]
+            done.append(best)
+            terms.append((good[best], Term(best, True, pure)))
+    words = {w: len(a) for w, a in ones.items() if len(w) >= 3 and not w.isdigit() and marks(a, zeros.get(w, empty), sizes[len(a | zeros.get(w, empty))], purity, level)}
+    stems = tuple(t.text for _, t in terms)
+    terms += [(n, Term(w, False)) for w, n in words.items() if not w.startswith(stems)]
+    return [t for _, t in sorted(terms, key=lambda x: (-x[0], x[1]))][:MAX_TERMS]
+
+
+def train(rows: Sequence[tuple[str, int]], steps: int = 40, pull: float = 0.0005) -> Model:
+    """Fits lexicon, exceptions and layer. Newton's steps find the layer; PRIOR holds it where data are silent."""
     terms = learn_terms(rows)
     automaton = Automaton(terms)
     bare = Model(automaton, frozenset(), PRIOR)
@@ -294,15 +321,18 @@ def train(rows: Sequence[tuple[str, int]], steps: int = 400, pull: float = 0.02)
             lowered = texts[k].lower()
             innocent |= {lowered[h.begin : h.end] for h in found if h.distance}
     model = bare._replace(innocent=frozenset(innocent))
-    x = np.zeros((len(rows), 5))
+    x = np.zeros((len(rows), 6))
     x[:, 0] = 1
     for k, found in model.hits(texts):
-        x[k, 1:] = inputs(found)
+        x[k, 1:] = inputs(found, terms)
     y = np.array([int(label == 1) for _, label in rows], float)
     w, prior = np.array(PRIOR), np.array(PRIOR)
+    hold = np.diag([1e-6, *[pull] * 5])
     for _ in range(steps if len(rows) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w -= 0.5 * (x.T @ (p - y) / len(rows) + pull * (w - prior) * np.array([0, 1, 1, 1, 1]) / 10)
+        slope = x.T @ (p - y) / len(rows) + hold @ (w - prior)
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(rows) + hold, slope)
+        w = w - move * min(1.0, 2.0 / max(1e-9, float(np.abs(move).max())))
     return model._replace(layer=tuple(w.tolist()))
 
 
