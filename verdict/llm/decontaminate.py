@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import SPACE, checkpointed
+from verdict.llm.common import SPACE, checkpointed, let
 from verdict.llm.windows import SHINGLE, anchored_windows, containment, hinted, located, passages
 
 BITS, RADIUS, THRESHOLD = 64, 11, 0.8
@@ -25,11 +25,11 @@ def simhash(array: Column) -> Column:
     """64 bits: the sign, bit by bit, of the sum of the words' hashes weighed by the words' lengths."""
     pairs = F.transform(array, lambda w: F.struct(F.xxhash64(w).alias("h"), F.length(w).alias("n")))
 
-    def bit(k: Column) -> Column:
-        total = F.aggregate(pairs, F.lit(0), lambda s, p: s + F.when(F.getbit(p["h"], k) == 1, p["n"]).otherwise(-p["n"]))
+    def bit(p: Column, k: Column) -> Column:
+        total = F.aggregate(p, F.lit(0), lambda s, x: s + F.when(F.getbit(x["h"], k) == 1, x["n"]).otherwise(-x["n"]))
         return F.when(total > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(bit(k)))
+    return let(pairs, lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(bit(p, k))))
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -46,10 +46,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "item_id", text:
     """(doc_id, item_id, similarity, start): the documents that hold an item, with the word at which its window starts."""
     own = passages(items, key, text, SPACE)
     windows = anchored_windows(docs, own, SPACE)
-    prints = checkpointed(windows.contents.select("content_id", "window", simhash(F.col("window")).alias("print")))
-    targets = checkpointed(own.select("key", "words", simhash(F.col("words")).alias("target")))
-    by_block = prints.select("content_id", "print", F.explode(blocks(F.col("print"), radius)).alias("block"))
-    pairs = by_block.join(hinted(targets.select("key", "target", F.explode(blocks(F.col("target"), radius)).alias("block"))), "block")
+    prints = checkpointed(windows.contents.select("content_id", "size", "window", simhash(F.col("window")).alias("print")))
+    targets = checkpointed(own.select("key", "words", F.size("words").alias("size"), simhash(F.col("words")).alias("target")))
+    by_block = prints.select("content_id", "size", "print", F.explode(blocks(F.col("print"), radius)).alias("block"))
+    pairs = by_block.join(hinted(targets.select("key", "size", "target", F.explode(blocks(F.col("target"), radius)).alias("block"))), ["size", "block"])
     near = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("target"))) <= radius).select("content_id", "key", "target").distinct()
     near = near.join(hinted(targets.select("key", "target", "words")), ["key", "target"]).join(prints.select("content_id", "window"), "content_id")
     scored = near.select("content_id", "key", containment(F.col("window"), F.col("words"), SHINGLE).alias("similarity"))

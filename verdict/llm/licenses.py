@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm.windows import SHINGLE, anchored_windows, checkpointed, containment, hinted, located, passages, shingles
+from verdict.llm.common import checkpointed, let
+from verdict.llm.windows import SHINGLE, anchored_windows, containment, hinted, located, passages, shingles
 
 GAP = r"[^\p{L}\p{N}]+"
 BANDS, ROWS, THRESHOLD = 16, 2, 0.8
@@ -48,20 +49,20 @@ def templates(spark: SparkSession, rows: tuple[tuple[str, str], ...] = TEMPLATES
 def signature(array: Column) -> Column:
     """BANDS * ROWS minima of the shingles' hashes under different seeds."""
     hashes = F.transform(shingles(array), lambda s: F.xxhash64(s))
-    return F.array(*(F.array_min(F.transform(hashes, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(BANDS * ROWS)))
+    return let(hashes, lambda own: F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda k: F.array_min(F.transform(own, lambda h: F.xxhash64(h, k)))))
 
 
 def bands(minima: Column) -> Column:
-    return F.array(*(F.xxhash64(F.lit(k), F.slice(minima, k * ROWS + 1, ROWS)) for k in range(BANDS)))
+    return let(minima, lambda m: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice(m, k * ROWS + 1, ROWS))))
 
 
 def scan(docs: DataFrame, notices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, template, containment, start): every template that a document holds, at its best window."""
     own = passages(notices, "template", "text", GAP)
     windows = anchored_windows(docs, own, GAP)
-    signed = windows.contents.select("content_id", F.explode(bands(signature(F.col("window")))).alias("band"))
-    targets = checkpointed(own.select("key", F.explode(bands(signature(F.col("words")))).alias("band")))
-    pairs = signed.join(hinted(targets), "band").select("content_id", "key").distinct()
+    signed = windows.contents.select("content_id", "size", F.explode(bands(signature(F.col("window")))).alias("band"))
+    targets = checkpointed(own.select("key", F.size("words").alias("size"), F.explode(bands(signature(F.col("words")))).alias("band")))
+    pairs = signed.join(hinted(targets), ["size", "band"]).select("content_id", "key").distinct()
     pairs = pairs.join(hinted(own), "key").join(windows.contents, "content_id")
     scored = pairs.select("content_id", "key", containment(F.col("window"), F.col("words"), SHINGLE).alias("containment"))
     found = located(windows, scored.where(F.col("containment") >= threshold), "containment")

@@ -28,13 +28,13 @@ docs AS ({docs}),
 doc_rows AS (
   SELECT doc_id, words, k, unnest(range(0, greatest(0, len(words) - k + 1))) AS at FROM docs, (SELECT DISTINCT k FROM items)),
 hits AS (
-  SELECT DISTINCT d.doc_id, d.words, i.key, i.n, i.k, greatest(d.at - i.shift, 0) AS start
-  FROM doc_rows d JOIN item_rows i ON d.k = i.k AND array_to_string(d.words[d.at + 1 : d.at + d.k], ' ') = i.shingle),
-cut AS (SELECT doc_id, key, k, start, words[start + 1 : start + n] AS w FROM hits),
+  SELECT DISTINCT d.doc_id, d.words, i.n, i.k, greatest(d.at - i.shift, 0) AS start
+  FROM doc_rows d JOIN (SELECT DISTINCT n, k, shift, shingle FROM item_rows) i ON d.k = i.k AND array_to_string(d.words[d.at + 1 : d.at + d.k], ' ') = i.shingle),
+cut AS (SELECT DISTINCT doc_id, n, k, start, words[start + 1 : start + n] AS w FROM hits),
 scored AS (
-  SELECT c.doc_id, c.key, c.start,
+  SELECT c.doc_id, s.key, c.start,
          list_sum([length(s) FOR s IN s.own IF list_contains([array_to_string(c.w[p : p + c.k - 1], ' ') FOR p IN range(1, greatest(1, len(c.w) - c.k + 1) + 1)], s)]) / s.total AS sim
-  FROM cut c JOIN item_sets s USING (key)),
+  FROM cut c JOIN item_sets s USING (n, k)),
 best AS (SELECT doc_id, key, max(sim) AS sim, CAST(arg_max(start, {{'s': sim, 'p': -start}}) AS BIGINT) AS start FROM scored WHERE sim >= 0.8 GROUP BY doc_id, key)
 """
 _GAP = r"[\x20\x09-\x0D]+"

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, small, words
+from verdict.llm.common import checkpointed, let, small, words
 
 #: Words of a shingle; passages with fewer words are one shingle.
 SHINGLE = 5
@@ -22,16 +22,22 @@ BROADCAST_ROWS = 500_000
 
 def shingles(array: Column, size: int = SHINGLE) -> Column:
     """The distinct shingles of an array of words, as strings; the whole array if it is shorter."""
-    last = F.size(array) - size + 1
-    many = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(array, k, size), " "))
-    return F.when(F.size(array) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    def cut(a: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - size + 1, F.lit(1))), lambda k: F.array_join(F.slice(a, k, size), " "))
+        return F.when(F.size(a) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    return let(array, cut)
 
 
 def shingle_hashes(array: Column, size: int) -> Column:
     """The hash of the shingle at every position; empty if the array is shorter than a shingle."""
-    last = F.size(array) - size + 1
-    many = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.xxhash64(F.slice(array, k, size)))
-    return F.when(last < 1, F.array().cast("array<bigint>")).otherwise(many)
+
+    def cut(a: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - size + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(a, k, size)))
+        return F.when(F.size(a) < size, F.array().cast("array<bigint>")).otherwise(many)
+
+    return let(array, cut)
 
 
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -41,7 +47,7 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 class Windows(NamedTuple):
     places: DataFrame  # doc_id, text_hash, start, content_id
-    contents: DataFrame  # content_id, window
+    contents: DataFrame  # content_id, size (of the passage, which a window at a text's end may fall short of), window
 
 
 def passages(items: DataFrame, key: str, text: str, gap: str) -> DataFrame:
@@ -69,20 +75,20 @@ def anchored_windows(docs: DataFrame, items: DataFrame, gap: str, shingle: int =
     named = hinted(spans).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
     cut = docs.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")))
     cut = cut.select("doc_id", F.col("h").alias("text_hash"), words(F.lower("text"), gap).alias("words"), "spans")
-    cut = cut.select("doc_id", "text_hash", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.slice("words", s["start"] + 1, s["size"]).alias("window"))).alias("cut"))
-    cut = cut.select("doc_id", "text_hash", F.explode("cut").alias("c")).select("doc_id", "text_hash", "c.start", "c.window")
-    placed = checkpointed(cut.withColumn("content_id", F.sha2(F.array_join("window", " "), 256)))
-    contents = checkpointed(placed.groupBy("content_id").agg(F.first("window").alias("window")))
+    cut = cut.select("doc_id", "text_hash", let(F.col("words"), lambda w: F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.slice(w, s["start"] + 1, s["size"]).alias("window")))).alias("cut"))
+    cut = cut.select("doc_id", "text_hash", F.explode("cut").alias("c")).select("doc_id", "text_hash", "c.start", "c.size", "c.window")
+    placed = checkpointed(cut.withColumn("content_id", F.sha2(F.concat_ws(" ", F.col("size").cast("string"), F.array_join("window", " ")), 256)))
+    contents = checkpointed(placed.groupBy("content_id").agg(F.first("size").alias("size"), F.first("window").alias("window")))
     return Windows(placed.select("doc_id", "text_hash", "start", "content_id"), contents)
 
 
 def containment(window: Column, passage: Column, size: int = SHINGLE) -> Column:
     """The share of the passage's distinct shingles that the window holds, each weighed by its characters."""
-    own = shingles(passage, size)
+
     def weight(found: Column) -> Column:
         return F.aggregate(found, F.lit(0), lambda total, s: total + F.length(s))
 
-    return weight(F.array_intersect(own, shingles(window, size))) / weight(own)
+    return let(shingles(passage, size), lambda own: weight(F.array_intersect(own, shingles(window, size))) / weight(own))
 
 
 def located(windows: Windows, matched: DataFrame, similarity: str) -> DataFrame:
