@@ -7,6 +7,7 @@ import json
 import warnings
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 
 def compile_error(code: str | None) -> str | None:
@@ -42,33 +43,33 @@ def warns(code: str | None) -> bool:
     return any(issubclass(w.category, SyntaxWarning) for w in caught)
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def syntax_error(code):
     return compile_error(code)
 
 
-@F.udf("boolean", useArrow=True)
+@F.udf(BooleanType(), useArrow=True)
 def syntax_valid(code):
     return parses(code)
 
 
-@F.udf("boolean", useArrow=True)
+@F.udf(BooleanType(), useArrow=True)
 def has_syntax_warning(code):
     return warns(code)
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def casefold(text):
     return None if text is None else text.casefold()
 
 
-@F.udf("double", useArrow=True)
+@F.udf(DoubleType(), useArrow=True)
 def round6(value):
     """Rounds the binary value correctly to six digits, ties to even; the built-in rounds its decimal text half up."""
     return None if value is None else round(value, 6)
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def canonical_json(text):
     """JSON with sorted keys in Python's spelling of numbers and escapes."""
     return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True)

@@ -90,3 +90,24 @@ def training_data(spark: SparkSession, train: DataFrame, path: str, strict: bool
     if strict and failures:
         raise ValueError("audit failed: " + ", ".join(failures))
     return {"problems": p.asDict(True), "dataset": d.asDict(True), "failures": failures}
+
+
+def length_stats(df: DataFrame, value: Column, *by: str) -> DataFrame:
+    """Least, median (whole), 95th percentile by index and greatest of whole numbers, per group of ``by``.
+
+    Order statistics come from the counts of distinct values, so nothing is gathered and the windows run over as many rows
+    as there are different values.
+    """
+    from pyspark.sql import Window
+
+    counts = df.select(*by, value.cast("long").alias("v")).where("v IS NOT NULL").groupBy(*by, "v").count()
+    whole = Window.partitionBy(*by)
+    cumulated = counts.select("*", F.sum("count").over(whole.orderBy("v")).alias("upto"), F.sum("count").over(whole).alias("n"))
+
+    def at(index: Column) -> Column:
+        return F.min(F.when(F.col("upto") > index, F.col("v")))
+
+    n = F.col("n")
+    picks = [F.min("v").alias("min"), at(F.floor((n - 1) / 2)).alias("low"), at(F.floor(n / 2)).alias("high"), at(F.floor(F.lit(0.95) * (n - 1))).alias("p95"), F.max("v").alias("max"), F.max("n").alias("records")]
+    found = cumulated.groupBy(*by).agg(*picks)
+    return found.select(*by, "records", "min", F.floor((F.col("low") + F.col("high")) / 2).cast("long").alias("median"), "p95", "max")
