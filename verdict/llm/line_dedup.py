@@ -7,8 +7,12 @@ only when equal. A line is dropped if an equal or near line stands earlier, by (
 Equal lines are first reduced to one row per content. Two near lines share their first or their last half, so only
 contents that share a half with another go on. Those emit every variant with one word left out as a hashed key, and
 themselves: equal variants of one position are replacements, a variant equal to a whole line is an insertion. The
-earliest content of each key is its kept candidate, and each pair is verified by its words. Hot keys are reduced to
-minima before any shuffle, and no pairs within a key are formed.
+earliest content of each key is its kept candidate, and each pair is verified by its words' edit distance. Hot keys are
+reduced to minima before any shuffle, and no pairs within a key are formed.
+
+Words are compared by 64-bit hashes, and the hash of a line, of a half or of a line without a word follows from one running
+sum over the hashes of its words, so a line's variants cost no more than the line. numpy does that over slices of bounded
+size, whole texts each.
 
 Defined results: null and empty texts have one empty line, which is never dropped; rows that agree in ``doc_id`` and text
 are one document; a null ``doc_id`` is earliest; only ``doc_id`` and ``text`` are read by ``line_decisions``, and
@@ -17,92 +21,199 @@ are one document; a null ``doc_id`` is earliest; only ``doc_id`` and ``text`` ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, let, words
+from verdict.llm.common import checkpointed
+from verdict.llm.jaccard import INVERSE, IS_SPACE, MULTIPLIER, SLICE, mixed, powers
 from verdict.llm.windows import hinted
 
 MIN_WORDS, NEAR_WORDS = 3, 8
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, words) per line. The texts are unnested without other columns beside them."""
-    return (
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"))
-        .select("doc_id", "text_hash", "line", words(F.lower("content")).alias("words"))
-    )
-
-
-def halves(w: Column) -> Column:
-    """Keys of the first and last halves, for lines of the same length and of one word less."""
-    n = F.size(w)
-
-    def keys(p: Column) -> Column:
-        return F.array(F.xxhash64(F.lit("first"), p, F.slice(w, 1, p)), F.xxhash64(F.lit("last"), p, F.slice(w, n - p + 1, p)))
-
-    return F.when(n % 2 == 0, F.concat(keys(F.floor(n / 2).cast("int")), keys((F.floor(n / 2) - 1).cast("int")))).otherwise(keys(F.floor(n / 2).cast("int")))
-
-
-def variants(w: Column) -> Column:
-    """A struct (key, position) for the line itself, position -1, and for the line without each of its words."""
-    def without(a: Column, k: Column) -> Column:
-        return F.xxhash64(F.concat(F.slice(a, 1, k), F.slice(a, k + 2, F.size(a))))
-
-    return let(w, lambda a: F.concat(
-        F.array(F.struct(F.xxhash64(a).alias("key"), F.lit(-1).alias("position"))),
-        F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda k: F.struct(without(a, k).alias("key"), k.alias("position"))),
-    ))
-
-
-def within_one(a: Column, b: Column) -> Column:
-    """True if at most one edit of a word turns the array ``a`` into ``b``."""
-    def ahead(x: Column, y: Column) -> Column:
-        """The number of equal words at the start of both."""
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")))["n"]
-
-    same = F.aggregate(F.zip_with(a, b, lambda p, q: (~p.eqNullSafe(q)).cast("int")), F.lit(0), lambda s, e: s + e) <= 1
-    longer = F.greatest(F.size(a), F.size(b))
-    other = (F.abs(F.size(a) - F.size(b)) == 1) & (ahead(a, b) + ahead(F.reverse(a), F.reverse(b)) >= longer - 1)
-    return F.when(F.size(a) == F.size(b), same).otherwise(other)
+#: Base of the running sums over words; odd, so it can be divided out.
+BASE = 0xC2B2AE3D27D4EB4F
+UNBASE = pow(BASE, -1, 1 << 64)
+FIRST, LAST = np.uint64(0x1111), np.uint64(0x2222)
+
+
+class Lines(NamedTuple):
+    """The lines of some texts: the text and number of each, its first word and its count of words, and running sums."""
+
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    words: np.ndarray
+    hashes: np.ndarray
+    sums: np.ndarray
+
+    def part(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``start`` up to ``stop``."""
+        return (self.sums[stop] - self.sums[start]) * powers(len(self.hashes) + 1, UNBASE)[start]
+
+    def variants(self, k: int) -> np.ndarray:
+        """The hash of line ``k`` without each of its words."""
+        s, e = int(self.start[k]), int(self.start[k] + self.words[k])
+        ahead = self.sums[s:e] - self.sums[s]
+        behind = (self.sums[e] - self.sums[s + 1 : e + 1]) * np.uint64(UNBASE)
+        back = np.uint64(pow(UNBASE, s, 1 << 64))
+        return mixed((ahead + behind) * back + np.uint64(e - s - 1))
+
+
+def lines_of(texts: Sequence[str | None]) -> Lines:
+    lowered = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    buffer = np.frombuffer(b"\n".join([*lowered, b""]), np.uint8)
+    ends = np.flatnonzero(buffer == 10)
+    per_text = np.array([t.count(b"\n") + 1 for t in lowered], np.int64)
+    text = np.repeat(np.arange(len(lowered)), per_text)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    space = np.concatenate([[True], IS_SPACE[buffer]])
+    edge = np.flatnonzero(np.diff(space.astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(len(buffer), MULTIPLIER))])
+    hashes = mixed((sums[end] - sums[begin]) * powers(len(buffer) + 1, INVERSE)[begin])
+    stop = np.searchsorted(begin, ends)
+    start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes), BASE))])
+    return Lines(text, number, start, stop - start, hashes, running)
+
+
+def contents_of(lines: Lines, pick: np.ndarray) -> np.ndarray:
+    """The hashes of whole lines, their number of words included."""
+    s, n = lines.start[pick], lines.words[pick]
+    return mixed(lines.part(s, s + n) + n.astype(np.uint64))
+
+
+def halves_of(lines: Lines, pick: np.ndarray, near_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, keys): keys of first and last halves, for lines of the same length and of one word less."""
+    s, n = lines.start[pick], lines.words[pick]
+    half, near = n // 2, n >= near_words
+    keys = []
+    for p in (half, half - 1):
+        p = np.maximum(p, 0)
+        size = p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys += [mixed(lines.part(s, s + p) + size ^ FIRST), mixed(lines.part(s + n - p, s + n) + size ^ LAST)]
+    count = np.where(near, np.where(n % 2 == 0, 4, 2), 0)
+    mask = np.arange(4)[None, :] < count[:, None]
+    return np.concatenate([[0], np.cumsum(count)]), np.stack(keys, 1)[mask] if len(s) else np.zeros(0, np.uint64)
+
+
+def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most SLICE characters in all, one text at least."""
+    start = 0
+    while start < len(texts):
+        stop, total = start, 0
+        while stop < len(texts) and (stop == start or total + len(texts[stop] or "") <= SLICE):
+            total += len(texts[stop] or "")
+            stop += 1
+        yield start, stop
+        start = stop
+
+
+def within_one(a: np.ndarray, b: np.ndarray) -> bool:
+    """True if at most one edit turns one array into the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    differ = np.flatnonzero(a != b[: len(a)])
+    if not len(differ):
+        return True
+    k = int(differ[0])
+    return bool((a[k + (len(a) == len(b)) :] == b[k + 1 :]).all())
+
+
+SLIM = "doc_id long, text_hash long, line int, content long, halves array<bigint>"
+
+
+def slim_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column(0), batch.column(1)
+            texts = batch.column(2).to_pylist()
+            for start, stop in slices(texts):
+                lines = lines_of(texts[start:stop])
+                pick = np.flatnonzero(lines.words >= min_words)
+                rows = pa.array(lines.text[pick] + start)
+                offsets, keys = halves_of(lines, pick, near_words)
+                halves = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.take(rows), hashes.take(rows), pa.array(lines.number[pick], pa.int32()), pa.array(contents_of(lines, pick).view(np.int64), pa.int64()), halves], ["doc_id", "text_hash", "line", "content", "halves"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SLIM)
+
+
+def full_lines(docs: DataFrame) -> DataFrame:
+    """(content, doc_id, text_hash, line, keys, hashes) of the lines whose numbers stand in ``wanted``: the hash of the line
+    without each of its words, and its words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for start, stop in slices(texts):
+                lines = lines_of(texts[start:stop])
+                first = np.searchsorted(lines.text, np.arange(stop - start))
+                pick = np.array([first[k - start] + n for k in range(start, stop) for n in sorted(set(wanted[k]))], np.int64)
+                rows = pa.array(lines.text[pick] + start)
+                keys = [lines.variants(k).view(np.int64) for k in pick.tolist()]
+                words = [lines.hashes[lines.start[k] : lines.start[k] + lines.words[k]].tobytes() for k in pick.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(contents_of(lines, pick).view(np.int64), pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lines.number[pick], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["content", "doc_id", "text_hash", "line", "keys", "hashes"])
+
+    return docs.mapInArrow(run, "content long, doc_id long, text_hash long, line int, keys array<bigint>, hashes binary")
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """The rows (content, kept_first, a, b) whose words ``a`` and ``b`` are within one edit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [within_one(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    place = "struct<doc_id:bigint,text_hash:bigint,line:int>"
+    return pairs.select("content", "kept_first", "a", "b").mapInArrow(run, f"content long, kept_first {place}")
 
 
 def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, text_hash, line, kept_doc_id, kept_text_hash, kept_line, distance) per dropped line."""
     docs = docs.select("doc_id", "text")
+    slim = checkpointed(slim_lines(docs, min_words, near_words))
     place = F.struct("doc_id", "text_hash", "line")
-    lines = _lines(docs)
-    n = F.size("words")
-    slim = lines.where(n >= min_words).select(place.alias("place"), F.xxhash64("words").alias("content"), F.when(n >= near_words, halves(F.col("words"))).alias("halves"))
-    slim = checkpointed(slim)
-    contents = checkpointed(slim.groupBy("content").agg(F.min("place").alias("first"), F.first("halves").alias("halves")))
+    contents = checkpointed(slim.groupBy("content").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("repeated"), F.first("halves").alias("halves")))
 
     # Contents that share a half with another content.
-    by_half = contents.where(F.col("halves").isNotNull()).select("content", F.explode("halves").alias("half"))
-    shared = by_half.groupBy("half").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("half")
+    by_half = contents.select("content", F.explode("halves").alias("half"))
+    shared = checkpointed(by_half.groupBy("half").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("half"))
     likely = by_half.join(hinted(shared), "half", "left_semi").select("content").distinct()
-    likely = checkpointed(contents.join(likely, "content").select("content", "first"))
+    likely = contents.select("content", "first").join(likely, "content")
 
     # Their words, from the line where each stands first.
-    named = hinted(likely).select(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"), F.col("first.line").alias("l"), "content", "first")
-    full = lines.where(n >= near_words).join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("line") == F.col("l")))
-    full = checkpointed(full.groupBy("content").agg(F.first("first").alias("first"), F.first("words").alias("words")))
-
-    # The earliest place per key and position, with the content that has it.
-    emitted = full.select("content", "first", variants(F.col("words")).alias("variants")).select("content", "first", F.explode("variants").alias("v")).select("content", "first", "v.key", "v.position")
-    rows = emitted.select("key", "position", F.struct("first", "content").alias("at"))
-    swaps = rows.where("position >= 0").groupBy("key", "position").agg(F.min("at").alias("kept"), F.max("at").alias("last")).where(F.col("kept.content") != F.col("last.content")).select("key", "position", "kept")
-    moves = rows.groupBy("key").agg(F.min(F.when(F.col("position") == -1, F.col("at"))).alias("whole"), F.min(F.when(F.col("position") >= 0, F.col("at"))).alias("cut")).where("whole IS NOT NULL AND cut IS NOT NULL")
-    # A key's row meets every content that emitted it, so the side of the keys is the small one; AQE splits hot keys.
-    by_swap = emitted.join(hinted(swaps), ["key", "position"]).select("content", "first", "kept")
-    by_move = emitted.join(hinted(moves), "key").select("content", "first", F.when(F.col("position") == -1, F.col("cut")).otherwise(F.col("whole")).alias("kept"))
-    earlier = by_swap.unionByName(by_move).where(F.col("kept.first") < F.col("first")).select("content", F.col("kept.content").alias("kept"), F.col("kept.first").alias("kept_first")).distinct()
-    own, other = full.select("content", "words"), full.select(F.col("content").alias("kept"), F.col("words").alias("kept_words"))
-    near = earlier.join(own, "content").join(other, "kept").where(within_one(F.col("words"), F.col("kept_words")))
-    near = near.groupBy("content").agg(F.min("kept_first").alias("near_first"))
-
-    judged = contents.select("content", "first").join(near, "content", "left")
-    dropped = slim.select("place", "content").join(judged, "content").where((F.col("place") != F.col("first")) | F.col("near_first").isNotNull())
+    wanted = checkpointed(likely.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).agg(F.collect_list("first.line").alias("wanted")))
+    texts = docs.join(hinted(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")))
+    full = full_lines(texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("h").alias("text_hash"), "text", "wanted"))
+    full = checkpointed(full.groupBy("content").agg(F.first(place).alias("first"), F.first("keys").alias("keys"), F.first("hashes").alias("hashes")))
+
+    # The earliest content per variant and position; only keys that different contents share go on.
+    at = F.struct("first", "content")
+    emitted = full.select("content", "first", F.posexplode("keys").alias("position", "key"))
+    swaps = emitted.groupBy("key", "position").agg(F.min(at).alias("kept"), F.max("content").alias("high"), F.min("content").alias("low")).where("low <> high").select("key", "position", "kept")
+    by_swap = emitted.join(hinted(checkpointed(swaps)), ["key", "position"]).select("content", "first", "kept")
+    # A line that another gives when it loses a word. Each side looks for the earliest of the other.
+    whole = full.select(F.col("content").alias("key"), F.struct("first", "content").alias("whole"))
+    moves = checkpointed(emitted.join(hinted(whole.select("key")), "key", "left_semi").select("key", at.alias("cut")))
+    cuts = moves.groupBy("key").agg(F.min("cut").alias("kept"))
+    by_move = moves.join(whole, "key").select("cut.content", "cut.first", F.col("whole").alias("kept")).unionByName(whole.join(cuts, "key").select("whole.content", "whole.first", "kept"))
+    earlier = by_swap.unionByName(by_move).where(F.col("kept.first") < F.col("first"))
+    # The earliest of a content's candidates is tried; as equal hashes stand for equal words, it holds.
+    earlier = checkpointed(earlier.select("content", F.col("kept.content").alias("kept"), F.col("kept.first").alias("kept_first")).distinct())
+    pairs = earlier.join(full.select("content", F.col("hashes").alias("a")), "content").join(full.select(F.col("content").alias("kept"), F.col("hashes").alias("b")), "kept")
+    near = verified(pairs).groupBy("content").agg(F.min("kept_first").alias("near_first"))
+
+    # Lines that stand once and have no near one are not dropped; only the others are looked up.
+    judged = contents.select("content", "first", "repeated").join(near, "content", "left").where(F.col("repeated") | F.col("near_first").isNotNull()).drop("repeated")
+    dropped = slim.select("content", place.alias("place")).join(hinted(checkpointed(judged)), "content").where((F.col("place") != F.col("first")) | F.col("near_first").isNotNull())
     kept = F.least("first", F.coalesce("near_first", "first"))
     out = dropped.select("place.*", kept.alias("kept"), F.when(F.col("near_first") < F.col("first"), 1).otherwise(0).alias("distance"))
     return out.select("doc_id", "text_hash", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_hash").alias("kept_text_hash"), F.col("kept.line").alias("kept_line"), "distance").distinct()
