@@ -7,7 +7,6 @@ columns of the table that the prompt builder sees.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -20,6 +19,7 @@ from verdict.functions.reports import all_passed, candidate_score, failure_summa
 from verdict.functions.text import extract_python_code, problem_seed
 from verdict.operators.execute import ExecConfig, run_suites
 from verdict.operators.records import initial_prompt, problem_prompt, repair_prompt, review_prompt
+from verdict.sources.checkpoint import checkpointed
 from verdict.sources.schema import CANDIDATE, RECORD, REPORT
 
 
@@ -50,7 +50,31 @@ class SolveConfig:
     execution: ExecConfig = ExecConfig()
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def generate(self, prompts: list[str], seeds: list[int], n: int) -> list[list[str]]:
+        """``n`` raw responses for each prompt."""
+
+
+class RuleGenerator:
+    """Deterministic stand-in for a model: the first rule whose key is in the prompt answers."""
+
+    def __init__(self, rules: list[tuple[str, list[str]]], default: str = "print(0)") -> None:
+        self.rules, self.default = rules, default
+
+    def generate(self, prompts: list[str], seeds: list[int], n: int) -> list[list[str]]:
+        found = (next((codes for key, codes in self.rules if key in p), [self.default]) for p in prompts)
+        return [[f"```python\n{codes[k % len(codes)]}\n```" for k in range(n)] for codes in found]
+
+
+@dataclass(frozen=True)
+class SolveConfig:
+    max_repair_turns: int = 3
+    candidates_per_turn: int = 1
+    rerank_with_reward_tests: bool = False
+    seed: int = 42
+    execution: ExecConfig = ExecConfig()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="verdict-checkpoint-"))
@@ -99,15 +123,15 @@ def solve(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
     base = problems.select("id", problem_prompt(F.col("tests.visible_tests")).alias("base"), F.col("tests.visible_tests").alias("visible_tests"), "time_limit_sec", entry.alias("entry"), problem_seed(config.seed, F.col("id")).alias("seed"), F.lit(0).alias("turn"), F.array().cast(f"array<{RECORD}>").alias("records"))
     unfit = base.where(F.size("visible_tests") == 0)
     done = unfit.select(F.col("id").alias("problem_id"), *_result("FAILED", F.lit("MISSING_VISIBLE_TESTS"), F.lit("At least one visible test is required for candidate selection."), None))
-    active = _kept(base.where(F.size("visible_tests") > 0).select("*", initial_prompt(F.col("base")).alias("prompt"), F.lit("INITIAL_SOLVE").alias("context_type"), F.lit("").alias("diagnostic")))
+    active = checkpointed(base.where(F.size("visible_tests") > 0).select("*", initial_prompt(F.col("base")).alias("prompt"), F.lit("INITIAL_SOLVE").alias("context_type"), F.lit("").alias("diagnostic")))
     run = lambda df, **s: run_suites(df, s, F.col("time_limit_sec"), F.col("entry"), config=config.execution)
     for turn in range(1, config.max_repair_turns + 2):
         if active.isEmpty():
             break
         # Candidates run as rows of their own, so that tasks share them out, and are gathered again by problem.
-        written = _kept(generate(active, factory, config.candidates_per_turn))
+        written = checkpointed(generate(active, factory, config.candidates_per_turn))
         tried = written.select("id", "time_limit_sec", "entry", "visible_tests", F.posexplode("responses").alias("k", "response")).withColumn("code", extract_python_code(F.col("response")))
-        tried = _kept(run(tried, report=(F.when(F.col("code") != "", F.col("code")), F.col("visible_tests"), "visible")))
+        tried = checkpointed(run(tried, report=(F.when(F.col("code") != "", F.col("code")), F.col("visible_tests"), "visible")))
         tried = tried.withColumn("report", F.coalesce("report", _no_report("Missing Python code block.")))
         tried = tried.withColumn("candidate", F.struct("code", F.col("report").alias("visible_result"), candidate_score(F.col("report")).alias("score")).cast(CANDIDATE))
         gathered = tried.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "candidate"))), lambda x: x["candidate"]).alias("candidates"))
@@ -118,7 +142,7 @@ def solve(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
         # The reward suite runs for candidates that pass the visible one: all of them to rerank, else the selected.
         chosen = F.lit(True) if config.rerank_with_reward_tests else F.col("k") == F.col("selected")
         hidden = now.select("id", "time_limit_sec", "entry", "reward_tests", "selected", F.posexplode("candidates").alias("k", "c")).where((F.size("reward_tests") > 0) & chosen & all_passed(F.col("c.visible_result")))
-        hidden = _kept(run(hidden.select("id", "time_limit_sec", "entry", "reward_tests", "k", F.col("c.code").alias("code")), report=(F.col("code"), F.col("reward_tests"), "reward")))
+        hidden = checkpointed(run(hidden.select("id", "time_limit_sec", "entry", "reward_tests", "k", F.col("c.code").alias("code")), report=(F.col("code"), F.col("reward_tests"), "reward")))
         reports = hidden.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "report"))).alias("__reports"))
         now = now.join(reports, "id", "left").withColumn("__list", F.transform("candidates", lambda c, k: F.try_element_at("__reports", k)))
         if config.rerank_with_reward_tests:
@@ -129,12 +153,12 @@ def solve(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
 
         # The evaluation suite runs once, for the program that passed everything before it.
         held = F.when(visible_ok & reward_ok & (F.size("eval_tests") > 0), F.col("pick.code"))
-        now = _kept(run(now.drop("__reports", "__list"), eval_result=(held, F.col("eval_tests"), "eval")))
+        now = checkpointed(run(now.drop("__reports", "__list"), eval_result=(held, F.col("eval_tests"), "eval")))
         record = F.struct("turn", "context_type", "candidates", F.col("selected").alias("selected_index"), "reward_result", "eval_result").cast(RECORD)
         now = now.withColumn("records", F.concat("records", F.array(record)))
         state = F.when(~visible_ok, "REPAIR").when(~reward_ok, "REVIEW").when(F.size("eval_tests") == 0, "VISIBLE_SOLVED").when(all_passed(F.col("eval_result")), "VERIFIED_SOLVED").otherwise("EVAL_FAILED")
         failure = failure_summary(F.col("pick.visible_result"), reveal=True)
-        now = _kept(now.withColumn("state", state).withColumn("failure", failure).withColumn("diagnostic", F.when(F.col("state") == "REVIEW", "Internal reward verification failed; cases are withheld.").when(F.col("state") == "REPAIR", F.col("failure.message")).otherwise("")))
+        now = checkpointed(now.withColumn("state", state).withColumn("failure", failure).withColumn("diagnostic", F.when(F.col("state") == "REVIEW", "Internal reward verification failed; cases are withheld.").when(F.col("state") == "REPAIR", F.col("failure.message")).otherwise("")))
         ended = lambda s, *a: now.where(F.col("state") == s).select(F.col("id").alias("problem_id"), *_result(*a))  # noqa: B023, E731
         done = (
             done.unionByName(ended("VISIBLE_SOLVED", "VISIBLE_SOLVED", None, F.lit("Visible and reward tests passed; no held-out tests configured."), F.col("pick.code")))
@@ -144,6 +168,6 @@ def solve(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
         # What goes on carries no hidden case and no hidden report but in its records, which no prompt reads.
         again = now.where(F.col("state").isin("REPAIR", "REVIEW"))
         prompt = F.when(F.col("state") == "REPAIR", repair_prompt(F.col("base"), F.col("pick.code"), F.col("failure"), F.col("turn"))).otherwise(review_prompt(F.col("base"), F.col("pick.code"), F.col("turn")))
-        active = _kept(again.select("id", "base", "visible_tests", "time_limit_sec", "entry", "seed", "turn", "records", prompt.alias("prompt"), F.when(F.col("state") == "REPAIR", "VISIBLE_REPAIR").otherwise("HIDDEN_REVIEW").alias("context_type"), "diagnostic"))
+        active = checkpointed(again.select("id", "base", "visible_tests", "time_limit_sec", "entry", "seed", "turn", "records", prompt.alias("prompt"), F.when(F.col("state") == "REPAIR", "VISIBLE_REPAIR").otherwise("HIDDEN_REVIEW").alias("context_type"), "diagnostic"))
     left = active.select(F.col("id").alias("problem_id"), *_result("FAILED", final_failure(F.col("records")), F.col("diagnostic"), None))
     return done.unionByName(left)
