@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdict.sources.checkpoint import checkpointed
+
+__all__ = ["SPACE", "WORD", "checkpointed", "let", "small", "table", "word_count", "words"]
+
 #: A word is a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is used only where the
-    setting is absent, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="verdict-checkpoint-"))
-    return df.checkpoint()
-
-
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def words(text: Column, gap: str = SPACE) -> Column:
     """The words of a text between matches of ``gap``, as an array; empty for null or blank texts."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A{gap}", "")
