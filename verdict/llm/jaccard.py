@@ -5,9 +5,10 @@ tiles, which are keyed by ``BANDS`` keys of ``ROWS`` MinHash values each: enough
 is missed in all tiles with probability ``MISS`` (1e-10), and no shared passage makes a tile large by itself.
 
 1. Each class is paired with the smallest class of its tile. Pairs are verified.
-2. Verified links are contracted to components. Tiles that still hold several components are cut into blocks of one size
-   band and at most ``BLOCK`` classes; blocks of compatible sizes are compared all against all, in memory, by bit counts
-   of their bitmaps, and only pairs of different components that the bound lets pass are verified.
+2. Verified links are contracted to components. Tiles that still hold several components are gathered to groups by the
+   classes that they share and cut into blocks of one size band and about ``BLOCK`` classes. Blocks of compatible sizes
+   meet in one task, where bit counts rule out most pairs, arrays decide on the rest, and pairs that are connected already
+   are skipped. A task returns links that join components only, never all pairs.
 
 A pair is verified by the same bound on bitmaps as wide as the sets, then by intersecting the sorted arrays. The bound:
 an overlap is at most (|A| + |B| - popcount(bits(A) xor bits(B))) / 2, where a bit is the parity of the hashes that fall
@@ -28,14 +29,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdict.llm.common import checkpointed
 from verdict.llm.components import components
 from verdict.llm.windows import hinted
 
-ROWS, MISS, BLOCK, TILE_BITS, SLICE = 4, 1e-10, 1024, 1024, 2_000_000
+ROWS, MISS, BLOCK, TILE_BITS, SLICE = 4, 1e-10, 1024, 4096, 2_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -185,50 +186,64 @@ def verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
 
 
-def tile_pairs(rows: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a tile and that size and bit counts do not rule out.
+def block_links(rows: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v), as set ids, that join different components among classes of one group.
 
-    ``rows`` has key, cid, n and root. A tile's classes are dealt by size band and hash into blocks of about BLOCK; each
-    block is sent to the pairs of blocks that it is part of.
+    ``rows`` has grp, cid, n and root: a class, the group of tiles that it is connected to, and its component so far. A
+    group is dealt by size band and hash into blocks of about BLOCK classes, and each block is sent to the pairs of blocks
+    that it is part of: itself, the others of its band, and those of the next band. Within a pair of blocks all classes
+    meet in memory: size and bit counts rule out, sorted arrays decide, and what is connected already is not tried. Only
+    links that join components leave the task, fewer than the block has classes.
     """
     width = math.log(100 / percent)
     banded = rows.withColumn("band", F.floor(F.log("n") / width).cast("long"))
-    blocks = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    dealt = banded.join(blocks, ["key", "band"]).join(sizes, ["key", "band"], "left").join(below, ["key", "band"], "left")
+    blocks = checkpointed(banded.groupBy("grp", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    above = blocks.select("grp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = blocks.select("grp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    dealt = banded.join(hinted(blocks.join(above, ["grp", "band"], "left").join(below, ["grp", "band"], "left")), ["grp", "band"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    within = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("band").alias("band"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), F.lit(0).alias("step")))
-    up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda k: F.struct(F.col("band").alias("band"), F.col("own").alias("i"), k.alias("j"), F.lit(1).alias("step")))).otherwise(F.array().cast("array<struct<band:bigint,i:int,j:int,step:int>>"))
-    down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda k: F.struct((F.col("band") - 1).alias("band"), k.alias("i"), F.col("own").alias("j"), F.lit(1).alias("step")))).otherwise(F.array().cast("array<struct<band:bigint,i:int,j:int,step:int>>"))
-    sent = dealt.select("key", "cid", "n", "root", F.explode(F.concat(within, up, down)).alias("tile")).select("key", "tile", "cid", "n", "root")
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = [bitmap(np.frombuffer(x.as_py(), np.uint64), TILE_BITS).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["cid", "bits"])
+    def tiles(count: str, tile) -> Column:
+        kind = "array<struct<band:bigint,i:int,j:int,step:int>>"
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), tile).cast(kind)).otherwise(F.array().cast(kind))
 
-    signatures = elements.select("cid", "elements").mapInArrow(bits, "cid long, bits binary").dropDuplicates(["cid"])
+    at = lambda band, i, j, step: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), F.lit(step).alias("step"))
+    own, band = F.col("own"), F.col("band")
+    sent = F.concat(tiles("blocks", lambda k: at(band, F.least(own, k), F.greatest(own, k), 0)), tiles("above", lambda k: at(band, own, k, 1)), tiles("below", lambda k: at(band - 1, k, own, 1)))
+    sent = dealt.select("grp", "cid", "n", "root", F.explode(sent).alias("tile"))
 
     def compare(block: pa.Table) -> pa.Table:
-        cid, n, root = (block.column(k).to_numpy() for k in ("cid", "n", "root"))
-        maps = np.frombuffer(b"".join(block.column("bits").to_pylist()), np.uint64).reshape(len(cid), -1)
-        order = np.argsort(n, kind="stable")
-        cid, n, root, maps = cid[order], n[order], root[order], maps[order]
+        order = np.argsort(block.column("n").to_numpy(), kind="stable")
+        n, root = block.column("n").to_numpy()[order], block.column("root").to_numpy()[order]
+        ids, raw = block.column("set_id").to_pylist(), block.column("elements").to_pylist()
+        sets = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
+        maps = np.stack([bitmap(s, TILE_BITS).view(np.uint64) for s in sets])
+        label: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while label.get(k, k) != k:
+                label[k] = label.get(label[k], label[k])
+                k = label[k]
+            return k
+
         one, two = [], []
-        for k in range(len(cid) - 1):
+        for k in range(len(sets) - 1):
             last = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
-            if last <= k + 1:
+            rest = np.flatnonzero(root[k + 1 : last] != root[k]) + k + 1
+            if not len(rest):
                 continue
-            total = n[k] + n[k + 1 : last]
-            most = (total - np.bitwise_count(maps[k] ^ maps[k + 1 : last]).sum(1, dtype=np.int64)) // 2
-            fits = np.flatnonzero((100 * most >= percent * (total - most)) & (root[k + 1 : last] != root[k])) + k + 1
-            one.append(np.full(len(fits), cid[k]))
-            two.append(cid[fits])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            total = n[k] + n[rest]
+            most = (total - np.bitwise_count(maps[k] ^ maps[rest]).sum(1, dtype=np.int64)) // 2
+            for j in rest[100 * most >= percent * (total - most)].tolist():
+                x, y = find(int(root[k])), find(int(root[j]))
+                if x != y and linked(sets[k], sets[j], percent):
+                    label[max(x, y)] = min(x, y)
+                    one.append(ids[order[k]])
+                    two.append(ids[order[j]])
+        return pa.table({"u": pa.array(one, pa.binary()), "v": pa.array(two, pa.binary())})
 
-    return sent.join(signatures, "cid").groupBy("key", "tile").applyInArrow(compare, "a long, b long").distinct()
+    full = elements.select("cid", "set_id", "elements")
+    return sent.join(full, "cid").groupBy("grp", "tile").applyInArrow(compare, "u binary, v binary")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -257,10 +272,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     links = checkpointed(verified(first.distinct(), elements, percent))
     roots = components(links)
 
-    open_tiles = _open(shared, classes, roots)
-    keys = open_tiles.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    rest = checkpointed(open_tiles.join(hinted(checkpointed(keys)), "key", "left_semi"))
-    more = checkpointed(verified(tile_pairs(rest, elements, percent), elements, percent))
+    open_tiles = checkpointed(_open(shared, classes, roots))
+    keys = open_tiles.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("cid").alias("head")).where("p <> q").select("key", "head")
+    rest = checkpointed(open_tiles.join(hinted(checkpointed(keys)), "key"))
+    # Tiles that share classes are one group, so a class is compared there once and not in each of its tiles.
+    chain = components(rest.select(F.col("cid").alias("u"), F.col("head").alias("v")))
+    grouped = checkpointed(rest.select("cid", "n", "root").distinct().join(chain.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid"))
+    more = checkpointed(block_links(grouped, elements, percent))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
