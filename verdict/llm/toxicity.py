@@ -167,8 +167,19 @@ class Model(NamedTuple):
     innocent: frozenset[str]  # words near a term that occur in documents of label 0
     layer: tuple[float, ...]
 
-    def hits(self, texts: Sequence[str | None]) -> Iterator[tuple[int, list[Hit]]]:
-        """(index, hits) of the lower-cased texts that have any."""
+    def hits(self, texts: Sequence[str | None], slice_chars: int = 1_000_000) -> Iterator[tuple[int, list[Hit]]]:
+        """(index, hits) of the lower-cased texts that have any. Whole texts are scanned in slices, so memory is bounded."""
+        start = 0
+        while start < len(texts):
+            stop, total = start, 0
+            while stop < len(texts) and (stop == start or total + len(texts[stop] or "") <= slice_chars):
+                total += len(texts[stop] or "")
+                stop += 1
+            for k, found in self._scan(texts[start:stop]):
+                yield start + k, found
+            start = stop
+
+    def _scan(self, texts: Sequence[str | None]) -> Iterator[tuple[int, list[Hit]]]:
         lowered = [(t or "").lower() for t in texts]
         codes = np.minimum(np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), 65_535)
         edge = np.flatnonzero(np.diff(letters()[codes].astype(np.int8)))
@@ -200,16 +211,10 @@ class Model(NamedTuple):
             if out:
                 yield k, out
 
-    def scores(self, texts: Sequence[str | None], slice_chars: int = 1_000_000) -> np.ndarray:
-        out, start = np.full(len(texts), logistic(self.layer, [0.0] * 5)), 0
-        while start < len(texts):
-            stop, total = start, 0
-            while stop < len(texts) and (stop == start or total + len(texts[stop] or "") <= slice_chars):
-                total += len(texts[stop] or "")
-                stop += 1
-            for k, found in self.hits(texts[start:stop]):
-                out[start + k] = logistic(self.layer, inputs(found, self.automaton.terms))
-            start = stop
+    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
+        out = np.full(len(texts), logistic(self.layer, [0.0] * 5))
+        for k, found in self.hits(texts):
+            out[k] = logistic(self.layer, inputs(found, self.automaton.terms))
         return out
 
 
@@ -260,6 +265,10 @@ def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: flo
                 groups[group] = max(groups.get(group, 0), wanted)
                 yield group, set(words)
 
+    # Plain counts first: only beginnings that several documents hold get sets of their own.
+    begun: Counter[str] = Counter()
+    for _, found in read(1):
+        begun.update({word[:n] for word in found for n in range(3, min(8, len(word)) + 1)})
     ones: dict[str, set[int]] = defaultdict(set)
     stems_one: dict[str, set[int]] = defaultdict(set)
     endings: dict[str, set[str]] = defaultdict(set)
@@ -267,8 +276,10 @@ def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: flo
         for word in found:
             ones[word].add(group)
             for n in range(3, min(8, len(word)) + 1):
-                stems_one[word[:n]].add(group)
-                endings[word[:n]].add(word)
+                if begun[word[:n]] >= 4:
+                    stems_one[word[:n]].add(group)
+                    endings[word[:n]].add(word)
+    del begun
     stems_one = {x: a for x, a in stems_one.items() if len(a) >= 4 and len(endings[x]) >= 4}
     # Of the other documents only what stands in these counts, so memory follows the rows of label 1.
     zeros: dict[str, set[int]] = defaultdict(set)
@@ -293,7 +304,7 @@ def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: flo
     count = Counter(len(a) for a in stems_one.values())
     terms: list[tuple[int, Term]] = []
     for pure, share, odds in ((True, purity, level), (False, MIXED, level / 100)):
-        good = {x: len(a) for x, a in stems_one.items() if len(a) >= 4 and len(endings[x]) >= (4 if len(x) > 3 else 8) and 2 * max(len(ones[w]) for w in endings[x]) <= len(a) and marks(a, stems_zero.get(x, empty), count[len(a)], share, odds)}
+        good = {x: len(a) for x, a in stems_one.items() if len(a) >= 4 and len(endings[x]) >= (4 if len(x) > 3 else 8) and 2 * max(len(ones.get(w, empty)) for w in endings[x]) <= len(a) and marks(a, stems_zero.get(x, empty), count[len(a)], share, odds)}
         done: list[str] = [t.text for _, t in terms]
         for s in sorted(good, key=lambda x: (len(x), x)):
             if any(s.startswith(x) or x.startswith(s) for x in done):
