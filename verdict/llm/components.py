@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from verdict.llm.common import checkpointed
 
 
+#: Edge lists of at most this many rows are worked on in one partition, which needs no shuffles; longer ones stay spread.
+LOCAL_ROWS = 200_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links every neighbour of a node to the least one. The large step looks at all neighbours of a node and moves the
     larger ones; the small step looks at those that are smaller. Minima are combined before the shuffle."""
-    if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    both = edges.select(F.explode(F.array(pair(u, v), pair(v, u))).alias("e")).select("e.*") if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     moved = both.join(least, "u")
-    moved = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    moved = moved.where(v > u).select(v.alias("u"), m.alias("v")) if large else moved.select(F.explode(F.array(pair(v, m), pair(u, m))).alias("e")).select("e.*")
     return moved.where("u <> v").distinct()
 
 
@@ -28,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     costs one round at most.
     """
     edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.count() <= LOCAL_ROWS:
+        edges = edges.coalesce(1)
     state = None
     while True:
         edges = checkpointed(_star(_star(edges, True), False))
