@@ -87,3 +87,11 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sets_of_a_slice_with_fewer_words_than_a_shingle():
+    longer = b"some longer text that fills the slice"
+    for size, text in ((4, b"one two"), (5, b"one two"), (5, b"one two three"), (5, b"one"), (5, b"")):
+        alone = jaccard.shingle_sets([text], size)
+        assert len(alone) == 1 and len(alone[0]) == min(1, len(text))
+        assert alone[0].tolist() == jaccard.shingle_sets([longer, text, longer], size)[1].tolist()

@@ -85,7 +85,7 @@ def shingle_sets(texts: Sequence[bytes], size: int) -> list[np.ndarray]:
         rolled = word.copy()
         for k in range(1, size):
             rolled = rolled * np.uint64(0x100000001B3)
-            rolled[: len(word) - k] += word[k:]
+            rolled[: max(0, len(word) - k)] += word[k:]
         rolled = mixed(rolled)
         at = 0
         for n in counts.tolist():
