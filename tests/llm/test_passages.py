@@ -51,6 +51,26 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_edited_at_both_ends(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {k: text(rng.randrange(15, 26)) for k in range(60)}
+    docs, want = [], set()
+    for key, item in items.items():
+        for edit, changed in enumerate(({0, -1}, {0, 1}, {-1}, {0, 1, -1})):
+            held = ["changed" if k in changed or k - len(item) in changed else w for k, w in enumerate(item)]
+            body = text(7) + held + text(7)
+            docs.append((key * 10 + edit, " ".join(body)))
+            best = max(plain_similarity(body[k : k + len(item)], item) for k in range(len(body) - len(item) + 1))
+            if best >= 0.8:
+                want.add((key * 10 + edit, key, round(best, 6)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(df, bench).collect()}
+    assert len(want) > 100 and got == want, (len(got & want), len(want))
+
+
 def test_blocks_find_all_within_radius(spark):
     rng = random.Random(2)
     rows = []
