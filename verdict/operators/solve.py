@@ -50,37 +50,6 @@ class SolveConfig:
     execution: ExecConfig = ExecConfig()
 
 
-def generate(self, prompts: list[str], seeds: list[int], n: int) -> list[list[str]]:
-        """``n`` raw responses for each prompt."""
-
-
-class RuleGenerator:
-    """Deterministic stand-in for a model: the first rule whose key is in the prompt answers."""
-
-    def __init__(self, rules: list[tuple[str, list[str]]], default: str = "print(0)") -> None:
-        self.rules, self.default = rules, default
-
-    def generate(self, prompts: list[str], seeds: list[int], n: int) -> list[list[str]]:
-        found = (next((codes for key, codes in self.rules if key in p), [self.default]) for p in prompts)
-        return [[f"```python\n{codes[k % len(codes)]}\n```" for k in range(n)] for codes in found]
-
-
-@dataclass(frozen=True)
-class SolveConfig:
-    max_repair_turns: int = 3
-    candidates_per_turn: int = 1
-    rerank_with_reward_tests: bool = False
-    seed: int = 42
-    execution: ExecConfig = ExecConfig()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="verdict-checkpoint-"))
-    return df.checkpoint()
-
-
 def generate(rows: DataFrame, factory: Callable[[], Generator], n: int) -> DataFrame:
     """Adds ``responses`` to rows with ``prompt`` and ``seed``."""
     packed = rows.select(F.struct(*rows.columns).alias("row"), "prompt", "seed")
