@@ -13,14 +13,6 @@ def test_query_equals_sql(spark, name):
     assert_same(spark, QUERIES[name], ORACLES[name])
 
 
-def test_executing_queries(spark):
-    kinds = {(r.all_passed, r.kind) for r in QUERIES["q38_execute_cases"](spark, DATA).collect()}
-    assert kinds == {(True, "NONE"), (False, "WRONG_ANSWER"), (False, "RUNTIME_ERROR")}
-    assert {(r.outcome, r.tried, r.marked) for r in QUERIES["q39_verify_oracles"](spark, DATA).collect()} == {("verified", 3, 1)}
-    solved = {r.problem_id: (r.status, r.attempts) for r in QUERIES["q40_solve_loop"](spark, DATA).collect()}
-    assert all(v == (("VERIFIED_SOLVED", 2) if k == "Brand#12" else ("FAILED", 2)) for k, v in solved.items())
-
-
 def test_entry(spark):
     import __spark_entry__
 

@@ -232,7 +232,7 @@ def test_sources(spark, tmp_path):
     r = rows.first()
     assert rows.count() == 1 and r.time_limit_sec == 2.0 and r.tests.visible_tests[0].id == "visible-0001" and r.tests.eval_tests == [] and [s.code for s in r.oracle.solutions] == ["c"]
     io.save_problems(rows, str(tmp_path / "out"))
-    assert io.problems(spark, str(tmp_path / "out")).first() == r
+    assert io.problems(spark, str(tmp_path / "out"), lines=True).first() == r
     (tmp_path / "x.jsonl").write_text('{"id": "a"}\n\n{bad\n{"id": "b"}\n')
     assert [x.id for x in io.jsonl(spark, str(tmp_path / "x.jsonl"), "id string", "tolerant").collect()] == ["a", "b"]
     assert io.non_blank_lines(spark, str(tmp_path / "x.jsonl")) == 3
@@ -240,8 +240,9 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception):
         io.jsonl(spark, str(tmp_path / "x.jsonl"), "id string").collect()
     assert io.sidecar(spark, str(tmp_path / "none.json")) == {}
-    io.save_sidecar(spark, str(tmp_path / "side.json"), {"role": "train"})
-    assert io.sidecar(spark, str(tmp_path / "side.json")) == {"role": "train"}
+    for name in ("side.json", "_split.json"):
+        io.save_sidecar(spark, str(tmp_path / name), {"role": "train"})
+        assert io.sidecar(spark, str(tmp_path / name)) == {"role": "train"}
     (tmp_path / "r.json").write_text(json.dumps({"results": [{"problem_id": "a", "status": "FAILED", "attempts": 1}]}))
     assert io.report(spark, str(tmp_path / "r.json")).first().problem_id == "a"
 

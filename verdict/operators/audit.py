@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.functions.python_code import has_syntax_warning, syntax_valid
+from verdict.functions.python_code import canonical_json, has_syntax_warning, syntax_valid
 from verdict.functions.text import BLANK, fenced_code, py_strip
-from verdict.operators.reward import stats
+from verdict.operators.order_stats import whole_stats
+from verdict.operators.split import fingerprint
+from verdict.sources.checkpoint import checkpointed
 from verdict.sources.schema import best_verified
 
 
@@ -20,15 +22,6 @@ def total(flag: Column) -> Column:
     return F.coalesce(F.sum(F.coalesce(flag, F.lit(False)).cast("long")), F.lit(0))
 
 
-def fingerprint(value: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(value)), "\n"), 256)
-
-
-def fingerprint_v2(value: Column) -> Column:
-    """For large texts: over the texts' own hashes, so that the gathered row stays small."""
-    return fingerprint(F.sha2(value, 256))
-
-
 def problems(df: DataFrame) -> DataFrame:
     """One row of figures over training problems."""
     code = py_strip(best_verified(F.col("oracle")))
@@ -41,9 +34,8 @@ def problems(df: DataFrame) -> DataFrame:
         *(total(F.size(f"tests.{n}_tests") == 0).alias(f"missing_{n}_tests") for n in ("visible", "reward", "eval")),
         total(has_code & ~F.col("__valid")).alias("invalid_oracle_syntax"), total(has_code & F.col("__warns")).alias("syntax_warning_records"),
         duplicates(py_strip(F.col("statement"))).alias("duplicate_statements"), duplicates(F.col("__code")).alias("duplicate_oracle_codes"),
-        fingerprint(F.col("id")).alias("fingerprint"),
     )
-    return figures.crossJoin(modes)  # one row each
+    return figures.crossJoin(fingerprint(df, "id")).crossJoin(modes)  # one row each
 
 
 def parsed_records(lines: DataFrame) -> DataFrame:
@@ -62,15 +54,17 @@ def parsed_records(lines: DataFrame) -> DataFrame:
 def dataset(lines: DataFrame) -> DataFrame:
     """One row of figures over lines of training records."""
     rows = parsed_records(lines).withColumn("code", F.when(F.col("valid"), fenced_code(F.col("output"))))
-    rows = rows.withColumn("ok", syntax_valid("code")).withColumn("warns", has_syntax_warning("code"))
+    rows = checkpointed(rows.withColumn("ok", syntax_valid("code")).withColumn("warns", has_syntax_warning("code")))
     good, block = F.col("valid"), F.col("code").isNotNull()
-    return rows.agg(
+    figures = rows.agg(
         F.count("*").alias("records"), total(F.col("malformed")).alias("malformed_json_records"), total(~F.col("malformed") & ~good).alias("invalid_schema_records"),
         total(block).alias("valid_code_block_records"), total(block & F.col("ok")).alias("syntax_valid_records"), total(block & F.col("warns")).alias("syntax_warning_records"),
         duplicates(F.when(good, F.col("input"))).alias("duplicate_inputs"), duplicates(F.when(good, F.col("output"))).alias("duplicate_outputs"),
-        stats(F.when(good, F.length("input")), "int").alias("input_chars"), stats(F.length("code"), "int").alias("code_chars"),
-        fingerprint(F.when(good, F.col("output"))).alias("fingerprint"),
     )
+    for name, value in (("input_chars", F.when(good, F.length("input"))), ("code_chars", F.length("code"))):
+        figures = figures.crossJoin(whole_stats(rows, value).agg(F.struct(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("min", "median", "p95", "max"))).alias(name)))
+    # Outputs are long, so their hashes are sorted in their place.
+    return figures.crossJoin(fingerprint(rows.where(good).select(F.sha2("output", 256).alias("id")), "id"))  # one row each
 
 
 def training_data(spark: SparkSession, train: DataFrame, path: str, strict: bool = False) -> dict:
@@ -93,21 +87,11 @@ def training_data(spark: SparkSession, train: DataFrame, path: str, strict: bool
 
 
 def length_stats(df: DataFrame, value: Column, *by: str) -> DataFrame:
-    """Least, median (whole), 95th percentile by index and greatest of whole numbers, per group of ``by``.
-
-    Order statistics come from the counts of distinct values, so nothing is gathered and the windows run over as many rows
-    as there are different values.
-    """
-    from pyspark.sql import Window
-
-    counts = df.select(*by, value.cast("long").alias("v")).where("v IS NOT NULL").groupBy(*by, "v").count()
-    whole = Window.partitionBy(*by)
-    cumulated = counts.select("*", F.sum("count").over(whole.orderBy("v")).alias("upto"), F.sum("count").over(whole).alias("n"))
+    """Least, median (whole), 95th percentile by index and greatest of whole numbers, per group of ``by``."""
+    return whole_stats(df, value, *by)
 
-    def at(index: Column) -> Column:
-        return F.min(F.when(F.col("upto") > index, F.col("v")))
 
-    n = F.col("n")
-    picks = [F.min("v").alias("min"), at(F.floor((n - 1) / 2)).alias("low"), at(F.floor(n / 2)).alias("high"), at(F.floor(F.lit(0.95) * (n - 1))).alias("p95"), F.max("v").alias("max"), F.max("n").alias("records")]
-    found = cumulated.groupBy(*by).agg(*picks)
-    return found.select(*by, "records", "min", F.floor((F.col("low") + F.col("high")) / 2).cast("long").alias("median"), "p95", "max")
+def dataset_fingerprint(df: DataFrame, ident: str = "id", bundle: str = "bundle") -> DataFrame:
+    """A fingerprint of bundles in order of their ids, each by the hash of its JSON with sorted keys."""
+    hashed = df.select(F.col(ident).alias("id"), F.sha2(canonical_json(F.to_json(bundle, {"ignoreNullFields": "false"})), 256).alias("hash"))
+    return fingerprint(hashed, "id", F.concat_ws(" ", "id", "hash"))

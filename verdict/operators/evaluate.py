@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdict.functions.reports import all_passed, any_runtime_error, any_timeout, pass_rate
+from verdict.operators.order_stats import float_stats
 
 
 def solved(status: Column) -> Column:
@@ -98,10 +99,14 @@ def by_io_mode(pairs: DataFrame) -> DataFrame:
     return sums.select("*", *((F.col(f"{s}_solved") / F.col("problems")).alias(f"{s}_verified_success_rate") for s in ("base", "candidate")))
 
 
+def lengths(rows: DataFrame, side: str, value: str) -> DataFrame:
+    """(side, median, mean, max) of a column, per side."""
+    return float_stats(rows, F.col(value), side).select(side, "median", "mean", "max")
+
+
 def code_lengths(pairs: DataFrame) -> DataFrame:
     sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.length(f"{s}_code").alias("n")) for s in ("base", "candidate"))))
-    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return pairs.select(sides.alias("x")).groupBy("x.side").agg(zero(F.median("x.n")).alias("median"), zero(F.avg("x.n")).alias("mean"), zero(F.max("x.n")).alias("max"))
+    return lengths(pairs.select(sides.alias("x")).select("x.*"), "side", "n")
 
 
 def regressions(pairs: DataFrame, limit: int = 10) -> DataFrame:

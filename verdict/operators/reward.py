@@ -9,6 +9,7 @@ from verdict.functions.python_code import round6
 from verdict.functions.reports import NO_CODE_REASON, NO_CODE_REWARD, reward
 from verdict.functions.text import extract_python_code, looks_hardcoded, py_strip
 from verdict.operators.execute import ExecConfig, run_suites
+from verdict.operators.order_stats import float_stats
 from verdict.operators.records import bad_completion, fenced, reward_log_row
 from verdict.sources.schema import best_verified
 
@@ -41,12 +42,8 @@ def log_rows(scored: DataFrame, reward_call: int, run_id: str | None = None) ->
     return out if run_id is None else out.withColumn("run_id", F.lit(run_id))
 
 
-def stats(value: Column, kind: str = "float") -> Column:
-    """min, median, mean and max; zeros for no values. ``int`` has whole medians and the 95th percentile by index."""
-    if kind == "int":
-        ordered = F.array_sort(F.collect_list(value))
-        p95 = F.get(ordered, F.floor(F.lit(0.95) * (F.count(value) - 1)).cast("int"))
-        return F.struct(*(F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in (("min", F.min(value)), ("median", F.median(value)), ("p95", p95), ("max", F.max(value)))))
+def stats(value: Column) -> Column:
+    """min, median, mean and max over a bounded number of rows; zeros for none."""
     return F.struct(*(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in (("min", F.min(value)), ("median", F.median(value)), ("mean", F.avg(value)), ("max", F.max(value)))))
 
 
@@ -56,24 +53,30 @@ def groups(log: DataFrame, keys: tuple[str, ...] = ("reward_call", "problem_id")
     return log.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(total) - F.min(total) > 1e-9).alias("varying"))
 
 
+def group_variance(log: DataFrame, keys: tuple[str, ...] = ("reward_call", "problem_id")) -> DataFrame:
+    """One row: groups, those whose rewards vary, and the share of the others."""
+    counted = groups(log, keys).agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("varying").cast("long")), F.lit(0)).alias("varying_reward_groups"))
+    return counted.withColumn("zero_variance_group_rate", F.when(F.col("groups") > 0, 1 - F.col("varying_reward_groups") / F.greatest("groups", F.lit(1))).otherwise(0.0))
+
+
 def reason_counts(log: DataFrame) -> DataFrame:
     return log.select(F.explode("reasons").alias("reason")).groupBy("reason").count()
 
 
 def summarize(log: DataFrame, keys: tuple[str, ...] = ("reward_call", "problem_id")) -> DataFrame:
-    """One row of figures over a reward log."""
+    """One row of figures over a reward log. Medians are exact; see ``order_stats``."""
     total = F.coalesce("total", F.lit(0.0))
     n = F.count("*")
     rate = lambda c: F.when(n > 0, c / F.greatest(n, F.lit(1))).otherwise(0.0)
     main = log.agg(
-        n.alias("completions"), stats(total).alias("reward"), stats(F.coalesce("code_chars", F.lit(0))).alias("code_chars"),
+        n.alias("completions"),
         rate(F.sum((total >= 0.999).cast("int"))).alias("fully_correct_rate"),
         rate(F.countDistinct(F.nullif(F.col("code_hash"), F.lit("")))).alias("unique_code_hash_rate"),
     )
-    by_group = groups(log, keys).agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("varying").cast("long")), F.lit(0)).alias("varying_reward_groups"))
-    by_group = by_group.withColumn("zero_variance_group_rate", F.when(F.col("groups") > 0, 1 - F.col("varying_reward_groups") / F.greatest("groups", F.lit(1))).otherwise(0.0))
+    for name, value in (("reward", total), ("code_chars", F.coalesce("code_chars", F.lit(0)))):
+        main = main.crossJoin(float_stats(log, value).select(F.struct("min", "median", "mean", "max").alias(name)))
     reasons = reason_counts(log).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "count")))).alias("reason_counts"))
-    return main.crossJoin(by_group).crossJoin(reasons)  # one row each
+    return main.crossJoin(group_variance(log, keys)).crossJoin(reasons)  # one row each
 
 
 def audit(problems: DataFrame, limit: int = 200, config: ExecConfig = ExecConfig()) -> DataFrame:

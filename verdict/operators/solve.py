@@ -12,15 +12,17 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.functions.reports import all_passed, candidate_score, failure_summary, final_failure, pass_rate
 from verdict.functions.text import extract_python_code, problem_seed
 from verdict.operators.execute import ExecConfig, run_suites
 from verdict.operators.records import initial_prompt, problem_prompt, repair_prompt, review_prompt
+from verdict.operators.resume import remaining
+from verdict.sources import io
 from verdict.sources.checkpoint import checkpointed
-from verdict.sources.schema import CANDIDATE, RECORD, REPORT
+from verdict.sources.schema import CANDIDATE, RECORD, REPORT, RESULT
 
 
 class Generator(Protocol):
@@ -140,3 +142,24 @@ def solve(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
         active = checkpointed(again.select("id", "base", "visible_tests", "time_limit_sec", "entry", "seed", "turn", "records", prompt.alias("prompt"), F.when(F.col("state") == "REPAIR", "VISIBLE_REPAIR").otherwise("HIDDEN_REVIEW").alias("context_type"), "diagnostic"))
     left = active.select(F.col("id").alias("problem_id"), *_result("FAILED", final_failure(F.col("records")), F.col("diagnostic"), None))
     return done.unionByName(left)
+
+
+def empty_results(spark: SparkSession) -> DataFrame:
+    """A table of results without rows."""
+    return spark.createDataFrame([], RESULT)
+
+
+def resumed(problems: DataFrame, factory: Callable[[], Generator], path: str, config: SolveConfig = SolveConfig(), batches: int = 1) -> DataFrame:
+    """Results of all ``problems``, kept in the table at ``path``: those that it has already are not solved again.
+
+    The rest is solved in ``batches`` by a hash of the id, and each is appended as it is done, so a run that stops goes on
+    with what is left. Problems that the table has and ``problems`` lacks do not count.
+    """
+    spark = problems.sparkSession
+    if not io.exists(spark, path):
+        empty_results(spark).write.parquet(path)
+    rest = remaining(problems, spark.read.parquet(path).select(F.col("problem_id").alias("id")), "id")
+    for k in range(batches):
+        part = checkpointed(rest.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k) if batches > 1 else rest)
+        solve(part, factory, config).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(problems.select(F.col("id").alias("problem_id")), "problem_id", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,9 +60,14 @@ def assign(df: DataFrame, ident: str = "id", train: float = 0.8, dev: float = 0.
     return placed.withColumn("split", F.when(F.col("__rank") < first, "train").when(F.col("__rank") < second, "dev").otherwise("test")).drop("__rank")
 
 
-def fingerprint(df: DataFrame, ident: str = "id") -> DataFrame:
-    """sha256 of the sorted values, one to a line. It gathers the values in one row: meant for ids, not for texts."""
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(ident)), "\n"), 256).alias("fingerprint"))
+def fingerprint(df: DataFrame, ident: str = "id", line: Column | None = None) -> DataFrame:
+    """sha256 over the values, or their ``line``s, in order of the values, in slices: values are dealt by the first digits
+    of their hash, a slice's sorted lines are hashed, and so are the slices' hashes in their order. So no task holds more
+    than a slice, and the result depends on neither order nor partitions."""
+    rows = df.select(F.col(ident).cast("string").alias("v"), (F.col(ident).cast("string") if line is None else line).alias("l"))
+    place = F.struct("v", "l")
+    slices = rows.groupBy(F.substring(F.sha2("v", 256), 1, 3).alias("slice")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["l"]), "\n"), 256).alias("h"))
+    return slices.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
 
 
 def split(problems: DataFrame, train: float = 0.8, dev: float = 0.1, test: float = 0.1, seed: int = 42, include_unverified: bool = False, allow_missing_groups: bool = False) -> DataFrame:
@@ -90,5 +96,7 @@ def write(placed: DataFrame, path: str, seed: int) -> None:
     if any(r.overlap for r in found.values()):
         raise ValueError("splits overlap")
     placed.write.mode("overwrite").partitionBy("split").parquet(f"{path}/problems")
-    metadata = placed.groupBy("split").agg(F.count("*").alias("problem_count"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("problem_id_fingerprint"), F.sum((~has_all_groups(F.col("tests"))).cast("long")).alias("training_only_count"))
+    counted = placed.groupBy("split").agg(F.count("*").alias("problem_count"), F.sum((~has_all_groups(F.col("tests"))).cast("long")).alias("training_only_count"))
+    prints = [fingerprint(placed.where(F.col("split") == name)).select(F.lit(name).alias("split"), F.col("fingerprint").alias("problem_id_fingerprint")) for name in sorted(found)]
+    metadata = counted.join(reduce(DataFrame.unionByName, prints), "split")
     metadata.select(F.col("split").alias("role"), F.lit(seed).alias("seed"), "problem_count", "problem_id_fingerprint", "training_only_count").write.mode("overwrite").json(f"{path}/_metadata")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,13 @@ from pyspark.sql import functions as F
 from verdict.functions import reports as R
 from verdict.functions import text as T
 from verdict.operators import audit, evaluate, pack, resume, reward, solve, split
-from verdict.operators.execute import ExecConfig, run_suites
 from verdict.operators.records import INSTRUCTION, SYSTEM_PROMPT, fenced, initial_prompt
-from verdict.operators.verify import verify
+from verdict.plans import catalog_problems
 from verdict.plans.tables import EXCHANGE_SQL, LOG_SQL, REPORT_SQL, candidates, exchanges, reports, reward_log, run_of_line, table
+from verdict.sources.checkpoint import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-CHUNK = ExecConfig(tasks=16)
 
 
 def query(sql: str | None = None):
@@ -93,7 +93,8 @@ def q06_split_counts_overlap(spark, sf_dir):
     return split.counts(split.assign(_verified(spark, sf_dir).select("doc_id", "id")))
 
 
-@query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents")
+@query("""WITH s AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 3) AS slice, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS h FROM documents GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY slice)) AS fingerprint FROM s""")
 def q07_id_fingerprint(spark, sf_dir):
     return split.fingerprint(_documents(spark, sf_dir))
 
@@ -126,7 +127,7 @@ def q11_reward_summary(spark, sf_dir):
 
 @query("WITH " + LOG_SQL + ", g AS (SELECT max(total) - min(total) > 1e-9 AS varying FROM log GROUP BY reward_call, problem_id) SELECT count(*) AS groups, CAST(sum(varying::INT) AS BIGINT) AS varying_reward_groups, round(1 - sum(varying::INT) / count(*), 6) AS zero_variance_group_rate FROM g")
 def q12_reward_group_variance(spark, sf_dir):
-    return reward.summarize(reward_log(spark, sf_dir)).select("groups", "varying_reward_groups", F.round("zero_variance_group_rate", 6).alias("zero_variance_group_rate"))
+    return reward.group_variance(reward_log(spark, sf_dir)).select("groups", "varying_reward_groups", F.round("zero_variance_group_rate", 6).alias("zero_variance_group_rate"))
 
 
 @query("WITH " + LOG_SQL + "SELECT reason, count(*) AS count FROM (SELECT unnest(reasons) AS reason FROM log) GROUP BY reason")
@@ -348,18 +349,25 @@ def q33_resume_anti_join(spark, sf_dir):
 def q34_heldout_leakage(spark, sf_dir):
     """Documents that hold a benchmark item verbatim. Both sides meet by the hash of an item's first words; the
     whole item is compared after that."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.btrim("text").alias("item")).where("item <> ''")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.btrim("text").alias("item")).where("item <> ''").withColumn("w", F.split("item", r"\s+"))
+    # An item's anchor is its first window of up to 8 words; the lengths of anchors are 8 at most, so few passes are made.
+    items = checkpointed(items.withColumn("n", F.least(F.lit(8), F.size("w"))).select("item_id", "item", "n", F.xxhash64(F.slice("w", 1, F.col("n"))).alias("lead")))
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())
+    bits = items.select((F.pmod("lead", F.lit(1 << 16))).alias("b")).distinct()
+    marks = bits.groupBy((F.shiftright("b", 6)).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("word"))
+    # One row of a fixed size: a bit for the hash of every anchor, tried before a window leaves its document's array.
+    filled = marks.agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0).cast("long"))).alias("marks"))
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    # Windows of as many words as every item has at least, up to 8; the anchor of an item is its first window.
-    n = items.agg(F.least(F.lit(8), F.min(F.size(F.split("item", r"\s+"))))).first()[0] or 1
-    body = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
-    last = F.size("w") - n + 1
-    hashes = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.xxhash64(F.slice("w", k, n))))
-    hits = body.select("doc_id", F.explode(hashes).alias("lead"))
-    anchors = items.select("item_id", "item", F.xxhash64(F.slice(F.split("item", r"\s+"), 1, n)).alias("lead"))
-    few = anchors.count() <= 100_000
-    found = hits.join(F.broadcast(anchors.select("item_id", "lead")) if few else anchors.select("item_id", "lead"), "lead").select("doc_id", "item_id").distinct()
-    checked = found.join(docs.select("doc_id", "text"), "doc_id").join(anchors.select("item_id", "item"), "item_id")
+    body = docs.select("doc_id", F.split("text", r"\s+").alias("w")).crossJoin(F.broadcast(checkpointed(filled)))
+
+    def windows(n: int):
+        hashes = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.xxhash64(F.slice("w", k, n)))
+        told = lambda h: F.getbit(F.element_at("marks", (F.shiftright(F.pmod(h, F.lit(1 << 16)), 6) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+        return F.when(F.size("w") >= n, F.array_distinct(F.filter(hashes, told)))
+
+    found = reduce(DataFrame.unionByName, [body.select("doc_id", F.lit(n).alias("n"), F.explode(windows(n)).alias("lead")) for n in lengths or [8]])
+    found = found.join(items.select("item_id", "n", "lead"), ["n", "lead"]).select("doc_id", "item_id").distinct()
+    checked = found.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id")
     return checked.where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
 
 
@@ -382,51 +390,5 @@ def q37_hardcode_heuristic(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.looks_hardcoded(code, mode, F.array("text")).alias("hardcoded"))
 
 
-def _case(stdin, expected, ident="c"):
-    return F.struct(stdin.alias("stdin"), expected.alias("expected_stdout"), F.lit(ident).alias("id"), F.lit(None).cast("double").alias("timeout_sec"))
-
-
-@query()
-def q38_execute_cases(spark, sf_dir):
-    """A program for every part size: right, wrong, crashing or called, each over two cases."""
-    sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("size")).distinct()
-    kind = F.col("size").cast("int") % 4
-    code = F.when(kind == 0, "a, b = map(int, input().split())\nprint(a + b)").when(kind == 1, "a, b = map(int, input().split())\nprint(a - b)").when(kind == 2, "raise RuntimeError('no')").otherwise("def add(a, b):\n    return a + b")
-    first, second = (F.when(kind == 3, F.concat(F.lit("["), "size", F.lit(f", {k}]"))).otherwise(F.concat("size", F.lit(f" {k}\n"))) for k in (3, 4))
-    cases = F.array(*(_case(s, (F.col("size").cast("int") + k).cast("string"), f"c{k}") for s, k in ((first, 3), (second, 4))))
-    ran = run_suites(sizes, {"report": (code, cases, "visible")}, F.lit(5.0), F.when(kind == 3, "add").otherwise(""), config=CHUNK)
-    return ran.select("size", R.all_passed(F.col("report")).alias("all_passed"), R.pass_rate(F.col("report")).alias("pass_rate"), R.failure_kind(F.col("report")).alias("kind"))
-
-
-def _problems(spark, sf_dir):
-    """A problem for every brand: add its number to the input. Its solutions: a wrong one, one with a warning, a clean one."""
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct().withColumn("n", F.regexp_extract("p_brand", r"(\d+)", 1))
-    case = lambda k: F.array(_case(F.lit(f"{k}\n"), (F.col("n").cast("long") + k).cast("string"), f"k{k}"))
-    clean = F.concat(F.lit("print(int(input()) + "), "n", F.lit(")"))
-    warned = F.concat(F.lit("x = int(input())\nif x is 1:\n    pass\nprint(x + "), "n", F.lit(")"))
-    solution = lambda c: F.struct(F.lit("python3").alias("language"), c.alias("code"), F.lit(False).alias("verified"))
-    blank = F.lit("")
-    rows = brands.select(
-        F.col("p_brand").alias("id"), F.concat(F.lit("Add the number of "), "p_brand").alias("statement"), blank.alias("input_format"), blank.alias("output_format"), F.array().cast("array<string>").alias("constraints"), F.lit("python3").alias("language"),
-        F.lit(5.0).alias("time_limit_sec"), F.lit(256).alias("memory_limit_mb"), F.lit("stdin").alias("io_mode"), blank.alias("entry_point"),
-        F.struct(case(1).alias("visible_tests"), case(2).alias("reward_tests"), case(3).alias("eval_tests")).alias("tests"),
-        F.struct(F.array(solution(F.lit("print(0)")), solution(warned), solution(clean)).alias("solutions"), blank.alias("source"), blank.alias("url")).alias("oracle"),
-    )
-    return rows
-
-
-@query()
-def q39_verify_oracles(spark, sf_dir):
-    done = verify(_problems(spark, sf_dir), config=CHUNK)
-    return done.select("id", "verified", "outcome", F.size("attempts").alias("tried"), F.size(F.filter("oracle.solutions", lambda s: s["verified"])).alias("marked"))
-
-
-def _rules():
-    return solve.RuleGenerator([("Previous candidate", ["print(int(input()) + 12)"])], "print(0)")
-
-
-@query()
-def q40_solve_loop(spark, sf_dir):
-    """Two turns with a rule-based generator, whose repair is right for the brand with number 12 alone."""
-    done = solve.solve(_problems(spark, sf_dir), _rules, solve.SolveConfig(max_repair_turns=1, execution=CHUNK))
-    return done.select("problem_id", "status", "attempts", "failure_reason", F.size("attempt_records").alias("records"))
+QUERIES |= catalog_problems.QUERIES
+ORACLES |= catalog_problems.ORACLES

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from verdict.sources.schema import PROBLEM_FILE, RESULT, coerced
 
 
-def problems(spark: SparkSession, path: str) -> DataFrame:
-    """A problem file or a folder of them. Files that start with ``_`` are metadata and are not read."""
-    return coerced(spark.read.schema(PROBLEM_FILE).json(path, multiLine=True))
+def problems(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A problem file or a folder of them, one problem to a file, or with ``lines`` one to a line as ``save_problems``
+    writes them. Files that start with ``_`` are metadata and are not read."""
+    return coerced(spark.read.schema(PROBLEM_FILE).json(path, multiLine=not lines))
 
 
 def save_problems(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -53,8 +54,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def sidecar(spark: SparkSession, path: str) -> dict:
-    """A small JSON document beside a table, from any file system that Spark reads; empty if it is absent."""
-    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if exists(spark, path) else {}
+    """A small JSON document beside a table, from any file system that Spark reads; empty if it is absent.
+
+    It is read through the file system, since Spark's readers skip names that start with ``_``.
+    """
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return {}
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def save_sidecar(spark: SparkSession, path: str, value: dict) -> None:
