@@ -6,13 +6,13 @@ stages rows are written as Parquet and read again, so a stage that fails repeats
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from verdict.llm import stages
 from verdict.llm.common import table
+from verdict.sources.checkpoint import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpus-pipeline-")
     docs, name = table(spark, sf_dir, "documents"), uuid.uuid4().hex
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder.rstrip('/')}/pipeline-{name}/{k}"
+        path = f"{shared_folder(spark)}/pipeline-{name}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
