@@ -55,8 +55,41 @@ def test_against_brute_force(spark):
         assert got == brute(docs, size, percent)
 
 
-def test_blocks_of_a_large_tile(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+def edges_of_links(rng, percent, largest):
+    """Two sets that are just linked: of one size or of sizes as different as they may be."""
+    while True:
+        small = int(rng.integers(6, largest))
+        large = small if rng.random() < 0.5 else int(rng.integers(small, small * 100 // percent + 1))
+        common = -(-percent * (small + large) // (100 + percent))
+        if common <= small:
+            pool = np.unique(rng.integers(0, 1 << 64, 2 * (small + large) + 8, np.uint64))
+            rng.shuffle(pool)
+            return np.sort(pool[:small]), np.sort(np.concatenate([pool[:common], pool[small : small + large - common]]))
+
+
+def test_links_at_the_threshold_meet_in_a_tile():
+    rng = np.random.default_rng(5)
+    for percent in (85, 80):
+        exact = next(1 << b for b in range(20) if jaccard.parts(b, percent)[0] != jaccard.parts(b, percent)[1])
+        for largest, n in ((exact, 4000), (40 * exact, 600)):
+            for _ in range(n):
+                a, b = edges_of_links(rng, percent, largest)
+                assert jaccard.linked(a, b, percent)
+                assert set(jaccard.tile_keys(a, percent).tolist()) & set(jaccard.tile_keys(b, percent).tolist()), (len(a), len(b))
+
+
+def test_unlike_sets_that_share_a_passage_rarely_meet():
+    rng = np.random.default_rng(6)
+    passage, met = rng.integers(0, 1 << 64, 50, np.uint64), 0
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 300, np.uint64)])) for _ in range(60)]
+    keys = [set(jaccard.tile_keys(s, 85).tolist()) for s in sets]
+    for i in range(60):
+        met += sum(bool(keys[i] & keys[j]) for j in range(i))
+    assert met < 36  # of 1770 pairs
+
+
+def test_parts_of_a_large_tile(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_BYTES", 2000)
     docs = corpus(5, 30)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 4, 85).collect())

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from verdict.sources.checkpoint import checkpointed
 
-__all__ = ["SPACE", "WORD", "checkpointed", "let", "small", "table", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "checkpointed", "hinted", "let", "slices", "table", "word_count", "words"]
 
 #: A word is a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +38,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has at most ``rows`` rows: the check that guards every broadcast hint."""
-    return df.limit(rows + 1).count() <= rows
+#: A side of a join is hinted for broadcast up to this many bytes of values, measured before; beyond, joins shuffle.
+BROADCAST_BYTES = 8_000_000
+
+
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes: texts and arrays by their contents, all else by eight bytes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((value_bytes(value[f.name], f.dataType) for f in kind), F.lit(8))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + value_bytes(x, kind.elementType)), F.lit(16))
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 16
+    return F.lit(8)
+
+
+def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values have been measured to take at most ``limit`` bytes."""
+    total = df.agg(F.sum(sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0)).cast("long")).alias("n")).first().n
+    return F.broadcast(df) if (total or 0) <= limit else df
+
+
+def slices(texts: Sequence, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``limit`` characters or bytes in all, one text at least."""
+    start = 0
+    while start < len(texts):
+        stop, total = start, 0
+        while stop < len(texts) and (stop == start or total + len(texts[stop] or "") <= limit):
+            total += len(texts[stop] or "")
+            stop += 1
+        yield start, stop
+        start = stop

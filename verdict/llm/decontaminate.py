@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdict.llm.common import SPACE, checkpointed, let
-from verdict.llm.windows import SHINGLE, anchored_windows, containment, hinted, located, passages, shingles
+from verdict.llm.common import SPACE, checkpointed, hinted, let
+from verdict.llm.windows import SHINGLE, anchored_windows, containment, located, passages, shingles
 
 BITS, RADIUS, THRESHOLD = 64, 11, 0.8
 

@@ -1,30 +1,35 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection of sorted arrays.
 
-A document's set holds the hashes of its distinct word shingles; equal sets are one class from the start. Classes meet in
-tiles, which are keyed by ``BANDS`` keys of ``ROWS`` MinHash values each: enough bands that a link at the very threshold
-is missed in all tiles with probability ``MISS`` (1e-10), and no shared passage makes a tile large by itself.
+A document's set holds the hashes of its distinct word shingles; equal sets are one class from the start. Sets are banded
+by size, a band being a factor of two; a set that may have smaller partners in the band below is in that one as well. In a
+band every set is cut, by ranges of hashes, into the same number of blocks, more than two linked sets of the band can
+differ in elements. So linked sets agree in whole blocks, and the heaviest blocks, one more than the set may differ in,
+hold one of these. The hash of a block's elements is its signature, and a tile holds the sets of a band that agree in one.
+
+That is so for sets in bands of up to ``EXACT`` blocks, below 256 shingles at 0.85, 128 at 0.8: nothing is left to chance.
+Larger sets are cut into fewer, heavier blocks, of which the first ``BLOCKS`` are looked at. Blocks hold different elements,
+so the chance that a link at the very threshold shows in none of them is below 2e-7 for any sizes, and 1e-9 for most. A
+passage that many documents share seldom fills a block of theirs, so it makes no large tile.
 
 1. Each class is paired with the smallest class of its tile. Pairs are verified.
-2. Verified links are contracted to components. Tiles that still hold several components are gathered to groups by the
-   classes that they share and cut into blocks of one size band and about ``BLOCK`` classes. Blocks of compatible sizes
-   meet in one task, where bit counts rule out most pairs, arrays decide on the rest, and pairs that are connected already
-   are skipped. A task returns links that join components only, never all pairs.
+2. Verified links are contracted to components. Of the tiles that still hold several components, one of each membership
+   is cut into parts of about ``PART_BYTES``. Each pair of parts meets in one task, where sizes and bit counts of hashed
+   bitmaps rule out most pairs, sorted arrays decide on the rest, and pairs that are connected already are skipped. A task
+   returns links that join components only, never all pairs.
 
-A pair is verified by the same bound on bitmaps as wide as the sets, then by intersecting the sorted arrays. The bound:
-an overlap is at most (|A| + |B| - popcount(bits(A) xor bits(B))) / 2, where a bit is the parity of the hashes that fall
-on it. So every link between different sets is found, by itself or within a component that is already known, and hot
-tiles are spread over tasks.
+The bound by bit counts: an overlap is at most (|A| + |B| - popcount(bits(A) xor bits(B))) / 2, where a bit is the parity
+of the hashes that fall on it.
 
 Defined results: null, empty and blank texts have no set, are linked with nothing and are their own component; a text of
 fewer words than a shingle is one shingle; rows that agree in text are one class whatever their ids; a component's id is
 the least ``doc_id`` in it (null only if all are); repeated rows stay repeated; only ``doc_id`` and ``text`` are read;
-empty tables give an empty result.
+empty tables give an empty result. Sets are told apart by 128 bits of their contents. Short ids of 64 bits only bring
+sets together: sets that share one by chance are compared besides, and nothing else.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed
-from verdict.llm.components import components
-from verdict.llm.windows import hinted
+from verdict.llm.common import checkpointed, hinted, slices
+from verdict.llm.components import components, refined
 
-ROWS, MISS, BLOCK, TILE_BITS, SLICE = 4, 1e-10, 1024, 4096, 2_000_000
+EXACT, BLOCKS, LIGHT, PART_BYTES, SLICE = 64, 48, 3, 4_000_000, 2_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -46,11 +50,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def bands(percent: int, miss: float = MISS) -> int:
-    """How many bands miss a pair of similarity ``percent`` / 100 with probability ``miss``."""
-    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** ROWS))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * MIX
     h = (h ^ (h >> np.uint64(29))) * MIX
@@ -66,14 +65,8 @@ def powers(n: int, base: int) -> np.ndarray:
 def shingle_sets(texts: Sequence[bytes], size: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of the word shingles of each text, with A-Z lower-cased."""
     out: list[np.ndarray] = []
-    start = 0
-    while start < len(texts):
-        stop, total = start, 0
-        while stop < len(texts) and (stop == start or total + len(texts[stop]) <= SLICE):
-            total += len(texts[stop])
-            stop += 1
+    for start, stop in slices(texts, SLICE):
         part = texts[start:stop]
-        start = stop
         buffer = LOWER[np.frombuffer(b" ".join([b"", *part, b""]), np.uint8)]
         space = IS_SPACE[buffer]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(len(buffer), MULTIPLIER))])
@@ -102,24 +95,40 @@ def shingle_sets(texts: Sequence[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def tile_keys(sets: Sequence[np.ndarray], n_bands: int) -> np.ndarray:
-    """A row of ``n_bands`` keys per set, each from ROWS MinHash values."""
-    rng = np.random.default_rng(11)
-    n = n_bands * ROWS
-    multiply = rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32) | np.uint32(1)
-    flip = rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)
-    least = np.zeros((len(sets), n), np.uint32)
-    for k, own in enumerate(sets):
-        if len(own):
-            low = (own >> np.uint64(32)).astype(np.uint32)
-            row = np.full(n, 0xFFFFFFFF, np.uint32)
-            for at in range(0, len(low), 2048):
-                row = np.minimum(row, ((low[at : at + 2048, None] ^ flip) * multiply).min(0))
-            least[k] = row
-    keys = np.broadcast_to(np.arange(n_bands, dtype=np.uint64), (len(sets), n_bands)).copy()
-    for r in range(ROWS):
-        keys = mixed(keys * np.uint64(0x100000001B3) + least[:, r::ROWS])
-    return keys.astype(np.int64)
+def parts(band: int, percent: int) -> tuple[int, int]:
+    """Into how many blocks sets of a band are cut, and how many of them are looked at: up to EXACT more than linked sets
+    of the band differ in elements; beyond, fewer and heavier ones, of which BLOCKS will do."""
+    largest = (2 << band) - 1
+    above = largest * 100 // percent
+    differ = max(largest * (100 - percent) // percent, 2 * above * (100 - percent) // (100 + percent))
+    exact = max(4, differ + 1 + differ // 7)
+    return (exact, exact) if exact <= EXACT else (differ * 4 // 5, min(BLOCKS, differ * 4 // 5))
+
+
+def tile_keys(own: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set's tiles: band, number and contents of its heaviest blocks in each of its bands."""
+    n = len(own)
+    if not n:
+        return np.zeros(0, np.int64)
+    band = n.bit_length() - 1
+    roles = [(band, n * (100 - percent) // percent)]
+    if band and n * percent < 100 << band:
+        roles.append((band - 1, 2 * n * (100 - percent) // (100 + percent)))
+    out = []
+    for at, differ in roles:
+        total, k = parts(at, percent)
+        cut = np.concatenate([[0], np.searchsorted(own, np.arange(1, k + 1, dtype=np.uint64) * np.uint64((1 << 64) // total - 1))])
+        if k == total:
+            cut[-1] = n
+        weight = np.diff(cut)
+        falling = -np.sort(-weight)
+        # The heaviest blocks, one more than may differ; of large sets all but light ones.
+        least = falling[differ] if differ < k == total else min(LIGHT, falling[2 * k // 3])
+        pick = np.flatnonzero(weight >= least)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own[: cut[-1]]))])
+        held = sums[cut[1:]] - sums[cut[:-1]] + weight.astype(np.uint64)
+        out.append(mixed(mixed(held[pick]) + (pick.astype(np.uint64) + np.uint64(at << 32)) * np.uint64(MULTIPLIER)))
+    return np.concatenate(out).view(np.int64)
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -143,17 +152,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
-def signed(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
+def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set_id, keys) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], size)
-                keys = tile_keys(sets, n_bands)
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            for start, stop in slices(texts, SLICE):
+                part, sets = batch.slice(start, stop - start), shingle_sets(texts[start:stop], size)
+                # A set that no other can be linked with has no tiles.
+                keys = [tile_keys(s, percent) if (len(s) + 1) * percent <= len(s) * 100 else np.zeros(0, np.int64) for s in sets]
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n_bands, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], ["doc_id", "text_hash", "n_shingles", "set_id", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, keys array<bigint>")
@@ -164,9 +174,10 @@ def arrays(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).slice(start, 256).to_pylist()], size)
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "elements"])
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
+            for start, stop in slices(texts, SLICE):
+                sets = shingle_sets(texts[start:stop], size)
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], ["set_id", "elements"])
 
     return docs.select("text").mapInArrow(run, "set_id binary, elements binary")
 
@@ -186,43 +197,33 @@ def verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
 
 
-def block_links(rows: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v), as set ids, that join different components among classes of one group.
+def part_links(rows: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v), as set ids, that join different components among classes of one tile.
 
-    ``rows`` has grp, cid, n and root: a class, the group of tiles that it is connected to, and its component so far. A
-    group is dealt by size band and hash into blocks of about BLOCK classes, and each block is sent to the pairs of blocks
-    that it is part of: itself, the others of its band, and those of the next band. Within a pair of blocks all classes
-    meet in memory: size and bit counts rule out, sorted arrays decide, and what is connected already is not tried. Only
-    links that join components leave the task, fewer than the block has classes.
+    ``rows`` has key, cid, n and root: a class, a tile of it, and its component so far. A tile is dealt by hash into parts
+    of about PART_BYTES of arrays, and each pair of parts, a part with itself included, meets in one task. There size and
+    bit counts rule out, sorted arrays decide, and what is connected already is not tried. Only links that join components
+    leave the task, fewer than it has classes.
     """
-    width = math.log(100 / percent)
-    banded = rows.withColumn("band", F.floor(F.log("n") / width).cast("long"))
-    blocks = checkpointed(banded.groupBy("grp", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    above = blocks.select("grp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = blocks.select("grp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    dealt = banded.join(hinted(blocks.join(above, ["grp", "band"], "left").join(below, ["grp", "band"], "left")), ["grp", "band"])
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-
-    def tiles(count: str, tile) -> Column:
-        kind = "array<struct<band:bigint,i:int,j:int,step:int>>"
-        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), tile).cast(kind)).otherwise(F.array().cast(kind))
-
-    at = lambda band, i, j, step: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), F.lit(step).alias("step"))
-    own, band = F.col("own"), F.col("band")
-    sent = F.concat(tiles("blocks", lambda k: at(band, F.least(own, k), F.greatest(own, k), 0)), tiles("above", lambda k: at(band, own, k, 1)), tiles("below", lambda k: at(band - 1, k, own, 1)))
-    sent = dealt.select("grp", "cid", "n", "root", F.explode(sent).alias("tile"))
+    counted = rows.groupBy("key").agg(F.ceil(F.sum("n") * 8 / PART_BYTES).cast("int").alias("parts"))
+    dealt = rows.join(counted, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    sent = dealt.select("key", "cid", "root", F.explode(pair).alias("pair"))
 
     def compare(block: pa.Table) -> pa.Table:
-        order = np.argsort(block.column("n").to_numpy(), kind="stable")
-        n, root = block.column("n").to_numpy()[order], block.column("root").to_numpy()[order]
-        ids, raw = block.column("set_id").to_pylist(), block.column("elements").to_pylist()
-        sets = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
-        maps = np.stack([bitmap(s, TILE_BITS).view(np.uint64) for s in sets])
-        label: dict[int, int] = {}
+        raw, ids, names = block.column("elements").to_pylist(), block.column("set_id").to_pylist(), block.column("root").to_pylist()
+        order = sorted(range(len(raw)), key=lambda k: (len(raw[k]), ids[k]))
+        sets = [np.frombuffer(raw[k], np.uint64) for k in order]
+        n = np.array([len(s) for s in sets], np.int64)
+        number: dict[bytes, int] = {}
+        root = np.array([number.setdefault(names[k], len(number)) for k in order])
+        bits = max(64, 1 << int(n[-1]).bit_length())
+        maps = np.stack([bitmap(s, bits).view(np.uint64) for s in sets])
+        label = list(range(len(number)))
 
         def find(k: int) -> int:
-            while label.get(k, k) != k:
-                label[k] = label.get(label[k], label[k])
+            while label[k] != k:
+                label[k] = label[label[k]]
                 k = label[k]
             return k
 
@@ -243,18 +244,16 @@ def block_links(rows: DataFrame, elements: DataFrame, percent: int) -> DataFrame
         return pa.table({"u": pa.array(one, pa.binary()), "v": pa.array(two, pa.binary())})
 
     full = elements.select("cid", "set_id", "elements")
-    return sent.join(full, "cid").groupBy("grp", "tile").applyInArrow(compare, "u binary, v binary")
+    return sent.join(full, "cid").groupBy("key", "pair").applyInArrow(compare, "u binary, v binary")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set_id, component_id, root) for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    rows = checkpointed(signed(docs, size, bands(percent)))
-    # Two different sets of fewer elements than this cannot be linked.
-    able = (F.col("n") + 1) * percent <= F.col("n") * 100
+    rows = checkpointed(signed(docs, size, percent))
     classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = checkpointed(classes.withColumn("cid", F.xxhash64("set_id")))
-    members = classes.where(able).select(F.explode("keys").alias("key"), "cid", "n")
+    members = classes.select(F.explode("keys").alias("key"), "cid", "n")
     at = F.struct("n", "cid")
     pivots = members.groupBy("key").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low.cid <> high.cid").select("key", "low")
     shared = checkpointed(members.join(hinted(checkpointed(pivots)), "key"))
@@ -269,28 +268,19 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     # Each class with the smallest of its tile.
     first = shared.where((F.col("cid") != F.col("low.cid")) & fits("n", "low.n")).select(F.least("cid", "low.cid").alias("a"), F.greatest("cid", "low.cid").alias("b"))
-    links = checkpointed(verified(first.distinct(), elements, percent))
-    roots = components(links)
-
-    open_tiles = checkpointed(_open(shared, classes, roots))
-    keys = open_tiles.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("cid").alias("head")).where("p <> q").select("key", "head")
-    rest = checkpointed(open_tiles.join(hinted(checkpointed(keys)), "key"))
-    # Tiles that share classes are one group, so a class is compared there once and not in each of its tiles.
-    chain = components(rest.select(F.col("cid").alias("u"), F.col("head").alias("v")))
-    grouped = checkpointed(rest.select("cid", "n", "root").distinct().join(chain.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid"))
-    more = checkpointed(block_links(grouped, elements, percent))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-
-    named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
+    roots = checkpointed(components(checkpointed(verified(first.distinct(), elements, percent))))
+
+    # The tiles that hold several components, one of each membership.
+    short = sample.select("set_id", "cid").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("cid", F.coalesce("root", "set_id").alias("root"))
+    open_tiles = checkpointed(shared.select("key", "cid", "n").join(short, "cid"))
+    held = [F.count("*").alias("classes"), *(F.bit_xor(F.xxhash64("cid", F.lit(salt))).alias(f"held{salt}") for salt in (1, 2))]
+    tiles = open_tiles.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), *held).where("p <> q")
+    tiles = checkpointed(tiles.groupBy("classes", "held1", "held2").agg(F.min("key").alias("key")).select("key"))
+    more = checkpointed(part_links(open_tiles.join(hinted(tiles), "key"), elements, percent))
+    roots = refined(roots, more)
+
+    named = classes.select("set_id", "least_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(ids, "root").select("set_id", "root", "component_id")
     out = rows.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
     return out.select("doc_id", "text_hash", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
-
-
-def _open(shared: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of all tiles with a short id of their component so far."""
-    short = classes.select("set_id", "cid").join(roots.withColumnRenamed("node", "set_id"), "set_id").select("cid", F.xxhash64("root").alias("root"))
-    return shared.select("key", "cid", "n").join(short, "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("root"))

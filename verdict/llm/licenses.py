@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, let
-from verdict.llm.windows import SHINGLE, anchored_windows, containment, hinted, located, passages, shingles
+from verdict.llm.common import checkpointed, hinted, let
+from verdict.llm.windows import SHINGLE, anchored_windows, containment, located, passages, shingles
 
 GAP = r"[^\p{L}\p{N}]+"
 BANDS, ROWS, THRESHOLD = 16, 2, 0.8

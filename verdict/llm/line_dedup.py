@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed
+from verdict.llm.common import checkpointed, hinted, slices
 from verdict.llm.jaccard import INVERSE, IS_SPACE, MULTIPLIER, SLICE, mixed, powers
-from verdict.llm.windows import hinted
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 #: Base of the running sums over words; odd, so it can be divided out.
@@ -101,18 +100,6 @@ def halves_of(lines: Lines, pick: np.ndarray, near_words: int) -> tuple[np.ndarr
     return np.concatenate([[0], np.cumsum(count)]), np.stack(keys, 1)[mask] if len(s) else np.zeros(0, np.uint64)
 
 
-def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most SLICE characters in all, one text at least."""
-    start = 0
-    while start < len(texts):
-        stop, total = start, 0
-        while stop < len(texts) and (stop == start or total + len(texts[stop] or "") <= SLICE):
-            total += len(texts[stop] or "")
-            stop += 1
-        yield start, stop
-        start = stop
-
-
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
     """True if at most one edit turns one array into the other."""
     if len(a) > len(b):
@@ -134,7 +121,7 @@ def slim_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             texts = batch.column(2).to_pylist()
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, SLICE):
                 lines = lines_of(texts[start:stop])
                 pick = np.flatnonzero(lines.words >= min_words)
                 rows = pa.array(lines.text[pick] + start)
@@ -152,7 +139,7 @@ def full_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, SLICE):
                 lines = lines_of(texts[start:stop])
                 first = np.searchsorted(lines.text, np.arange(stop - start))
                 pick = np.array([first[k - start] + n for k in range(start, stop) for n in sorted(set(wanted[k]))], np.int64)

@@ -12,12 +12,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, let, small, words
+from verdict.llm.common import checkpointed, hinted, let, words
 
 #: Words of a shingle; passages with fewer words are one shingle.
 SHINGLE = 5
-#: Tables of at most this many slim rows (tens of MB) are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def shingles(array: Column, size: int = SHINGLE) -> Column:
@@ -40,11 +38,6 @@ def shingle_hashes(array: Column, size: int) -> Column:
     return let(array, cut)
 
 
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has been counted to be small."""
-    return F.broadcast(df) if small(df, rows) else df
-
-
 class Windows(NamedTuple):
     places: DataFrame  # doc_id, text_hash, start, content_id
     contents: DataFrame  # content_id, size (of the passage, which a window at a text's end may fall short of), window
