@@ -13,15 +13,16 @@ def edit(a, b):
 
 
 def brute(docs):
-    """(doc, line) of every line that has an equal or near line before it."""
+    """(doc, line, doc and line kept for it) of every line that has an equal or near line before it that stays."""
     lines = [((d, k), line.lower().split()) for d, t in docs for k, line in enumerate((t or "").split("\n"))]
-    lines = sorted((x for x in lines if len(x[1]) >= 3), key=lambda x: x[0])
-    out = set()
-    for i, (place, own) in enumerate(lines):
-        for _, other in lines[:i]:
-            if own == other or min(len(own), len(other)) >= 8 and abs(len(own) - len(other)) <= 1 and edit(own, other) <= 1:
-                out.add(place)
-                break
+    lines = sorted((x for x in lines if len(x[1]) >= 3 or len(" ".join(x[1])) >= 30), key=lambda x: x[0])
+    stays, out = [], set()
+    for place, own in lines:
+        near = [p for p, other in stays if own == other or min(len(own), len(other)) >= 8 and abs(len(own) - len(other)) <= 1 and edit(own, other) <= 1]
+        if near:
+            out.add((*place, *near[0]))
+        else:
+            stays.append((place, own))
     return out
 
 
@@ -43,13 +44,30 @@ def corpus(seed):
 
 
 def test_against_brute_force(spark):
-    for seed in (1, 2, 3):
+    for seed in (1, 2, 3, 4):
         docs = corpus(seed)
         df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, line int")
-        got = [(r.doc_id, r.line) for r in line_decisions(df).collect()]
+        got = [(r.doc_id, r.line, r.kept_doc_id, r.kept_line) for r in line_decisions(df).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(docs)
 
 
+def test_chain_keeps_what_is_beyond_the_bound(spark):
+    a = [f"w{k}" for k in range(12)]
+    b, c = [*a[:4], "x", *a[5:]], [*a[:4], "x", *a[5:9], "y", *a[10:]]
+    e = [*c[:11], "z"]
+    docs = [(k, " ".join(w)) for k, w in enumerate((a, b, c, e))]
+    got = {(r.doc_id, r.kept_doc_id) for r in line_decisions(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (3, 2)}
+    assert {r.doc_id for r in clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0, 2}
+
+
+def test_lines_without_blanks(spark):
+    one = "\u4f60\u597d" * 20
+    docs = [(1, one), (2, f"{one}\nshort"), (3, "short\n" + one[:29])]
+    got = {(r.doc_id, r.line, r.kept_doc_id) for r in line_decisions(spark.createDataFrame([*docs, (4, one[:29])], "doc_id long, text string")).collect()}
+    assert got == {(2, 0, 1)}
+
+
 def test_edges(spark):
     long = " ".join(f"w{k}" for k in range(30_000))
     docs = [(1, None, 9), (2, "", 9), (3, "a b c\na b c\n\nx", 9), (4, "A  b c", 9), (4, "A  b c", 9), (5, long, 9), (6, long.replace("w7 ", ""), 9), (None, "p q r s", 9), (7, "p q r s", 9), (8, "one two\none two", 9)]

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 
 from verdict.sources.checkpoint import checkpointed
 
-__all__ = ["SPACE", "WORD", "checkpointed", "hinted", "let", "slices", "table", "word_count", "words"]
+__all__ = ["SPACE", "WORD", "checkpointed", "hinted", "let", "looked_up", "sieve", "sieved", "slices", "table", "word_count", "words"]
 
 #: A word is a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,7 +39,7 @@ def word_count(text: Column) -> Column:
 
 
 #: A side of a join is hinted for broadcast up to this many bytes of values, measured before; beyond, joins shuffle.
-BROADCAST_BYTES = 8_000_000
+BROADCAST_BYTES = 2_000_000
 
 
 def value_bytes(value: Column, kind: DataType) -> Column:
@@ -61,6 +61,36 @@ def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (total or 0) <= limit else df
 
 
+#: Bits of a sieve, a fixed number: 2 MB that a cluster's executors get, whatever the size of the data.
+SIEVE_BITS = 24
+
+
+def sieve(hashes: DataFrame) -> DataFrame:
+    """One row with ``marks``: an array of 64-bit words with a bit for every value of the single column of ``hashes``."""
+    name = f"`{hashes.columns[0]}`"
+    spots = hashes.select(F.pmod(F.col(name), F.lit(1 << SIEVE_BITS)).alias("bit"))
+    words = spots.groupBy(F.shiftright("bit", 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))).alias("word"))
+    every = hashes.sparkSession.range(1 << (SIEVE_BITS - 6)).join(words, "id", "left")
+    row = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("w"))
+    return checkpointed(row.select(F.transform("w", lambda x: x["word"]).alias("marks")))
+
+
+def sieved(marks: Column, value: Column) -> Column:
+    """False only for values that have no bit in ``marks``."""
+    spot = F.pmod(value, F.lit(1 << SIEVE_BITS))
+    return F.getbit(F.element_at(marks, (F.shiftright(spot, 6) + 1).cast("int")), spot.bitwiseAND(63).cast("int")) == 1
+
+
+def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) whose id and hash of the text stand in ``wanted`` (d, h, ...), with its columns.
+
+    Where ``wanted`` is too large to be broadcast, whole texts would be shuffled; a sieve keeps most others out of that.
+    """
+    marks = sieve(wanted.select(F.xxhash64("d", "h").alias("x")))
+    rows = docs.withColumn("__h", F.xxhash64("text")).crossJoin(F.broadcast(marks)).where(sieved(F.col("marks"), F.xxhash64("doc_id", "__h"))).drop("marks")
+    return rows.join(hinted(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h"))).drop("__h", "d")
+
+
 def slices(texts: Sequence, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most ``limit`` characters or bytes in all, one text at least."""
     start = 0

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, hinted, slices
+from verdict.llm.common import checkpointed, hinted, looked_up, slices
 from verdict.llm.components import components, refined
 
 EXACT, BLOCKS, LIGHT, PART_BYTES, SLICE = 64, 48, 3, 4_000_000, 2_000_000
@@ -253,14 +253,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     rows = checkpointed(signed(docs, size, percent))
     classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = checkpointed(classes.withColumn("cid", F.xxhash64("set_id")))
-    members = classes.select(F.explode("keys").alias("key"), "cid", "n")
+    # Dealt by key once: the tiles' ends and the join back read the same shuffle.
+    members = classes.select(F.explode("keys").alias("key"), "cid", "n").repartition("key")
     at = F.struct("n", "cid")
     pivots = members.groupBy("key").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low.cid <> high.cid").select("key", "low")
-    shared = checkpointed(members.join(hinted(checkpointed(pivots)), "key"))
+    shared = checkpointed(members.join(pivots, "key"))
 
     needed = shared.select("cid").distinct()
     sample = checkpointed(classes.join(needed, "cid").select("cid", "set_id", F.col("sample.doc_id").alias("d"), F.col("sample.text_hash").alias("h")))
-    texts = docs.join(hinted(sample.select("d", "h").distinct()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))).select("text")
+    texts = looked_up(docs, sample.select("d", "h").distinct()).select("text")
     elements = checkpointed(arrays(texts, size).dropDuplicates(["set_id"]).join(sample.select("set_id", "cid"), "set_id"))
 
     def fits(a: str, b: str):

@@ -1,18 +1,21 @@
 """Line dedup: a deletion-neighbourhood join over the words of lines, keeping the earliest.
 
 Lines are compared by their words in lower case. Two lines are near when one edit of a word (replace, insert or delete)
-turns one into the other and both have at least ``NEAR_WORDS`` words; shorter lines of at least ``MIN_WORDS`` words count
-only when equal. A line is dropped if an equal or near line stands earlier, by (doc_id, text, line number).
+turns one into the other and both have at least ``NEAR_WORDS`` words; shorter ones count only when equal, and not at all
+below ``MIN_WORDS`` words and ``MIN_CHARS`` characters. Lines are taken in order of (doc_id, text, number): one that equals
+or is near an earlier line that stays is dropped. So a dropped line always has a near one that stays, and no chain of
+edits leads away from what is kept.
 
 Equal lines are first reduced to one row per content. Two near lines share their first or their last half, so only
 contents that share a half with another go on. Those emit every variant with one word left out as a hashed key, and
-themselves: equal variants of one position are replacements, a variant equal to a whole line is an insertion. The
-earliest content of each key is its kept candidate, and each pair is verified by its words' edit distance. Hot keys are
-reduced to minima before any shuffle, and no pairs within a key are formed.
+themselves: equal variants of one position are replacements of each other, a variant equal to a whole line is an
+insertion. Contents that share a key are a group, which is verified word by word against its earliest content. Then rounds
+decide: the earliest content that is left in each of its groups stays, and whatever shares a group with it and comes
+later is dropped. A round reduces each group to its least content before any shuffle; no pairs within a group are formed.
 
-Words are compared by 64-bit hashes, and the hash of a line, of a half or of a line without a word follows from one running
-sum over the hashes of its words, so a line's variants cost no more than the line. numpy does that over slices of bounded
-size, whole texts each.
+Words and variants are hashed to 64 bits, contents to 128. The hash of a line, of a half or of a line without a word
+follows from a running sum over the hashes of its words, so a line's variants cost no more than the line. numpy does that
+over slices of bounded size, whole texts each.
 
 Defined results: null and empty texts have one empty line, which is never dropped; rows that agree in ``doc_id`` and text
 are one document; a null ``doc_id`` is earliest; only ``doc_id`` and ``text`` are read by ``line_decisions``, and
@@ -29,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, hinted, slices
+from verdict.llm.common import checkpointed, hinted, looked_up, sieve, sieved, slices
 from verdict.llm.jaccard import INVERSE, IS_SPACE, MULTIPLIER, SLICE, mixed, powers
 
-MIN_WORDS, NEAR_WORDS = 3, 8
+MIN_WORDS, MIN_CHARS, NEAR_WORDS = 3, 30, 8
 #: Base of the running sums over words; odd, so it can be divided out.
 BASE = 0xC2B2AE3D27D4EB4F
 UNBASE = pow(BASE, -1, 1 << 64)
+#: For the second half of contents' hashes.
+SECOND = 0x9FB21C651E98DF25
+UNSECOND = pow(SECOND, -1, 1 << 64)
 FIRST, LAST = np.uint64(0x1111), np.uint64(0x2222)
 
 
@@ -48,6 +54,8 @@ class Lines(NamedTuple):
     words: np.ndarray
     hashes: np.ndarray
     sums: np.ndarray
+    seconds: np.ndarray  # running sums over second hashes of the words
+    chars: np.ndarray  # characters of the line with one blank between words
 
     def part(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of the words from ``start`` up to ``stop``."""
@@ -77,15 +85,28 @@ def lines_of(texts: Sequence[str | None]) -> Lines:
     stop = np.searchsorted(begin, ends)
     start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes), BASE))])
-    return Lines(text, number, start, stop - start, hashes, running)
+    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(len(buffer), SECOND))])
+    second = mixed((other[end] - other[begin]) * powers(len(buffer) + 1, UNSECOND)[begin] + np.uint64(1))
+    seconds = np.concatenate([np.zeros(1, np.uint64), np.cumsum(second * powers(len(second), SECOND))])
+    letters = np.concatenate([[0], np.cumsum(~space[1:] & ((buffer & 0xC0) != 0x80))])
+    opening = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    return Lines(text, number, start, stop - start, hashes, running, seconds, letters[ends] - letters[opening] + np.maximum(0, stop - start - 1))
 
 
-def contents_of(lines: Lines, pick: np.ndarray) -> np.ndarray:
-    """The hashes of whole lines, their number of words included."""
+def wholes_of(lines: Lines, pick: np.ndarray) -> np.ndarray:
+    """The hashes of whole lines, their number of words included, as ``variants`` has those of lines without a word."""
     s, n = lines.start[pick], lines.words[pick]
     return mixed(lines.part(s, s + n) + n.astype(np.uint64))
 
 
+def contents_of(lines: Lines, pick: np.ndarray) -> pa.Array:
+    """128 bits for each line: what equal lines agree in."""
+    s, n = lines.start[pick], lines.words[pick]
+    second = mixed((lines.seconds[s + n] - lines.seconds[s]) * powers(len(lines.seconds) + 1, UNSECOND)[s] + n.astype(np.uint64))
+    both = np.ascontiguousarray(np.stack([wholes_of(lines, pick), second], 1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pick), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+
+
 def halves_of(lines: Lines, pick: np.ndarray, near_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, keys): keys of first and last halves, for lines of the same length and of one word less."""
     s, n = lines.start[pick], lines.words[pick]
@@ -100,41 +121,28 @@ def halves_of(lines: Lines, pick: np.ndarray, near_words: int) -> tuple[np.ndarr
     return np.concatenate([[0], np.cumsum(count)]), np.stack(keys, 1)[mask] if len(s) else np.zeros(0, np.uint64)
 
 
-def within_one(a: np.ndarray, b: np.ndarray) -> bool:
-    """True if at most one edit turns one array into the other."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    differ = np.flatnonzero(a != b[: len(a)])
-    if not len(differ):
-        return True
-    k = int(differ[0])
-    return bool((a[k + (len(a) == len(b)) :] == b[k + 1 :]).all())
+SLIM = "doc_id long, text_hash long, line int, content binary, halves array<bigint>"
 
 
-SLIM = "doc_id long, text_hash long, line int, content long, halves array<bigint>"
-
-
-def slim_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+def slim_lines(docs: DataFrame, min_words: int, min_chars: int, near_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             texts = batch.column(2).to_pylist()
             for start, stop in slices(texts, SLICE):
                 lines = lines_of(texts[start:stop])
-                pick = np.flatnonzero(lines.words >= min_words)
+                pick = np.flatnonzero((lines.words >= min_words) | (lines.chars >= min_chars))
                 rows = pa.array(lines.text[pick] + start)
                 offsets, keys = halves_of(lines, pick, near_words)
                 halves = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.take(rows), hashes.take(rows), pa.array(lines.number[pick], pa.int32()), pa.array(contents_of(lines, pick).view(np.int64), pa.int64()), halves], ["doc_id", "text_hash", "line", "content", "halves"])
+                yield pa.RecordBatch.from_arrays([ids.take(rows), hashes.take(rows), pa.array(lines.number[pick], pa.int32()), contents_of(lines, pick), halves], ["doc_id", "text_hash", "line", "content", "halves"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SLIM)
 
 
 def full_lines(docs: DataFrame) -> DataFrame:
-    """(content, doc_id, text_hash, line, keys, hashes) of the lines whose numbers stand in ``wanted``: the hash of the line
-    without each of its words, and its words' hashes."""
+    """(content, first, whole, keys, hashes) of the lines whose numbers stand in ``wanted``: the hash of the line, the
+    hashes of the line without each of its words, and its words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,65 +152,95 @@ def full_lines(docs: DataFrame) -> DataFrame:
                 first = np.searchsorted(lines.text, np.arange(stop - start))
                 pick = np.array([first[k - start] + n for k in range(start, stop) for n in sorted(set(wanted[k]))], np.int64)
                 rows = pa.array(lines.text[pick] + start)
+                place = pa.StructArray.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lines.number[pick], pa.int32())], ["doc_id", "text_hash", "line"])
                 keys = [lines.variants(k).view(np.int64) for k in pick.tolist()]
                 words = [lines.hashes[lines.start[k] : lines.start[k] + lines.words[k]].tobytes() for k in pick.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(contents_of(lines, pick).view(np.int64), pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lines.number[pick], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["content", "doc_id", "text_hash", "line", "keys", "hashes"])
+                yield pa.RecordBatch.from_arrays([contents_of(lines, pick), place, pa.array(wholes_of(lines, pick).view(np.int64), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["content", "first", "whole", "keys", "hashes"])
 
-    return docs.mapInArrow(run, "content long, doc_id long, text_hash long, line int, keys array<bigint>, hashes binary")
+    return docs.mapInArrow(run, f"content binary, first {PLACE}, whole long, keys array<bigint>, hashes binary")
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """The rows (content, kept_first, a, b) whose words ``a`` and ``b`` are within one edit."""
+PLACE = "struct<doc_id:bigint,text_hash:bigint,line:int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [within_one(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    place = "struct<doc_id:bigint,text_hash:bigint,line:int>"
-    return pairs.select("content", "kept_first", "a", "b").mapInArrow(run, f"content long, kept_first {place}")
+def verified(members: DataFrame) -> DataFrame:
+    """The rows (group, content, first) whose words ``a``, without the one at ``at``, are the words ``b`` of the earliest
+    content of their group, without the one at ``lead_at``; -1 leaves out none."""
 
+    def rest(raw: bytes, at: int) -> bytes:
+        return raw if at < 0 else raw[: 8 * at] + raw[8 * at + 8 :]
 
-def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [rest(a.as_py(), p) == rest(b.as_py(), q) for a, b, p, q in zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), batch.column(6).to_pylist())]
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    return members.select("group", "content", "first", "a", "b", "at", "lead_at").mapInArrow(run, f"group binary, content binary, first {PLACE}")
+
+
+def groups(full: DataFrame) -> DataFrame:
+    """(group, content, first, at): contents of a group are within one edit of each other, by their hashes; ``at`` is the
+    word that they agree without, -1 for none. Only groups of several contents are given."""
+    emitted = full.select("content", "first", F.posexplode("keys").alias("at", "key"))
+    # Replacements: the same words but for the one at a place.
+    swaps = emitted.repartition("key", "at")
+    several = swaps.groupBy("key", "at").count().where("count > 1").select("key", "at")
+    swapped = swaps.join(several, ["key", "at"]).select(F.concat_ws(",", F.col("key").cast("string"), F.col("at").cast("string")).cast("binary").alias("group"), "content", "first", "at")
+    # Insertions: a line that another is without one of its words. A pair is a group of its own.
+    whole = full.select(F.col("whole").alias("key"), F.col("content").alias("shorter"), F.col("first").alias("shorter_first"))
+    pairs = emitted.join(hinted(whole), "key").where(F.col("content") != F.col("shorter")).dropDuplicates(["content", "shorter"])
+    name = F.concat("shorter", "content")
+    sides = F.array(F.struct("content", "first", "at"), F.struct(F.col("shorter").alias("content"), F.col("shorter_first").alias("first"), F.lit(-1).alias("at")))
+    return swapped.unionByName(pairs.select(name.alias("group"), F.explode(sides).alias("s")).select("group", "s.*"))
+
+
+def survivors(members: DataFrame) -> DataFrame:
+    """(content, near_first): the contents that are dropped, and the earliest near one that stays.
+
+    ``members`` has group, content and first. In a round every group names its earliest content that is left. Contents
+    that all their groups name stay; those that a staying one comes before in a group go. Rounds end when none is open;
+    their number is the length of the longest chain of lines each of which depends on the one before, at most.
+    """
+    alive = members.withColumn("stays", F.lit(False))
+    while True:
+        leads = alive.groupBy("group").agg(F.min(F.struct("first", "stays")).alias("lead"))
+        seen = alive.join(leads, "group").groupBy("content").agg(F.bool_and(F.col("first") == F.col("lead.first")).alias("stays"), F.bool_or(F.col("lead.stays") & (F.col("lead.first") < F.col("first"))).alias("goes"))
+        alive = checkpointed(alive.drop("stays").join(seen, "content").where(~F.col("goes")).drop("goes"))
+        if alive.where(~F.col("stays")).isEmpty():
+            break
+    kept = alive.groupBy("group").agg(F.min("first").alias("kept_first"))
+    return members.join(kept, "group").where(F.col("kept_first") < F.col("first")).groupBy("content").agg(F.min("kept_first").alias("near_first"))
+
+
+def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, line, kept_doc_id, kept_text_hash, kept_line, distance) per dropped line."""
     docs = docs.select("doc_id", "text")
-    slim = checkpointed(slim_lines(docs, min_words, near_words))
+    slim = checkpointed(slim_lines(docs, min_words, min_chars, near_words))
     place = F.struct("doc_id", "text_hash", "line")
     contents = checkpointed(slim.groupBy("content").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("repeated"), F.first("halves").alias("halves")))
 
     # Contents that share a half with another content.
-    by_half = contents.select("content", F.explode("halves").alias("half"))
-    shared = checkpointed(by_half.groupBy("half").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("half"))
-    likely = by_half.join(hinted(shared), "half", "left_semi").select("content").distinct()
-    likely = contents.select("content", "first").join(likely, "content")
+    shared = checkpointed(contents.select(F.explode("halves").alias("half")).groupBy("half").count().where("count > 1").select("half"))
+    marked = contents.crossJoin(F.broadcast(sieve(shared))).select("content", "first", F.filter("halves", lambda h: sieved(F.col("marks"), h)).alias("halves"))
+    likely = marked.select("content", "first", F.explode("halves").alias("half")).join(hinted(shared), "half", "left_semi").select("content", "first").distinct()
 
     # Their words, from the line where each stands first.
     wanted = checkpointed(likely.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).agg(F.collect_list("first.line").alias("wanted")))
-    texts = docs.join(hinted(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")))
-    full = full_lines(texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("h").alias("text_hash"), "text", "wanted"))
-    full = checkpointed(full.groupBy("content").agg(F.first(place).alias("first"), F.first("keys").alias("keys"), F.first("hashes").alias("hashes")))
-
-    # The earliest content per variant and position; only keys that different contents share go on.
-    at = F.struct("first", "content")
-    emitted = full.select("content", "first", F.posexplode("keys").alias("position", "key"))
-    swaps = emitted.groupBy("key", "position").agg(F.min(at).alias("kept"), F.max("content").alias("high"), F.min("content").alias("low")).where("low <> high").select("key", "position", "kept")
-    by_swap = emitted.join(hinted(checkpointed(swaps)), ["key", "position"]).select("content", "first", "kept")
-    # A line that another gives when it loses a word. Each side looks for the earliest of the other.
-    whole = full.select(F.col("content").alias("key"), F.struct("first", "content").alias("whole"))
-    moves = checkpointed(emitted.join(hinted(whole.select("key")), "key", "left_semi").select("key", at.alias("cut")))
-    cuts = moves.groupBy("key").agg(F.min("cut").alias("kept"))
-    by_move = moves.join(whole, "key").select("cut.content", "cut.first", F.col("whole").alias("kept")).unionByName(whole.join(cuts, "key").select("whole.content", "whole.first", "kept"))
-    earlier = by_swap.unionByName(by_move).where(F.col("kept.first") < F.col("first"))
-    # The earliest of a content's candidates is tried; as equal hashes stand for equal words, it holds.
-    earlier = checkpointed(earlier.select("content", F.col("kept.content").alias("kept"), F.col("kept.first").alias("kept_first")).distinct())
-    pairs = earlier.join(full.select("content", F.col("hashes").alias("a")), "content").join(full.select(F.col("content").alias("kept"), F.col("hashes").alias("b")), "kept")
-    near = verified(pairs).groupBy("content").agg(F.min("kept_first").alias("near_first"))
+    texts = looked_up(docs, wanted)
+    full = checkpointed(full_lines(texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("h").alias("text_hash"), "text", "wanted")).dropDuplicates(["content"]))
+
+    # Groups of near contents, each verified against its earliest.
+    near = checkpointed(groups(full))
+    words = full.select("content", "hashes")
+    lead = near.groupBy("group").agg(F.min(F.struct("first", "content", "at")).alias("lead")).select("group", F.col("lead.content").alias("lead_content"), F.col("lead.at").alias("lead_at"))
+    paired = near.join(lead, "group").join(words.withColumnRenamed("hashes", "a"), "content").join(words.select(F.col("content").alias("lead_content"), F.col("hashes").alias("b")), "lead_content")
+    near = survivors(checkpointed(verified(paired)))
 
     # Lines that stand once and have no near one are not dropped; only the others are looked up.
     judged = contents.select("content", "first", "repeated").join(near, "content", "left").where(F.col("repeated") | F.col("near_first").isNotNull()).drop("repeated")
     dropped = slim.select("content", place.alias("place")).join(hinted(checkpointed(judged)), "content").where((F.col("place") != F.col("first")) | F.col("near_first").isNotNull())
-    kept = F.least("first", F.coalesce("near_first", "first"))
-    out = dropped.select("place.*", kept.alias("kept"), F.when(F.col("near_first") < F.col("first"), 1).otherwise(0).alias("distance"))
+    kept = F.coalesce("near_first", "first")
+    out = dropped.select("place.*", kept.alias("kept"), F.when(F.col("near_first").isNotNull(), 1).otherwise(0).alias("distance"))
     return out.select("doc_id", "text_hash", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_hash").alias("kept_text_hash"), F.col("kept.line").alias("kept_line"), "distance").distinct()
 
 
