@@ -7,12 +7,13 @@ at these only. Equal windows are one row of ``contents``, however many documents
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, hinted, let, words
+from verdict.llm.common import checkpointed, hinted, let, looked_up, sieve, sieved, words
 
 #: Words of a shingle; passages with fewer words are one shingle.
 SHINGLE = 5
@@ -28,14 +29,18 @@ def shingles(array: Column, size: int = SHINGLE) -> Column:
     return let(array, cut)
 
 
-def shingle_hashes(array: Column, size: int) -> Column:
-    """The hash of the shingle at every position; empty if the array is shorter than a shingle."""
+def word_hashes(array: Column) -> Column:
+    return F.transform(array, lambda w: F.xxhash64(w))
+
+
+def shingle_hashes(hashes: Column, size: int) -> Column:
+    """The hash of the shingle at every position, from the hashes of the words; empty if they are fewer than a shingle."""
 
     def cut(a: Column) -> Column:
         many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - size + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(a, k, size)))
         return F.when(F.size(a) < size, F.array().cast("array<bigint>")).otherwise(many)
 
-    return let(array, cut)
+    return let(hashes, cut)
 
 
 class Windows(NamedTuple):
@@ -52,21 +57,24 @@ def passages(items: DataFrame, key: str, text: str, gap: str) -> DataFrame:
 def anchored_windows(docs: DataFrame, items: DataFrame, gap: str, shingle: int = SHINGLE) -> Windows:
     """``items`` is the result of ``passages``; of ``docs`` only ``doc_id`` and ``text`` are read."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = sorted(r.n for r in items.select(F.least(F.size("words"), F.lit(shingle)).alias("n")).distinct().collect())  # at most as many as a shingle has words
-    hits = None
-    for n in sizes:
-        own = items.where((F.size("words") == n) if n < shingle else (F.size("words") >= n))
-        anchors = checkpointed(own.select(F.size("words").alias("size"), F.posexplode(shingle_hashes(F.col("words"), n)).alias("shift", "hash")).distinct())
-        # Shingles are hashed first and unnested alone, so no text is copied along with them.
-        hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shingle_hashes(words(F.lower("text"), gap), n).alias("hashes"))
-        found = hashed.select("doc_id", "text_hash", F.posexplode("hashes").alias("at", "hash")).join(hinted(anchors), "hash")
-        found = found.select("doc_id", "text_hash", F.greatest(F.col("at") - F.col("shift"), F.lit(0)).alias("start"), "size")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = docs.where(F.lit(False)).select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("size"))
-    spans = checkpointed(hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("spans")))
-    named = hinted(spans).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
-    cut = docs.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")))
+    items = items.withColumn("n", F.least(F.size("words"), F.lit(shingle)))
+    sizes = sorted(r.n for r in items.select("n").distinct().collect())  # at most as many as a shingle has words
+    own = [items.where(F.col("n") == n).select("n", F.size("words").alias("size"), F.posexplode(shingle_hashes(word_hashes(F.col("words")), n)).alias("shift", "hash")) for n in sizes]
+    none = items.where(F.lit(False)).select("n", F.size("words").alias("size"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("hash"))
+    anchors = checkpointed(reduce(DataFrame.unionByName, own, none).distinct())
+    # A document's shingles are hashed in place, and only those that have a bit among the anchors' leave its array.
+    kind = "array<struct<n:int,at:int,hash:bigint>>"
+
+    def told(hashes: Column, n: int) -> Column:
+        spots = F.transform(shingle_hashes(hashes, n), lambda h, k: F.when(sieved(F.col("marks"), h), F.struct(F.lit(n).alias("n"), k.alias("at"), h.alias("hash"))))
+        return F.filter(spots, lambda x: x.isNotNull()).cast(kind)
+
+    spread = docs.select("doc_id", "text").crossJoin(F.broadcast(sieve(anchors.select("hash"))))
+    spread = spread.select("doc_id", F.xxhash64("text").alias("text_hash"), let(word_hashes(words(F.lower("text"), gap)), lambda w: F.concat(F.array().cast(kind), *(told(w, n) for n in sizes))).alias("told"))
+    hits = spread.select("doc_id", "text_hash", F.explode("told").alias("t")).select("doc_id", "text_hash", "t.n", "t.at", "t.hash").join(hinted(anchors), ["n", "hash"])
+    hits = hits.select("doc_id", "text_hash", F.greatest(F.col("at") - F.col("shift"), F.lit(0)).alias("start"), "size")
+    spans = checkpointed(hits.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "size")).alias("spans")))
+    cut = looked_up(docs, spans)
     cut = cut.select("doc_id", F.col("h").alias("text_hash"), words(F.lower("text"), gap).alias("words"), "spans")
     cut = cut.select("doc_id", "text_hash", let(F.col("words"), lambda w: F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.slice(w, s["start"] + 1, s["size"]).alias("window")))).alias("cut"))
     cut = cut.select("doc_id", "text_hash", F.explode("cut").alias("c")).select("doc_id", "text_hash", "c.start", "c.size", "c.window")
