@@ -1,6 +1,7 @@
 import re
+import time
 
-from verdict.llm.html_text import Tree, content_nodes, extract, extract_column
+from verdict.llm.html_text import Tree, composite_density, content_nodes, extract, extract_column
 
 PROSE = "Plain prose with enough words to carry a paragraph of its own, and then some more of them."
 
@@ -47,3 +48,48 @@ def test_generated_shape():
     page = f'<!DOCTYPE html><html lang="en"><body><div class="ad">Advert.</div><article><h1>H</h1><p><b>One.<br><p>{PROSE}</p><p>Two.</p></article><footer>&copy; x &middot; y</footer></body></html>'
     inside = re.search("<article>(.*)</article>", page)[1]
     assert extract(page) == "\n".join(x for x in re.sub(r"<[^>]*>", "\n", inside).split("\n") if x)
+
+
+def test_names_that_look_like_boilerplate_cost_no_content():
+    page = f"""<article><p>{PROSE}</p><pre>x = 1 <span class="comment"># why</span></pre><section id="related-work"><p>Before us.</p></section>
+    <div class="social-history">History.</div><div class="page-share-price">Price.</div><p class="ad-hoc">Hoc.</p><div class="share-buttons">tweet</div><ul class="related_posts"><li>Other</li></ul></article>"""
+    assert extract(page) == f"{PROSE}\nx = 1 # why\nBefore us.\nHistory.\nPrice.\nHoc."
+    form = f'<body><form id="page"><div class="navBar">menu</div><div><h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p></div><input value="q"><button>go</button></form><form>Search</form></body>'
+    assert extract(form) == f"Head\n{PROSE}\n{PROSE}"
+
+
+def test_pages_without_article_or_main():
+    for k in range(40):
+        body = [f"{PROSE} {n}." for n in range(2 + k % 5)]
+        column = "<div><h1>Head</h1>" + "".join(f"<p>{b}</p>" for b in body) + "<p>Short end.</p></div>"
+        column = column if k % 2 else f"<div><section>{column}</section></div>"
+        links = "".join(f'<li><a href="/{n}">{PROSE[: 10 + n]}</a></li>' for n in range(k % 7 + 2))
+        page = f"<html><body><div><ul>{links}</ul></div>{column}<div>{links}</div><footer>&copy; {PROSE}</footer></body></html>"
+        assert extract(page) == "\n".join(["Head", *body, "Short end."]), k
+
+
+def test_densities_against_brute_force():
+    page = f"<body><div><ul><li><a>one</a><li><a>two</a></ul></div><div><h1>Head</h1><p>{PROSE} <a>link</a></p><div><p>{PROSE}<p>{PROSE}</div></div></body>"
+    tree = Tree(page)
+    n = len(tree.tag)
+
+    def below(k):
+        return [k, *(x for c in range(n) if tree.parent[c] == k for x in below(c))]
+
+    def chars(nodes):
+        return sum(len(" ".join(t.split())) for node, t in tree.pieces if t and node in nodes)
+
+    body = tree.tag.index("body")
+    in_links = {x for k in range(n) if tree.tag[k] == "a" for x in below(k)}
+    ratio = chars(in_links) / chars(below(body))
+    density = [composite_density(chars(below(k)), len(below(k)) - 1, chars(in_links & set(below(k))), sum(tree.tag[x] == "a" for x in below(k)), ratio) for k in range(n)]
+    best = max(range(n), key=lambda k: (sum(density[c] for c in range(n) if tree.parent[c] == k), -k))
+    assert best in content_nodes(tree) and extract(page) == f"Head\n{PROSE} link\n{PROSE}\n{PROSE}"
+
+
+def test_cost_is_linear():
+    pages = ['<div class="a b">' * 20_000 + "x", "<a " * 20_000, "<div>" * 20_000 + "</b>" * 20_000, '<a "<b>"' * 20_000, "<span>" * 20_000 + "</p>" * 20_000, "<ul><li>" * 10_000 + "</i>" * 20_000, "<div " + "class=a " * 20_000 + ">x", "<form>" * 20_000 + "x"]
+    for page in pages:
+        began = time.thread_time()
+        extract(page)
+        assert time.thread_time() - began < 5, page[:20]

@@ -1,9 +1,13 @@
 """Main text of HTML pages by composite text density.
 
 A forgiving parser builds the node tree (implied end tags, void and raw-text elements). Elements that are boilerplate by
-their tag, role or class are cut first. For every node left, the composite density weighs its characters per tag by its
-share of link text; the node whose children have the largest sum of densities is the core of the content, and the least
-density on its path to the body is the threshold above which neighbouring subtrees belong to it as well.
+their tag, role or class are cut first: a class or id counts if each of its words names boilerplate or a mere container of
+it, and one does name boilerplate, so ``cookie-notice`` is cut and ``related-work`` is not; only blocks outside of code are
+judged by it. A form that holds most of a page's text is a wrapper and stays. For every node left, the composite density
+weighs its characters per tag by its share of link text; the node whose children have the largest sum of densities is the
+core of the content. The least density on its path to the body is the threshold: on that path, neighbouring subtrees that
+are as dense belong to the content as well, and so do plain blocks (paragraphs, headings, lists, tables) that are not
+mostly links. Where the path leads through an article, the rest of the article is content too.
 
 Defined results: null or empty html, or a page of boilerplate only, gives an empty text; html without tags is its own text;
 repeated rows give repeated, equal rows; other columns are not read. Pages of any length are parsed in one pass of linear
@@ -21,7 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<odd>[a-zA-Z][^\s/>]*)(?P<oddattrs>[^>]*)>""", re.S)
+from verdict.llm.common import slices
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"""[>"']""")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,95 +40,177 @@ CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr optio
 IMPLIED = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot", "table"), "tfoot": ("tbody thead tfoot", "table"), "option": ("option", "select")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 
-CUT_TAGS = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe svg canvas object audio video dialog menu xmp noembed noframes".split())
+CUT_TAGS = frozenset("head title script style noscript template nav footer aside button select textarea input iframe svg canvas object audio video dialog menu xmp noembed noframes".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
-CUT_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidebars menu nav navbar navigation
-breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup comment comments disqus
-respond replies share sharing social related recommended widget widgets toolbar pagination pager login skip copyright disclaimer""".split())
+#: Words of classes and ids that name boilerplate, and words that say no more than that something is a part of a page.
+CUT_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion sidebar
+sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter
+subscribe subscription signup comment comments disqus respond replies reply share sharing social related recommended recommendations widget widgets toolbar
+pagination pager login signin skip copyright disclaimer""".split())
+PLAIN_WORDS = frozenset("""a area articles banner bar block body bottom box btn button buttons col column container content count div element entry footer form
+global google group head holder icon icons id image img inline inner item items label layout left link links list main media message module more outer panel
+posts post primary read reader region right row secondary section site slot social stories story text thread title to top unit user users visitor web wrap wrapper""".split())
+HEADERS = frozenset("header site-header page-header main-header global-header top-header".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 pre".split())
+#: Blocks that are content beside the core unless they are mostly links.
+SIMPLE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure address details".split())
+
+
+def names_boilerplate(token: str) -> bool:
+    """True for a class or id all of whose words name boilerplate or a container, and one the former."""
+    words = [w.lower() for w in WORDS.findall(token) if not w.isdigit()]
+    return any(w in CUT_WORDS for w in words) and all(w in CUT_WORDS or w in PLAIN_WORDS for w in words)
 
 
 class Tree:
-    """Nodes in page order as parallel lists; ``pieces`` holds (node, text) in page order, text None for a boundary."""
+    """Nodes in page order as parallel lists; ``pieces`` holds (node, text) in page order, text None for a boundary.
+
+    ``stack`` has the open nodes and ``open`` the places in it of each name, so that no tag costs more than it closes.
+    """
 
     def __init__(self, page: str) -> None:
         self.tag, self.parent, self.cut = ["#root"], [-1], [False]
         self.pieces: list[tuple[int, str | None]] = []
-        stack, at = [0], 0
-        for m in iter(lambda: MARKUP.search(page, at), None):
-            if m.start() > at:
-                self.pieces.append((stack[-1], entities.unescape(page[at : m.start()])))
-            at = m.end()
-            name = m["start"] or m["odd"]
-            if name:
-                name = name.lower()
-                attrs = m["attrs"] if m["start"] else m["oddattrs"]
-                self._open(name, attrs, stack)
-                if name in RAW and not attrs.endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
-                    at = close.start() if close else len(page)
-            elif m["end"]:
-                self._close(m["end"].lower(), stack)
-            elif m["cdata"]:
-                self.pieces.append((stack[-1], m["cdata"]))
-        if at < len(page):
-            self.pieces.append((stack[-1], entities.unescape(page[at:])))
-
-    def _open(self, name: str, attrs: str, stack: list[int]) -> None:
+        self.stack, self.open, self.blocks = [0], {}, [0]
+        quotes, at, end = True, 0, len(page)
+        while at < end:
+            mark = page.find("<", at)
+            if mark < 0:
+                break
+            if mark > at:
+                self._text(page[at:mark])
+            at = mark
+            follows = page[at + 1 : at + 2]
+            if follows in "!?" and follows:
+                at = self._declaration(page, at)
+                continue
+            closing = follows == "/"
+            name = NAME.match(page, at + 1 + closing)
+            if not name:
+                self._text("<")
+                at += 1
+                continue
+            # The end of the tag: the next > outside of quotes. Once a page turns out to end within quotes, none count.
+            stop, k = -1, name.end()
+            while quotes and stop < 0:
+                m = STOP.search(page, k)
+                if not m:
+                    quotes = False
+                elif m[0] == ">":
+                    stop = m.start()
+                else:
+                    k = page.find(m[0], m.end()) + 1
+                    quotes = k > 0
+            if stop < 0:
+                stop = page.find(">", name.end())
+            if stop < 0:
+                self._text(page[at:])
+                at = end
+                break
+            tag, attrs, at = name[0].lower(), page[name.end() : stop], stop + 1
+            if closing:
+                self._close(tag)
+                continue
+            self._open(tag, attrs)
+            if tag in RAW and not attrs.endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = close.start() if close else end
+        if at < end:
+            self._text(page[at:])
+        self._judge_forms()
+
+    def _text(self, text: str) -> None:
+        self.pieces.append((self.stack[-1], entities.unescape(text)))
+
+    def _declaration(self, page: str, at: int) -> int:
+        """A comment, CDATA section, doctype or processing instruction; what does not end goes on to the page's end."""
+        if page.startswith("<!--", at):
+            m = COMMENT_END.search(page, at + 4)
+            return m.end() if m else len(page)
+        if page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at)
+            self.pieces.append((self.stack[-1], page[at + 9 : stop if stop >= 0 else len(page)]))
+            return stop + 3 if stop >= 0 else len(page)
+        stop = page.find(">", at)
+        return stop + 1 if stop >= 0 else len(page)
+
+    def _last(self, names) -> int:
+        """The place in the stack of the last open element of these names, 0 for none."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
+    def _cut_stack(self, depth: int) -> None:
+        for k in range(len(self.stack) - 1, depth - 1, -1):
+            name = self.tag[self.stack.pop()]
+            self.open[name].pop()
+            if self.blocks[-1] == k:
+                self.blocks.pop()
+
+    def _open(self, name: str, attrs: str) -> None:
         if name in CLOSES_P:
-            self._pop({"p"}, {"button", "td", "th", "caption", "object", "article", "section", "div", "table"}, stack)
+            self._pop(("p",), ("button", "td", "th", "caption", "object", "article", "section", "div", "table"))
         if name in IMPLIED:
-            self._pop(*IMPLIED[name], stack)
-        node, above = len(self.tag), stack[-1]
+            self._pop(*IMPLIED[name])
+        node, above = len(self.tag), self.stack[-1]
         self.tag.append(name)
         self.parent.append(above)
-        self.cut.append(self.cut[above] or self._boilerplate(name, attrs, stack))
+        self.cut.append(self.cut[above] or self._boilerplate(name, attrs))
         if name in BLOCK or name == "br":
             self.pieces.append((above, " " if name == "br" else None))
         if name not in VOID:
-            stack.append(node)
-
-    def _pop(self, names, borders, stack: list[int]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[depth]]
-            if name in names:
-                del stack[depth:]
-                self.pieces.append((stack[-1], None))
-                return
-            if name in borders:
-                return
-
-    def _close(self, name: str, stack: list[int]) -> None:
-        if name == "p" and not any(self.tag[k] == "p" for k in stack[-8:]):
-            self.pieces.append((stack[-1], None))
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] == name:
-                del stack[depth:]
-                if name in BLOCK:
-                    self.pieces.append((stack[-1], None))
-                return
-
-    def _boilerplate(self, name: str, attrs: str, stack: list[int]) -> bool:
+            self.open.setdefault(name, []).append(len(self.stack))
+            if name in BLOCK:
+                self.blocks.append(len(self.stack))
+            self.stack.append(node)
+
+    def _pop(self, names, borders) -> None:
+        depth = self._last(names)
+        if depth and depth > self._last(borders):
+            self._cut_stack(depth)
+            self.pieces.append((self.stack[-1], None))
+
+    def _close(self, name: str) -> None:
+        depth = self._last((name,))
+        # An inline element does not end the block that it stands in.
+        if depth and (name in BLOCK or depth > self.blocks[-1]):
+            self._cut_stack(depth)
+        if name in BLOCK:
+            self.pieces.append((self.stack[-1], None))
+
+    def _boilerplate(self, name: str, attrs: str) -> bool:
         if name in CUT_TAGS:
             return True
-        article = any(self.tag[k] in ("article", "main") for k in stack)
-        if name == "header" and not article:
+        article = self._last(("article", "main"))
+        if name == "header" and not article and not self._last(("section",)):
             return True
-        if not attrs.strip() or name in KEPT_TAGS:
+        if not attrs.strip():
             return False
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True
+                return name not in KEPT_TAGS
+            if name == "form" or name in KEPT_TAGS and not (name == "article" and article):
+                continue
             if key == "role" and value.lower() in CUT_ROLES:
                 return True
-            if key in ("class", "id"):
-                found = {w.lower() for w in WORDS.findall(value)}
-                if found & CUT_WORDS or not article and "header" in found:
+            if key in ("class", "id") and (name in BLOCK or name == "ins") and not self._last(("pre", "code")):
+                if any(names_boilerplate(t) or not article and t.lower() in HEADERS for t in value.split()):
                     return True
         return False
 
+    def _judge_forms(self) -> None:
+        """Cuts the forms but those that hold at least half of what is not cut."""
+        if "form" not in self.tag:
+            return
+        chars = [0] * len(self.tag)
+        for node, text in self.pieces:
+            if text and not self.cut[node]:
+                chars[node] += len(" ".join(text.split()))
+        for node in range(len(self.tag) - 1, 0, -1):
+            chars[self.parent[node]] += chars[node]
+        for node in range(1, len(self.tag)):
+            self.cut[node] = self.cut[node] or self.cut[self.parent[node]] or self.tag[node] == "form" and 2 * chars[node] < chars[0]
+
 
 def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
     """Characters per tag, weighed by how little of them is link text; ``ratio`` is the body's share of link text."""
@@ -132,7 +222,7 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, ra
 
 
 def content_nodes(tree: Tree) -> list[int]:
-    """The nodes whose subtrees are the content, in page order, none within another."""
+    """The nodes whose subtrees are the content, in page order, none within another: the core, and what goes with it."""
     n = len(tree.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in tree.pieces:
@@ -163,22 +253,20 @@ def content_nodes(tree: Tree) -> list[int]:
     while path[-1] not in (body, 0):
         path.append(tree.parent[path[-1]])
     threshold = min(density[k] for k in path)
-    core = next((k for k in path if tree.tag[k] == "article"), None) or next((k for k in path if tree.tag[k] == "main"), None)
-    if core is not None:
-        return [core]
-    # Climb while the parent brings in further children that are dense enough, and take those with the core.
-    chosen = best
+    article = next((k for k in reversed(path) if tree.tag[k] == "article"), None)
+    if article is not None:
+        return [article]
     children: dict[int, list[int]] = {}
     for node in range(1, n):
         if not tree.cut[node]:
             children.setdefault(tree.parent[node], []).append(node)
-    out = [chosen]
+    out, chosen = [best], best
     for above in path[1:]:
-        siblings = [k for k in children.get(above, []) if k != chosen and (density[k] >= threshold and chars[k] or tree.tag[k] in ("h1", "h2") and chars[k] > link_chars[k])]
-        if siblings:
-            out = sorted([*out, *siblings])
+        for k in children.get(above, []):
+            if k != chosen and 3 * link_chars[k] <= chars[k] and (density[k] >= threshold or tree.tag[k] in SIMPLE) and chars[k]:
+                out.append(k)
         chosen = above
-    return out
+    return sorted(out)
 
 
 def extract(page: str | None) -> str:
@@ -211,8 +299,9 @@ def extract_column(pages: DataFrame, key: str = "page_id", url: str = "url", pag
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                texts = [extract(x.as_py()) for x in batch.column(2).slice(start, 256)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 256), batch.column(1).slice(start, 256), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
+            # Pages are handed on in slices, so that no column of one batch outgrows what Arrow can index.
+            for start, stop in slices(batch.column(2).to_pylist(), 16_000_000):
+                texts = [extract(x.as_py()) for x in batch.column(2).slice(start, stop - start)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
 
     return pages.select(F.col(key).cast("long").alias(key), F.col(url).cast("string").alias(url), F.col(page).cast("string").alias(page)).mapInArrow(run, f"`{key}` long, `{url}` string, {SCHEMA}")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdict.llm import matroska
+from verdict.llm.common import slices
 
 UNIT = 64
 STORED = "key long, n_bytes long, media binary"
@@ -49,13 +50,13 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for start in range(0, batch.num_rows, 256):
+            for start, stop in slices(texts.to_pylist(), 16_000_000):
                 sizes, media = [], []
-                for value in texts.slice(start, 256).to_pylist():
+                for value in texts.slice(start, stop - start).to_pylist():
                     n, raw = padded(value)
                     sizes.append(n)
                     media.append(matroska.write(raw))
-                yield pa.RecordBatch.from_arrays([keys.slice(start, 256), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, STORED)
 
