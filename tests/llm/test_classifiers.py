@@ -5,27 +5,27 @@ import numpy as np
 import pytest
 
 from verdict.llm import quality, toxicity
-from verdict.llm.training import labelled
+from verdict.llm.training import labelled, training_rows
 
 
 def brute_features(text):
-    """Byte n-grams within a word and its borders, as sets of strings per kind."""
-    raw = b" " + text.encode() + b" "
+    """N-grams of characters within a word and its borders, as sets of strings per kind."""
+    raw = " " + text + " "
     out = []
     for n in quality.NGRAMS:
         for k in range(len(raw) - n + 1):
             gram = raw[k : k + n]
-            blank = [c in b" \t\n\x0b\x0c\r" for c in gram]
+            blank = [c in " \t\n\x0b\x0c\r" for c in gram]
             if not any(blank[1:-1]) and not (blank[0] and blank[-1]):
-                out.append((n, bytes(32 if b else c for c, b in zip(gram, blank))))
+                out.append((n, "".join(" " if b else c for c, b in zip(gram, blank))))
     words = raw.split()
     out += [(101, w) for w in words] + [(102, p) for p in zip(words, words[1:])] + [(103,) for a, b in zip(words, words[1:]) if a == b]
     return out
 
 
-@pytest.mark.parametrize("text", ["", "a", "ab ab ab", "the cat\tsat  on\nthe mat", "é ü ééé", "x" * 50])
+@pytest.mark.parametrize("text", ["", "a", "ab ab ab", "the cat\tsat  on\nthe mat", "é ü ééé", "x" * 50, "\U0001f600\U0001f601 \u4f60\u597d\u4e16"])
 def test_features_match_brute_force(text):
-    hashes, owner = quality.features([text.encode()])
+    hashes, owner = quality.features([text])
     want = brute_features(text)
     assert len(hashes) == len(want) and set(owner.tolist()) <= {0}
     assert len(set(hashes.tolist())) == len(set(want))
@@ -33,7 +33,7 @@ def test_features_match_brute_force(text):
 
 def test_features_do_not_depend_on_the_batch():
     rng = random.Random(1)
-    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 30))).encode() for _ in range(40)]
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 30))) for _ in range(40)]
     hashes, owner = quality.features(texts)
     for k, t in enumerate(texts):
         assert sorted(hashes[owner == k].tolist()) == sorted(quality.features([t])[0].tolist())
@@ -85,7 +85,8 @@ def distance(a, b):
         last, row = row, [i]
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+    swapped = len(a) == len(b) and any(a[:k] + a[k + 1] + a[k] + a[k + 2 :] == b for k in range(len(a) - 1))
+    return min(row[-1], 1) if swapped else row[-1]
 
 
 def test_automaton_against_edit_distance():
@@ -100,7 +101,7 @@ def test_automaton_against_edit_distance():
     hit, term, d = automaton.scan(codes, begins, ends)
     found = dict(zip(hit.tolist(), zip(term.tolist(), d.tolist())))
     for k, w in enumerate(words):
-        fits = [distance(w, t.text) for t in terms if w[0] == t.text[0] and distance(w[1:], t.text[1:]) <= t.edits]
+        fits = [min(1, distance(w, t.text)) for t in terms if w[0] == t.text[0] and distance(w[1:], t.text[1:]) <= t.edits or t.edits and len(t.text) >= toxicity.FIRST_FROM and distance(w, t.text) <= 1]
         assert (k in found) == bool(fits), w
         if fits:
             assert found[k][1] == min(min(fits), found[k][1]) <= 1
@@ -119,6 +120,39 @@ def test_context_separates_quotation():
     assert weight["you idiot idiot"] > weight["idiot"]
 
 
+def test_misspelt_terms():
+    automaton = toxicity.Automaton([toxicity.Term("scumbag", False), toxicity.Term("moron", False)])
+    model = toxicity.Model(automaton, frozenset(), toxicity.PRIOR)
+    for word in ("scumbag", "xcumbag", "cumbag", "scumabg", "sucmbag", "csumbag", "ascumbag", "scumbagg", "scumba", "scvmbag", "mroon", "moorn", "morxn"):
+        assert [h.term for _, f in model.hits([f"a {word}!"]) for h in f] == [int(word[0] == "m" and word != "xcumbag")], word
+    assert not list(model.hits(["oron boron scmbg xscumbagx ba"]))
+
+
+def test_quotation_of_whole_passages():
+    model = toxicity.Model(toxicity.Automaton([toxicity.Term("scumbag", False)]), frozenset(), toxicity.PRIOR)
+    quoted = lambda t: [h.quoted for _, f in model.hits([t]) for h in f]
+    assert quoted('He wrote to us: "what a scumbag he is" and left') == [True]
+    assert quoted("«quel scumbag ici» et un scumbag") == [True, False]
+    assert quoted("in other words he is a scumbag") == [False]
+    assert quoted('a " mark and\na scumbag " there') == [False]
+
+
+def test_chance_is_exact_at_all_sizes():
+    from math import comb
+
+    for ones, total, base in ((20, 60, 0.2), (20, 61, 0.2), (150, 400, 0.3), (0, 5, 0.1), (3, 3, 0.5), (90, 1000, 0.1), (5, 900, 0.1)):
+        want = sum(comb(total, k) * base**k * (1 - base) ** (total - k) for k in range(ones, total + 1))
+        assert toxicity.chance(ones, total, base) == pytest.approx(want, rel=1e-6)
+
+
+def test_sample_does_not_prefer_short_texts(spark):
+    docs = spark.createDataFrame([(k, "x" * (10 + 30 * k)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    lengths = [len(t) for t, _ in training_rows(docs, labels, "toxic", max_chars=15_000)]
+    assert sum(lengths) <= 15_000 and max(lengths) > 1_000 and len(lengths) > 5
+    assert training_rows(docs, labels, "toxic", max_chars=5) == []
+
+
 def test_sample_is_bounded(spark):
     labels = spark.range(5000).selectExpr("id AS doc_id", "1 AS toxic")
     assert 100 < labelled(labels, "toxic", 200).count() < 300

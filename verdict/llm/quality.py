@@ -1,7 +1,7 @@
 """Quality classifier: averaged vectors of hashed word and character n-grams with a softmax output.
 
-Every whole text is a bag of hashed n-grams of bytes (``NGRAMS`` long, within one word and its borders), words and pairs of
-words. Each hash owns a learned vector; a document is the average of its vectors, and softmax over a linear layer gives
+Every whole text is a bag of hashed n-grams of characters (``NGRAMS`` long, within one word and its borders), words and pairs
+of words. Each hash owns a learned vector; a document is the average of its vectors, and softmax over a linear layer gives
 its class. numpy trains both by stochastic gradient descent on the driver, over a bounded sample (see ``training``).
 As the output is linear in the average, scoring needs one number per hash and class difference; those numbers (a fixed
 ``2**BITS`` of them) go to the executors.
@@ -21,17 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdict.llm.common import slices
 from verdict.llm.training import MAX_ROWS, held_out, training_rows
 
 BITS, DIM, NGRAMS, EPOCHS, RATE, SEED = 17, 8, (3, 4), 6, 0.5, 7
-#: Bytes of text that are hashed at once.
-SLICE = 2_000_000
+#: Characters of text that are hashed at once.
+SLICE = 1_000_000
 
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -46,13 +45,13 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) * MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all n-grams of ``texts`` and the number of the text that each is from."""
-    buffer = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    buffer = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
     n = len(buffer)
-    space = IS_SPACE[buffer]
-    letters = np.where(space, np.uint8(32), buffer).astype(np.uint64) + np.uint64(1)
+    space = (buffer == 32) | (buffer - np.uint32(9) < 5)
+    letters = np.where(space, np.uint32(32), buffer).astype(np.uint64) + np.uint64(1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * _powers(n, MULTIPLIER))])
     back = _powers(n + 1, INVERSE)
     hashes, where = [], []
@@ -61,7 +60,7 @@ def features(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if n < size:
             continue
         starts = np.arange(n - size + 1)
-        inner = blanks[size - 1 : n] - blanks[1 : n - size + 2]  # blanks strictly between the first and the last byte
+        inner = blanks[size - 1 : n] - blanks[1 : n - size + 2]  # blanks strictly between the first and the last character
         starts = starts[(inner == 0) & ~(space[: n - size + 1] & space[size - 1 :])]
         hashes.append(_mixed((sums[starts + size] - sums[starts]) * back[starts], size))
         where.append(starts)
@@ -89,18 +88,12 @@ class Model(NamedTuple):
     bias: float
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        out, start = np.zeros(len(raw)), 0
-        while start < len(raw):
-            stop, total = start, 0
-            while stop < len(raw) and (stop == start or total + len(raw[stop]) <= SLICE):
-                total += len(raw[stop])
-                stop += 1
-            hashes, owner = features(raw[start:stop])
+        out = np.zeros(len(texts))
+        for start, stop in slices(texts, SLICE):
+            hashes, owner = features([t or "" for t in texts[start:stop]])
             n = stop - start
             counts = np.bincount(owner, minlength=n)
             out[start:stop] = np.bincount(owner, self.weights[hashes], n) / np.maximum(1, counts)
-            start = stop
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -40, 40)))
 
 
@@ -113,7 +106,7 @@ def train(rows: Sequence[tuple[str, int]], epochs: int = EPOCHS, rate: float = R
         return Model(np.zeros(1 << BITS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     bags = []
     for text, _ in rows:
-        hashes, _ = features([text.encode("utf-8", "surrogatepass")])
+        hashes, _ = features([text])
         index, count = np.unique(hashes, return_counts=True)
         bags.append((index.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)

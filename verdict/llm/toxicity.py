@@ -2,8 +2,10 @@
 
 The lexicon is learned from a bounded sample of labelled documents: words, and stems with several endings, that mark label
 1 beyond chance. All terms stand in one trie; the Levenshtein automaton of one edit is intersected with it and made
-deterministic, so that a text is scanned with one table lookup per letter while a match is still possible. Each hit is
-weighed by its context window: quotation marks and words of reporting lower it, other hits and direct address raise it.
+deterministic, so that a text is scanned with one table lookup per letter while a match is still possible. An edit
+replaces, inserts or deletes a letter or swaps two neighbours. Each hit is weighed by its context window: quotation, told
+by marks around it or around the passage that it stands in, and words of reporting lower it, other hits and direct address
+raise it.
 A logistic layer over a document's hits gives the score.
 
 Defined results: null and empty texts, and texts without hits, get the score of the bias; repeated rows get equal scores;
@@ -15,9 +17,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
-from math import comb, exp, log, log1p
+from functools import cached_property
+from math import exp, lgamma, log, log1p
 from typing import NamedTuple
 
 import numpy as np
@@ -28,15 +32,18 @@ from pyspark.sql import functions as F
 from verdict.llm.training import held_out, training_rows
 
 #: Words of fewer letters than FUZZY_FROM, stems of fewer than STEM_FUZZY_FROM and terms that are not pure must match
-#: exactly; a lexicon has at most MAX_TERMS terms.
-FUZZY_FROM, STEM_FUZZY_FROM, MAX_TERMS, WINDOW, MAX_ROWS = 5, 7, 400, 6, 6_000
+#: exactly; the first letter takes an edit in terms of FIRST_FROM letters or more. Stems have up to STEM_LETTERS letters.
+FUZZY_FROM, STEM_FUZZY_FROM, FIRST_FROM, STEM_LETTERS, WINDOW, MAX_ROWS = 5, 7, 6, 16, 6, 6_000
 #: The least share of label 1 among the documents that hold a stem, for one that is not pure.
 MIXED = 0.35
 TOKEN = re.compile(r"[^\W_]+")
 #: Letters that digits stand for in disguised words.
 LEET = dict(zip("013457", "oieast"))
 QUOTES = frozenset("\"'“”„‟«»‹›‘’`")
-REPORTING = frozenset("said says say quote quoted quotes called word words term terms slur insult insults wrote writes dit mot terme écrit sagte wort begriff schrieb dijo palabra término escribió".split())
+#: Pairs of marks around a quoted passage; a passage ends with its line.
+PASSAGES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‹": "›"}
+MARKS = re.compile("[\n\"“”„«»‹›]")
+REPORTING = frozenset("said says say quote quoted quotes called word term slur insult insults wrote writes dit mot terme écrit sagte wort begriff schrieb dijo palabra término escribió".split())
 ADDRESS = frozenset("you your yours u ur du dich dein ihr tu toi vous tú usted eres te".split())
 
 
@@ -51,91 +58,120 @@ class Term(NamedTuple):
 
 
 class Automaton:
-    """Deterministic automaton for all words within ``edits`` of a term. The first letter takes no edit.
+    """Deterministic automaton for all words within one edit of a term, where the term takes edits.
 
     ``table[state, class]`` is the next state, 0 the dead one. ``term[state]`` and ``distance[state]`` tell what a word
     matches that ends in the state (-1: nothing); ``final[state]`` marks states in which a stem has matched already.
+
+    A state is a set of places in the trie, each with the edits spent: none, one (INNER), or one on the first letter
+    (FIRST). A place is a node, or a node and the letter that a swap still needs to get there.
     """
 
-    def __init__(self, terms: Sequence[Term], edits: int = 1) -> None:
+    INNER, FIRST = 1, 2
+
+    def __init__(self, terms: Sequence[Term]) -> None:
         self.terms = list(terms)
         children: list[dict[str, int]] = [{}]
         ends: list[list[int]] = [[]]
-        allowed = [0]
+        takes: list[set[int]] = [set()]  # the kinds of edits that some term below takes
         for k, term in enumerate(self.terms):
-            own, node = min(edits, term.edits), 0
+            kinds = ({self.INNER} | ({self.FIRST} if len(term.text) >= FIRST_FROM else set())) if term.edits else set()
+            node = 0
             for c in term.text:
-                allowed[node] = max(allowed[node], own)
+                takes[node] |= kinds
                 if c not in children[node]:
                     children[node][c] = len(children)
                     children.append({})
                     ends.append([])
-                    allowed.append(0)
+                    takes.append(set())
                 node = children[node][c]
-            allowed[node] = max(allowed[node], own)
+            takes[node] |= kinds
             ends[node].append(k)
         letters = sorted({c for t in self.terms for c in t.text})
         self.classes = {c: k + 1 for k, c in enumerate(letters)}
 
-        def close(found: dict[int, int], start: bool) -> frozenset[tuple[int, int]]:
-            todo = list(found.items())
-            while todo and not start:
-                node, e = todo.pop()
-                for child in children[node].values():
-                    if e + 1 <= allowed[child] and found.get(child, 9) > e + 1 and not any(self.terms[k].stem for k in ends[child]):
-                        found[child] = e + 1
-                        todo.append((child, e + 1))
+        def put(found: dict, place, e: int) -> None:
+            found[place] = min(found.get(place, 9), e)
+
+        def close(found: dict) -> frozenset:
+            """Adds what a letter that the word lacks leads to."""
+            for node, e in list(found.items()):
+                if e == 0 and isinstance(node, int):
+                    kind = self.INNER if node else self.FIRST
+                    for child in children[node].values():
+                        if kind in takes[child] and not any(self.terms[k].stem for k in ends[child]):
+                            put(found, child, kind)
             return frozenset(found.items())
 
-        def verdict(state: frozenset[tuple[int, int]]) -> tuple[int, int, bool]:
-            hits = [(e, -len(self.terms[k].text), k) for node, e in state for k in ends[node] if e <= min(edits, self.terms[k].edits)]
+        def verdict(state: frozenset) -> tuple[int, int, bool]:
+            hits = [(int(e > 0), -len(self.terms[k].text), k) for node, e in state if isinstance(node, int) for k in ends[node] if e == 0 or self.terms[k].edits and (e == self.INNER or len(self.terms[k].text) >= FIRST_FROM)]
             if not hits:
                 return -1, 0, False
             e, _, k = min(hits)
             return k, e, any(self.terms[k].stem for _, _, k in hits)
 
-        first = close({0: 0}, True)
+        def after(state: frozenset, c: str) -> frozenset:
+            found: dict = {}
+            for place, e in state:
+                if not isinstance(place, int):
+                    if place[1] == c:
+                        put(found, place[0], e)
+                    continue
+                kind = self.INNER if place else self.FIRST
+                for letter, child in children[place].items():
+                    if letter == c:
+                        put(found, child, e)
+                    elif e == 0:
+                        if kind in takes[child]:
+                            put(found, child, kind)
+                        swapped = children[child].get(c)
+                        if swapped is not None and kind in takes[swapped]:
+                            put(found, (swapped, letter), kind)
+                if e == 0 and kind in takes[place]:
+                    put(found, place, kind)
+            return close(found)
+
+        first = close({0: 0})
         number = {frozenset(): 0, first: 1}
         rows, queue = [[0] * (len(letters) + 1)], [first]
         term, distance, final = [-1], [0], [False]
-        while queue:
-            state = queue.pop(0)
+        for state in queue:
             k, e, done = verdict(state)
             term.append(k)
             distance.append(e)
             final.append(done)
             row = []
             for c in ["", *letters]:
-                found: dict[int, int] = {}
-                for node, e in () if done else state:
-                    for letter, child in children[node].items():
-                        cost = e + (letter != c)
-                        if cost <= (allowed[child] if node or letter == c else -1):
-                            found[child] = min(found.get(child, 9), cost)
-                    if node and e + 1 <= allowed[node]:
-                        found[node] = min(found.get(node, 9), e + 1)
-                after = close(found, False)
-                if after not in number:
-                    number[after] = len(number)
-                    queue.append(after)
-                row.append(number[after])
+                goes = frozenset() if done else after(state, c)
+                if goes not in number:
+                    number[goes] = len(number)
+                    queue.append(goes)
+                row.append(number[goes])
             rows.append(row)
         self.table = np.array(rows, np.int32)
         self.term, self.distance, self.final = np.array(term), np.array(distance), np.array(final)
-        self.code = np.zeros(65_536, np.int64)
+
+    @cached_property
+    def code(self) -> np.ndarray:
+        """The class of every code point; made anew in each process."""
+        out = np.zeros(0x110000, np.int32)
         for c, k in self.classes.items():
-            if ord(c) < 65_536:
-                self.code[ord(c)] = k
+            out[ord(c)] = k
         for digit, c in LEET.items():
-            self.code[ord(digit)] = self.classes.get(c, 0)
+            out[ord(digit)] = self.classes.get(c, 0)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "code"}
 
     def scan(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of the words ``codes[begin:end]`` match: their indexes, terms and distances."""
+        code = self.code
         state = np.ones(len(begin), np.int32)
         alive = np.flatnonzero(end > begin)
         at = begin.copy()
         while len(alive):
-            now = self.table[state[alive], self.code[codes[at[alive]]]]
+            now = self.table[state[alive], code[codes[at[alive]]]]
             state[alive] = now
             at[alive] += 1
             alive = alive[(now != 0) & ~self.final[now] & (at[alive] < end[alive])]
@@ -149,10 +185,24 @@ _IS_LETTER: np.ndarray | None = None
 def letters() -> np.ndarray:
     global _IS_LETTER
     if _IS_LETTER is None:
-        _IS_LETTER = np.array([chr(c).isalnum() if not 0xD800 <= c < 0xE000 else False for c in range(65_535)] + [False])
+        _IS_LETTER = np.array([chr(c).isalnum() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
     return _IS_LETTER
 
 
+def passages(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of the passages between marks of quotation, one after the other, found in one pass."""
+    out, opened = [], None
+    for m in MARKS.finditer(text):
+        if m[0] == "\n":
+            opened = None
+        elif opened is not None and m[0] in PASSAGES[text[opened]]:
+            out.append((opened, m.start()))
+            opened = None
+        elif opened is None and m[0] in PASSAGES:
+            opened = m.start()
+    return out
+
+
 class Hit(NamedTuple):
     term: int
     distance: int
@@ -181,7 +231,7 @@ class Model(NamedTuple):
 
     def _scan(self, texts: Sequence[str | None]) -> Iterator[tuple[int, list[Hit]]]:
         lowered = [(t or "").lower() for t in texts]
-        codes = np.minimum(np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), 65_535)
+        codes = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         edge = np.flatnonzero(np.diff(letters()[codes].astype(np.int8)))
         begin, end = edge[::2] + 1, edge[1::2] + 1
         if not self.automaton.terms or not len(begin):
@@ -198,13 +248,14 @@ class Model(NamedTuple):
             found = [(w, t, d) for w, t, d in found if not d or word(w) not in self.innocent]
             at = [w for w, _, _ in found]
             first, last = np.searchsorted(begin, base), np.searchsorted(begin, base + len(text))
-            out = []
+            out, quotes = [], passages(text) if found else []
             for w, t, d in found:
                 near = range(max(int(first), w - WINDOW), min(int(last), w + WINDOW + 1))
                 around = {word(x) for x in near if x != w}
                 a, b = int(begin[w]) - base, int(end[w]) - base
                 marked = a > 0 and text[a - 1] in QUOTES and b < len(text) and text[b] in QUOTES
-                quoted = marked or bool(around & REPORTING)
+                inside = bisect_right(quotes, (a, len(text))) - 1
+                quoted = marked or inside >= 0 and b <= quotes[inside][1] or bool(around & REPORTING)
                 others = sum(abs(x - w) <= WINDOW for x in at) - 1
                 weight = (0.3 if quoted else 1.0) * (1 + 0.25 * min(3, others)) * (1.25 if around & ADDRESS else 1.0)
                 out.append(Hit(t, d, quoted, weight, a, b))
@@ -240,14 +291,17 @@ PRIOR = (-3.0, 6.0, 5.0, 1.0, 1.0, 1.5)
 
 
 def chance(ones: int, total: int, base: float) -> float:
-    """The probability that at least ``ones`` of ``total`` draws are ones."""
-    if total > 60:  # Chernoff's bound
-        share = ones / total
-        if share <= base:
-            return 1.0
-        kl = share * log(share / base) + ((1 - share) * log((1 - share) / (1 - base)) if share < 1 else 0.0)
-        return exp(-total * kl)
-    return sum(comb(total, k) * base**k * (1 - base) ** (total - k) for k in range(ones, total + 1))
+    """The probability that at least ``ones`` of ``total`` draws are ones, summed from its largest term on."""
+    if ones <= 0:
+        return 1.0
+    term = exp(lgamma(total + 1) - lgamma(ones + 1) - lgamma(total - ones + 1) + ones * log(base) + (total - ones) * log(1 - base))
+    out, odds = 0.0, base / (1 - base)
+    for k in range(ones, total + 1):
+        out += term
+        if k * (1 - base) > total * base and term < 1e-12 * out:
+            break
+        term *= odds * (total - k) / (k + 1)
+    return min(1.0, out)
 
 
 def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: float = 0.01) -> list[Term]:
@@ -268,14 +322,14 @@ def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: flo
     # Plain counts first: only beginnings that several documents hold get sets of their own.
     begun: Counter[str] = Counter()
     for _, found in read(1):
-        begun.update({word[:n] for word in found for n in range(3, min(8, len(word)) + 1)})
+        begun.update({word[:n] for word in found for n in range(3, min(STEM_LETTERS, len(word)) + 1)})
     ones: dict[str, set[int]] = defaultdict(set)
     stems_one: dict[str, set[int]] = defaultdict(set)
     endings: dict[str, set[str]] = defaultdict(set)
     for group, found in read(1):
         for word in found:
             ones[word].add(group)
-            for n in range(3, min(8, len(word)) + 1):
+            for n in range(3, min(STEM_LETTERS, len(word)) + 1):
                 if begun[word[:n]] >= 4:
                     stems_one[word[:n]].add(group)
                     endings[word[:n]].add(word)
@@ -288,7 +342,7 @@ def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: flo
         for word in found:
             if word in ones:
                 zeros[word].add(group)
-            for n in range(3, min(8, len(word)) + 1):
+            for n in range(3, min(STEM_LETTERS, len(word)) + 1):
                 if word[:n] in stems_one:
                     stems_zero[word[:n]].add(group)
     if not groups or not 0 < sum(groups.values()) < len(groups):
@@ -317,7 +371,7 @@ def learn_terms(rows: Sequence[tuple[str, int]], purity: float = 0.9, level: flo
     words = {w: len(a) for w, a in ones.items() if len(w) >= 3 and not w.isdigit() and marks(a, zeros.get(w, empty), sizes[len(a | zeros.get(w, empty))], purity, level)}
     stems = tuple(t.text for _, t in terms)
     terms += [(n, Term(w, False)) for w, n in words.items() if not w.startswith(stems)]
-    return [t for _, t in sorted(terms, key=lambda x: (-x[0], x[1]))][:MAX_TERMS]
+    return [t for _, t in sorted(terms, key=lambda x: (-x[0], x[1]))]
 
 
 def train(rows: Sequence[tuple[str, int]], steps: int = 40, pull: float = 0.0005) -> Model:

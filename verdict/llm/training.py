@@ -26,19 +26,21 @@ def labelled(labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> DataFra
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of the sampled rows in order of their ids. Texts are whole; documents beyond ``max_chars`` in all,
-    in order of a hash, are left out of the sample, so the driver's memory is bounded."""
+    """(text, label) of the sampled rows in order of their ids. Texts are whole. Ids are taken in order of a hash until the
+    next would exceed ``max_chars`` in all, so long and short documents have the same chance and the driver's memory is
+    bounded; an id whose texts exceed it by themselves is passed over."""
     sample = labelled(labels, label, max_rows)
     # The sample is bounded by max_rows, so it may be broadcast at any size of the corpus.
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    sizes = picked.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("c")).collect()
-    total, allowed = 0, []
-    for row in sorted(sizes, key=lambda r: (r.n, r.doc_id)):
-        total += row.n * row.c
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").withColumn("order", F.xxhash64("doc_id", F.lit("order")))
+    sizes = picked.groupBy("doc_id", "order").agg(F.sum(F.length("text")).alias("n")).collect()
+    total, allowed, last = 0, set(), None
+    for row in sorted((r for r in sizes if r.n <= max_chars), key=lambda r: (r.order, r.doc_id)):
+        total += row.n
         if total > max_chars:
             break
-        allowed.append(row.doc_id)
-    longest = max((r.n for r in sizes if r.doc_id in set(allowed)), default=0)
-    rows = picked.where(F.length("text") <= longest).collect()
-    keep = set(allowed)
-    return [(r.text, r.label) for r in sorted((r for r in rows if r.doc_id in keep), key=lambda r: (r.doc_id, r.text))]
+        allowed.add(row.doc_id)
+        last = row.order
+    if last is None:
+        return []
+    rows = picked.where((F.col("order") <= last) & (F.length("text") <= max_chars)).collect()
+    return [(r.text, r.label) for r in sorted((r for r in rows if r.doc_id in allowed), key=lambda r: (r.doc_id, r.text))]
