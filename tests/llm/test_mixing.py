@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from verdict.llm.mixing import mix, targets
+from verdict.llm.mixing import mix, mixed, targets
 
 
 def water_level(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
@@ -47,3 +47,23 @@ def test_mix(spark):
     key = lambda r: (str(r.doc_id), r["size"], r.taken)
     assert sorted(map(key, got)) == sorted(map(key, mix(df.repartition(13)).collect()))
     assert mix(df.limit(0)).count() == 0
+
+
+def test_stage_keeps_rows_and_columns(spark):
+    rows = [(k % 40, " ".join(["w"] * (k % 23)), ["a", "b", None][k % 3], k, "mine", 1.5, 9, "x") for k in range(400)] + [(7, "w w w", "a", 1000 + k, "mine", 1.5, 9, "x") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, size string, target double, h int, slice string")
+    got = mixed(df).collect()
+    assert mixed(df).columns == ["doc_id", "text", "source", "row", "h", "slice", "size", "source_size", "target", "taken"]
+    assert len({r.row for r in got}) == len(got) and all(r["size"] == len(r.text.split()) and 0 < r.taken <= 2 * r["size"] and (r.h, r.slice) == (9, "x") for r in got)
+    budget = {r.source: (r.target, r.source_size) for r in got}
+    assert all(sum(r.taken for r in got if r.source == s) == int(t) for s, (t, _) in budget.items())
+    assert sorted((r.doc_id, r["size"], r.taken) for r in mix(df).collect() if r.taken) == sorted((r.doc_id, r["size"], r.taken) for r in got)
+    assert mixed(df.limit(0)).count() == 0
+    lonely = mixed(spark.createDataFrame([(None, None, None)], "doc_id long, text string, source string"))
+    assert lonely.count() == 0
+
+
+def test_rows_of_one_id_are_spread(spark):
+    df = spark.range(5000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('w ', id) AS text", "'a' AS source")
+    got = mix(df).collect()
+    assert sum(r.taken for r in got) == 15_000 and len({r.taken for r in got}) <= 3

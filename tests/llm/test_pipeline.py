@@ -65,3 +65,19 @@ def test_near_duplicates_leave_one(spark):
 
 def test_classifier_without_both_classes():
     assert set(train([("a", 1)]).scores(["a", None, ""]).round(3)) == {1.0}
+
+
+def test_columns_of_any_name_come_through_every_stage(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    schema = "doc_id long, text string, score double, bad_doc int, kept_doc int, kept_hash int, own_hash int, gone int, left int, line int, words int, content int, content_id int, marks int, `a.b` int, __h int"
+    rows = [(k, text, 0.5, *range(k, k + 13)) for k, text in enumerate([body, body + " end", None, "", "other words stand here now and then again", body + "\n" + "line " * 9])] + [(None, "no id here at all", 0.1, *range(13))]
+    df = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20, 50))), (2, None), (3, "")], "item_id long, text string")
+    for out in (stages.keep_quality(df, df, labels, threshold=0.0), stages.dedup_lines(df), stages.keep_one_of_each(df), stages.drop_contaminated(df, items)):
+        found = {r.doc_id: r for r in out.collect()}
+        assert out.columns == df.columns and None in found
+        assert all(tuple(found[k])[2:] == rows[k][2:] for k in found if k is not None)
+    assert set(found) == {2, 3, 4, None}
+    for stage in (lambda d: stages.keep_quality(d, df, labels), stages.dedup_lines, stages.keep_one_of_each, lambda d: stages.drop_contaminated(d, items)):
+        assert stage(df.limit(0)).count() == 0

@@ -249,13 +249,15 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
 
     Documents of which nothing but blank lines is left go; of such as never had words, all stay.
     """
+    names = {c.lower() for c in docs.columns}
+    gone, left = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in names) for base in ("gone", "left"))
     dropped = line_decisions(docs.select("doc_id", F.col(text).alias("text")), min_words, near_words)
-    gone = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("__gone")).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left")
-    left = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line, k: ~F.coalesce(F.array_contains("__gone", k), F.lit(False)))
-    joined = joined.withColumn("__left", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-    joined = joined.where(F.col("__gone").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
-    columns = {text: F.col("__left")}
+    lines = dropped.groupBy(F.col("doc_id").alias("__doc_of_lines"), F.col("text_hash").alias("__hash_of_lines")).agg(F.collect_set("line").alias(gone))
+    joined = docs.join(lines, F.col("doc_id").eqNullSafe(F.col("__doc_of_lines")) & (F.xxhash64(F.col(text)) == F.col("__hash_of_lines")), "left")
+    rest = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line, k: ~F.coalesce(F.array_contains(gone, k), F.lit(False)))
+    joined = joined.withColumn(left, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")))
+    joined = joined.where(F.col(gone).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    columns = {text: F.col(left)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__left")).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

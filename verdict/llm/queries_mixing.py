@@ -17,7 +17,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM {docs}),
 totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
