@@ -94,10 +94,10 @@ def test_licenses(spark):
 
 
 def test_published_notices(spark):
-    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,"
+    gpl = "This {4} is free software{0} you can redistribute it and/or modify\nit under the terms of the GNU {3}General Public License as published by\nthe Free Software Foundation{1} either version {2} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,"
     mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell'
     isc = "Permission to use, copy, modify, {} distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
-    notices = {1: ("MIT", mit), 2: ("GPL-2.0", gpl.format(";", ";", 2)), 3: ("GPL-3.0", gpl.format(":", ",", 3)), 4: ("ISC", isc.format("and/or")), 5: ("ISC", isc.format("and"))}
+    notices = {1: ("MIT", mit), 2: ("GPL-2.0", gpl.format(";", ";", 2, "", "program")), 3: ("GPL-3.0", gpl.format(":", ",", 3, "", "program")), 4: ("ISC", isc.format("and/or")), 5: ("ISC", isc.format("and")), 6: ("AGPL-3.0", gpl.format(":", ",", 3, "Affero ", "program")), 7: ("LGPL-2.1", gpl.format(";", ";", "2.1", "Lesser ", "library"))}
     df = spark.createDataFrame([(k, f"Copyright (c) 2020 A. Person\n\n{text}\nmore text") for k, (_, text) in notices.items()], "doc_id long, text string")
     assert {(r.doc_id, r.license) for r in licenses.scan(df, licenses.templates(spark)).collect()} == {(k, name) for k, (name, _) in notices.items()}
 
