@@ -47,6 +47,9 @@ def test_execution():
     assert big["output_truncated"] and not big["passed"] and len(big["actual"]) == 10
     child = one("import subprocess, sys\nsubprocess.Popen([sys.executable, '-c', 'import time; time.sleep(60)'])\nprint(1)", case("", "1", timeout=3.0))["runs"][0]
     assert child["timed_out"] or child["passed"]
+    grown = run("x = bytearray(900 << 20)\nprint(1)", [case("", "1")], 5.0, "s", config=ExecConfig(memory_limit=True), memory_mb=256)["runs"][0]
+    assert not grown["passed"] and "MemoryError" in grown["stderr"]
+    assert run("print(1)", [case("", "1")], 5.0, "s", config=ExecConfig(memory_limit=True), memory_mb=256)["runs"][0]["passed"]
 
 
 def test_convert(spark):
@@ -152,6 +155,7 @@ def test_summary_of_rewards(spark, tmp_path):
     stream.awaitTermination(60)
     m = summary.merged(spark, str(tmp_path / "out")).first()
     assert (m.completions, m.groups, m.varying_reward_groups, m.mean_reward) == (4, 2, 1, 0.5)
+    assert sum(r["count"] for r in summary.merged_reasons(spark, str(tmp_path / "out")).collect()) == log.select(F.explode("reasons")).count()
     assert REWARD_LOG
 
 

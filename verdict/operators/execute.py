@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.functions.python_code import compile_error
@@ -56,7 +56,10 @@ sys.stdout.write(json.dumps(value, ensure_ascii=False, sort_keys=True))
 class ExecConfig:
     max_output_bytes: int = 1_000_000
     memory_limit: bool = False  # enforce a problem's memory_limit_mb
-    tasks: int | None = None  # partitions to spread the programs over
+    tasks: int | None = None  # partitions to spread the programs over; None: as the rows lie, 0: two per core of the cluster
+
+    def partitions(self, spark: SparkSession) -> int | None:
+        return 2 * spark.sparkContext.defaultParallelism if self.tasks == 0 else self.tasks
 
 
 def normalized(raw: bytes | str | None) -> str:
@@ -67,13 +70,15 @@ def normalized(raw: bytes | str | None) -> str:
 def run_process(command: list[str], stdin: bytes, timeout: float, cap: int, folder: str, memory_mb: int | None) -> tuple[bytes, bytes, int | None, bool]:
     """(stdout, stderr, exit status or None after a time-out, whether stdout went beyond ``cap``)."""
 
-    def limits() -> None:
-        resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
-        if memory_mb:
-            resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
-
     env = {"PATH": os.environ.get("PATH", ""), "LANG": "C.UTF-8", "HOME": folder, "TMPDIR": folder}
-    child = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, cwd=folder, env=env, start_new_session=True, preexec_fn=limits)
+    child = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, cwd=folder, env=env, start_new_session=True)
+    # Limits are set from here, so that the child need not be a copy of the worker first, whose memory may be large.
+    try:
+        resource.prlimit(child.pid, resource.RLIMIT_CORE, (0, 0))
+        if memory_mb:
+            resource.prlimit(child.pid, resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
+    except ProcessLookupError:
+        pass  # it has ended already
     kept = {child.stdout: bytearray(), child.stderr: bytearray()}
     over, pending, deadline, ended = False, memoryview(stdin), time.monotonic() + timeout, True
     with selectors.DefaultSelector() as ready:
@@ -150,8 +155,8 @@ def run_suites(df: DataFrame, suites: dict[str, tuple[Column, Column, str]], tim
     """
     names = list(suites)
     inputs = [F.struct(code.alias("code"), tests.alias("tests")).alias(name) for name, (code, tests, _) in suites.items()]
-    if config.tasks:
-        df = df.repartition(config.tasks)
+    if tasks := config.partitions(df.sparkSession):
+        df = df.repartition(tasks)
     packed = df.select(F.struct(*df.columns).alias("row"), *inputs, time_limit.cast("double").alias("limit"), F.coalesce(entry_point, F.lit("")).alias("entry"), (F.lit(0) if memory_mb is None else memory_mb).cast("int").alias("memory"))
     labels = {name: label for name, (_, _, label) in suites.items()}
 

@@ -41,7 +41,8 @@ def verify(problems: DataFrame, max_solutions: int = 3, config: ExecConfig = Exe
     A problem without cases verifies vacuously unless ``strict``. The loop over a problem's solutions stays in one task,
     so that later ones are not run in vain; problems are dealt over ``config.tasks`` partitions.
     """
-    spread = problems.repartition(config.tasks, "id") if config.tasks else problems
+    tasks = config.partitions(problems.sparkSession)
+    spread = problems.repartition(tasks, "id") if tasks else problems
     tests = F.concat("tests.visible_tests", "tests.reward_tests", "tests.eval_tests")
     packed = spread.select(F.struct(*spread.columns).alias("row"), F.slice("oracle.solutions", 1, max_solutions)["code"].alias("codes"), tests.alias("cases"), "time_limit_sec", F.when(F.col("io_mode") == "callable", F.col("entry_point")).otherwise("").alias("entry"))
 

@@ -351,14 +351,15 @@ def q34_heldout_leakage(spark, sf_dir):
     whole item is compared after that."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.btrim("text").alias("item")).where("item <> ''").withColumn("w", F.split("item", r"\s+"))
     # An item's anchor is its first window of up to 8 words; the lengths of anchors are 8 at most, so few passes are made.
-    items = checkpointed(items.withColumn("n", F.least(F.lit(8), F.size("w"))).select("item_id", "item", "n", F.xxhash64(F.slice("w", 1, F.col("n"))).alias("lead")))
+    items = checkpointed(items.withColumn("n", F.least(F.lit(8), F.size("w"))).select("item_id", "item", "n", F.xxhash64(F.slice(F.transform("w", lambda x: F.xxhash64(x)), 1, F.col("n"))).alias("lead")))
     lengths = sorted(r.n for r in items.select("n").distinct().collect())
     bits = items.select((F.pmod("lead", F.lit(1 << 16))).alias("b")).distinct()
     marks = bits.groupBy((F.shiftright("b", 6)).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("word"))
     # One row of a fixed size: a bit for the hash of every anchor, tried before a window leaves its document's array.
     filled = marks.agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0).cast("long"))).alias("marks"))
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    body = docs.select("doc_id", F.split("text", r"\s+").alias("w")).crossJoin(F.broadcast(checkpointed(filled)))
+    # Words are hashed once, so that a window is a run of numbers.
+    body = docs.select("doc_id", F.transform(F.split("text", r"\s+"), lambda x: F.xxhash64(x)).alias("w")).crossJoin(F.broadcast(checkpointed(filled)))
 
     def windows(n: int):
         hashes = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.xxhash64(F.slice("w", k, n)))

@@ -7,20 +7,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdict.functions import python_code as P
 from verdict.functions import reports as R
 from verdict.functions import text as T
 from verdict.operators import audit, convert, evaluate, pack, records, resume, reward, solve, split
 from verdict.operators.execute import ExecConfig, run_suites
 from verdict.operators.verify import counters, verify
-from verdict.plans.problems import ADD, BROKEN, CLEAN, PAIR, WRONG, converted, marked, problems, raw_rows, raw_sql
-from verdict.plans.tables import EXCHANGE_SQL, REPORT_SQL, exchanges, reports, table
+from verdict.plans.problems import ADD, BROKEN, CLEAN, PAIR, WARNED, WRONG, converted, marked, problems, raw_rows, raw_sql
+from verdict.plans.tables import EXCHANGE_SQL, LOG_SQL, REPORT_SQL, exchanges, reports, reward_log, table
 from verdict.sources import io
 from verdict.sources.checkpoint import checkpointed, shared_folder
 from verdict.sources.schema import REWARD_LOG, has_all_groups
+from verdict.streaming import summary
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-CHUNK = ExecConfig(tasks=16)
+CHUNK = ExecConfig(tasks=0)
 
 
 def query(sql: str | None = None):
@@ -408,3 +410,31 @@ def q63_guards(spark, sf_dir):
     }
     return spark.createDataFrame(sorted(found.items()), "guard string, outcome string")
 
+
+@query("SELECT s_suppkey, s_suppkey % 5 NOT IN (2, 3) AS compiles, s_suppkey % 5 <> 2 AS parses, s_suppkey % 5 = 1 AS warns FROM supplier")
+def q64_syntax_checks(spark, sf_dir):
+    """A program for every key: clean, with a warning, broken, one that parses but does not compile, and none."""
+    kind = F.col("s_suppkey") % 5
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(kind == 0, CLEAN).when(kind == 1, WARNED).when(kind == 2, BROKEN).when(kind == 3, "return 1").alias("code"))
+    return rows.select("s_suppkey", P.syntax_error("code").isNull().alias("compiles"), P.syntax_valid("code").alias("parses"), P.has_syntax_warning("code").alias("warns"))
+
+
+def _streamed(spark, sf_dir) -> str:
+    """The folder of a running summary over the reward log, which arrives as four files in two batches."""
+    path = _folder(spark, "reward-stream")
+    reward_log(spark, sf_dir).repartition(4).write.json(f"{path}/log")
+    summary.start(summary.read(spark, f"{path}/log", 2), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/out"
+
+
+@query("WITH " + LOG_SQL + """, g AS (SELECT count(*) AS n, max(total) - min(total) > 1e-9 AS varying, sum(total) AS s, count(CASE WHEN total >= 0.999 THEN 1 END) AS c FROM log GROUP BY reward_call, problem_id)
+SELECT sum(n)::BIGINT AS completions, count(*) AS groups, sum(varying::INT)::BIGINT AS varying_reward_groups, round(sum(s) / sum(n), 4) AS mean_reward, round(sum(c) / sum(n), 6) AS fully_correct_rate FROM g""")
+def q65_streamed_summary(spark, sf_dir):
+    """A reward log read as a stream and merged batch by batch."""
+    m = summary.merged(spark, _streamed(spark, sf_dir))
+    return m.select("completions", "groups", "varying_reward_groups", F.round("mean_reward", 4).alias("mean_reward"), F.round("fully_correct_rate", 6).alias("fully_correct_rate"))
+
+
+@query("WITH " + LOG_SQL + " SELECT reason, count(*) AS count FROM (SELECT unnest(reasons) AS reason FROM log) GROUP BY reason")
+def q66_streamed_reasons(spark, sf_dir):
+    return summary.merged_reasons(spark, _streamed(spark, sf_dir))

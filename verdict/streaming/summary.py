@@ -32,3 +32,8 @@ def merged(spark: SparkSession, out: str) -> DataFrame:
     """One row over all batches so far."""
     g = spark.read.parquet(f"{out}/groups").groupBy("reward_call", "problem_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("sum").alias("sum"), F.sum("correct").alias("correct"))
     return g.agg(F.sum("n").alias("completions"), F.count("*").alias("groups"), F.sum((F.col("high") - F.col("low") > 1e-9).cast("long")).alias("varying_reward_groups"), (F.sum("sum") / F.sum("n")).alias("mean_reward"), (F.sum("correct") / F.sum("n")).alias("fully_correct_rate"))
+
+
+def merged_reasons(spark: SparkSession, out: str) -> DataFrame:
+    """How often each reason was given, over all batches so far."""
+    return spark.read.parquet(f"{out}/reasons").groupBy("reason").agg(F.sum("count").alias("count"))
