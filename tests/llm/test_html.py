@@ -1,7 +1,9 @@
 import re
 import time
 
-from verdict.llm.html_text import Tree, composite_density, content_nodes, extract, extract_column
+import pytest
+
+from verdict.llm.html_text import Tree, composite_density, content_nodes, extract, extract_column, names_boilerplate
 
 PROSE = "Plain prose with enough words to carry a paragraph of its own, and then some more of them."
 
@@ -93,3 +95,31 @@ def test_cost_is_linear():
         began = time.thread_time()
         extract(page)
         assert time.thread_time() - began < 5, page[:20]
+
+
+LAYOUT = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE} {PROSE}</p><p>End.</p>"
+OTHER = "<p>A reader or a seller goes on and on about something that has nothing to do with what the page is about.</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id='header'><h2>Site</h2></div><div class='content'>{LAYOUT}</div><div id='footer'>All rights reserved by the owner of this page.</div>",
+        f"<div class='post'>{LAYOUT}</div><ol class='commentlist'><li>{OTHER}</li><li>{OTHER}</li></ol>",
+        f"<main>{LAYOUT}<section class='comments'><h3>Comments</h3>{OTHER}</section></main>",
+        f"<article>{LAYOUT}</article><article class='comment'>{OTHER}</article>",
+        f"<div>{LAYOUT}</div><ul class='reader-comments'><li>{OTHER}</li></ul><div class='topnav'><a href='/'>Home</a></div>",
+        f"<div class='wrap'><div class='sidebarleft'>{OTHER}</div><div>{LAYOUT}</div></div>",
+        f"<div class='cookie-banner'>{OTHER}</div><div class='site-notice'>{OTHER}</div><div id='main'>{LAYOUT}<div class='advert'>{OTHER}</div></div>",
+        f"<div id='main'>{LAYOUT}<form><label>Your name, please</label><input><p>We never share it.</p></form></div>",
+        f"<main><section><h1>Title</h1><p>{PROSE}</p></section><section><p>{PROSE} {PROSE}</p><p>End.</p></section></main><aside>{OTHER}</aside>",
+        f"<table><tr><td class='menu'><a href='/'>Home</a><br><a href='/n'>News</a></td><td>{LAYOUT}</td></tr></table>",
+    ],
+)
+def test_layouts(page):
+    assert extract(f"<body>{page}</body>") == f"Title\n{PROSE}\n{PROSE} {PROSE}\nEnd."
+
+
+def test_words_written_as_one():
+    assert all(map(names_boilerplate, "commentlist sidebarleft navmenu topnav footerlinks".split()))
+    assert not any(map(names_boilerplate, "address adhoc commentary navigator subscript shareholders mainstory noticeable".split()))

@@ -7,7 +7,8 @@ judged by it. A form that holds most of a page's text is a wrapper and stays. Fo
 weighs its characters per tag by its share of link text; the node whose children have the largest sum of densities is the
 core of the content. The least density on its path to the body is the threshold: on that path, neighbouring subtrees that
 are as dense belong to the content as well, and so do plain blocks (paragraphs, headings, lists, tables) that are not
-mostly links. Where the path leads through an article, the rest of the article is content too.
+mostly links. Where the path leads through an article, the rest of the article is content too, and where it leads through
+a main element, all in it that is not mostly links.
 
 Defined results: null or empty html, or a page of boilerplate only, gives an empty text; html without tags is its own text;
 repeated rows give repeated, equal rows; other columns are not read. Pages of any length are parsed in one pass of linear
@@ -20,6 +21,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,10 +59,24 @@ KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 pre".split())
 SIMPLE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure address details".split())
 
 
+#: Two words written as one are told apart up to this many letters, more than any two of the words above have.
+COMPOUND = 40
+
+
+@lru_cache(1 << 14)
+def cut_word(word: str) -> bool:
+    """True for a word that names boilerplate, alone or written together with one that does or names a container."""
+    if word in CUT_WORDS:
+        return True
+    halves = [(word[:k], word[k:]) for k in range(1, len(word))] if len(word) <= COMPOUND else []
+    known = [(a, b) for a, b in halves if (a in CUT_WORDS or a in PLAIN_WORDS) and (b in CUT_WORDS or b in PLAIN_WORDS)]
+    return any(w in CUT_WORDS and len(w) > 2 for pair in known for w in pair)
+
+
 def names_boilerplate(token: str) -> bool:
     """True for a class or id all of whose words name boilerplate or a container, and one the former."""
     words = [w.lower() for w in WORDS.findall(token) if not w.isdigit()]
-    return any(w in CUT_WORDS for w in words) and all(w in CUT_WORDS or w in PLAIN_WORDS for w in words)
+    return any(map(cut_word, words)) and all(w in PLAIN_WORDS or cut_word(w) for w in words)
 
 
 class Tree:
@@ -260,10 +276,11 @@ def content_nodes(tree: Tree) -> list[int]:
     for node in range(1, n):
         if not tree.cut[node]:
             children.setdefault(tree.parent[node], []).append(node)
+    main = max((i for i, k in enumerate(path) if tree.tag[k] == "main"), default=-1)
     out, chosen = [best], best
-    for above in path[1:]:
+    for i, above in enumerate(path[1:], 1):
         for k in children.get(above, []):
-            if k != chosen and 3 * link_chars[k] <= chars[k] and (density[k] >= threshold or tree.tag[k] in SIMPLE) and chars[k]:
+            if k != chosen and 3 * link_chars[k] <= chars[k] and (i <= main or density[k] >= threshold or tree.tag[k] in SIMPLE) and chars[k]:
                 out.append(k)
         chosen = above
     return sorted(out)
