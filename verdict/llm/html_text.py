@@ -55,6 +55,8 @@ posts post primary read reader region right row secondary section site slot soci
 HEADERS = frozenset("header site-header page-header main-header global-header top-header".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 pre".split())
+#: An article by such a name is a reader's comment wherever it stands; any other that is not within one is kept.
+COMMENT = re.compile("comment|repl(?:y|ies)", re.IGNORECASE)
 #: Blocks that are content beside the core unless they are mostly links.
 SIMPLE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure address details".split())
 
@@ -205,6 +207,8 @@ class Tree:
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return name not in KEPT_TAGS
+            if name == "article" and key in ("class", "id") and any(COMMENT.search(t) and names_boilerplate(t) for t in value.split()):
+                return True
             if name == "form" or name in KEPT_TAGS and not (name == "article" and article):
                 continue
             if key == "role" and value.lower() in CUT_ROLES:
