@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,15 @@ def test_split(spark, tmp_path):
     found = {r.split: r for r in split.counts(placed).collect()}
     assert found["dev"].problems == 10 and found["test"].problems == 11 and found["train"].overlap == 0
     assert got == {r.id: r.split for r in split.split(table(spark, *rows).repartition(7)).collect()}
+    seeded = {r.id: r.split for r in split.split(table(spark, *rows), seed=7, order="seeded").collect()}
+    ids = sorted(k for k in seeded if k != "open")
+    random.Random(7).shuffle(ids)
+    n = len(ids)
+    assert seeded == {"open": "train"} | {k: "train" if i < int(n * 0.8) else "dev" if i < int(n * 0.8) + int(n * 0.1) else "test" for i, k in enumerate(ids)}
+    with pytest.raises(ValueError):
+        split.seeded_ranks(placed, most=5)
+    with pytest.raises(ValueError):
+        split.assign(placed, order="other")
     split.write(placed, str(tmp_path / "s"), 42)
     assert spark.read.json(str(tmp_path / "s" / "_metadata") + "/part*").where("role = 'train'").first().problem_count == 81
     with pytest.raises(ValueError):
@@ -117,6 +127,10 @@ def test_records(spark):
     chat = records.chat_prompts(rows, min_reward_tests=1).where("problem_id = 'sum'").first()
     assert [m.role for m in chat.prompt] == ["system", "user"] and chat.prompt[1].content.endswith(records.CODE_OUTPUT_RULE)
     assert records.chat_prompts(rows).count() == 0
+    assert {r.problem_id for r in records.chat_prompts(rows, min_reward_tests=1).collect()} == {"sum", "call"}
+    order = ["call", "sum"]
+    random.Random(3).shuffle(order)
+    assert [r.problem_id for r in records.chat_prompts(rows, 1, 1, 3, order="seeded").collect()] == order[:1]
     with pytest.raises(ValueError):
         records.sft(rows, metadata={"role": "test"})
     hidden = rows.select(records.review_prompt(F.lit("P"), F.lit("C"), F.lit(1)).alias("x")).first().x

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdict.functions.text import BLANK, code_hash, message_text, py_strip, short_number
-from verdict.operators.split import shuffle_key
+from verdict.operators.split import seeded_ranks, shuffle_key
 from verdict.sources.schema import best_verified
 
 # Texts of the prompts and records.
@@ -82,12 +82,13 @@ def sft(problems: DataFrame, limit: int = 0, metadata: dict | None = None, allow
     return rows.select("id", F.lit(INSTRUCTION).alias("instruction"), problem_prompt(F.col("tests.visible_tests")).alias("input"), fenced(code).alias("output"))
 
 
-def chat_prompts(problems: DataFrame, limit: int = 0, min_reward_tests: int = 5, seed: int = 42, metadata: dict | None = None, allow_other: bool = False, system: str = SYSTEM_PROMPT) -> DataFrame:
-    """(problem_id, prompt) with a system and a user message. ``limit`` counts eligible problems in shuffled order."""
+def chat_prompts(problems: DataFrame, limit: int = 0, min_reward_tests: int = 5, seed: int = 42, metadata: dict | None = None, allow_other: bool = False, system: str = SYSTEM_PROMPT, order: str = "hash") -> DataFrame:
+    """(problem_id, prompt) with a system and a user message, of verified problems with enough reward cases. ``limit`` counts
+    them in shuffled order: by hash, or "seeded" by Python's generator."""
     require_train(metadata or {}, allow_other)
-    rows = problems.where(F.size("tests.reward_tests") >= min_reward_tests)
+    rows = problems.where((best_verified(F.col("oracle")) != "") & (F.size("tests.reward_tests") >= min_reward_tests))
     if limit > 0:
-        rows = rows.orderBy(shuffle_key(F.col("id"), seed), "id").limit(limit)
+        rows = seeded_ranks(rows, "id", seed, "__place").orderBy("__place").limit(limit) if order == "seeded" else rows.orderBy(shuffle_key(F.col("id"), seed), "id").limit(limit)
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return rows.select(F.col("id").alias("problem_id"), F.array(message("system", F.lit(system)), message("user", initial_prompt(problem_prompt(F.col("tests.visible_tests"))))).alias("prompt"))
 

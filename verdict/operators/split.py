@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -50,13 +51,41 @@ def ranked(df: DataFrame, order: list[Column], out: str = "rank", slices: int =
     return sliced.withColumn("__within", within).join(F.broadcast(ahead), "__s").withColumn(out, (F.col("__within") + F.col("__ahead")).cast("long")).drop("__s", "__within", "__ahead")
 
 
-def assign(df: DataFrame, ident: str = "id", train: float = 0.8, dev: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
+#: Ids that may go through the driver to be put in a sequential generator's order.
+SEEDED_IDS = 1_000_000
+
+
+def seeded_ranks(df: DataFrame, ident: str = "id", seed: int = 42, out: str = "rank", most: int = SEEDED_IDS) -> DataFrame:
+    """Adds the 0-based place of every id in a shuffle of the sorted ids by Python's generator, to repeat splits made by it.
+
+    That generator is one sequence, so the ids alone go through the driver, ``most`` of them at most; more are an error.
+    Ids must be unique and not null.
+    """
+    total = df.count()
+    if total > most:
+        raise ValueError(f"{total} ids are more than the {most} that a seeded order takes; use the order of hashes")
+    ids = sorted(r[0] for r in df.select(ident).collect())
+    if len(set(ids)) < total:
+        raise ValueError("a seeded order needs unique ids")
+    random.Random(seed).shuffle(ids)
+    places = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(ids)], f"`{ident}` {df.schema[ident].dataType.simpleString()}, `{out}` long")
+    return df.join(places, ident)
+
+
+def in_order(df: DataFrame, ident: str, seed: int, order: str, out: str) -> DataFrame:
+    """Adds a place by the ``order`` named: "hash" for any number of rows, "seeded" for that of Python's generator."""
+    if order not in ("hash", "seeded"):
+        raise ValueError(f"order must be 'hash' or 'seeded', not {order!r}")
+    return seeded_ranks(df, ident, seed, out) if order == "seeded" else ranked(df, [shuffle_key(F.col(ident), seed), F.col(ident)], out)
+
+
+def assign(df: DataFrame, ident: str = "id", train: float = 0.8, dev: float = 0.1, test: float = 0.1, seed: int = 42, order: str = "hash") -> DataFrame:
     """Adds ``split``. Bounds are floors of the ratios' shares; the remainder goes to test."""
     validate_ratios(train, dev, test)
     total = df.count()
     first = int(total * train)
     second = first + int(total * dev)
-    placed = ranked(df, [shuffle_key(F.col(ident), seed), F.col(ident)], "__rank")
+    placed = in_order(df, ident, seed, order, "__rank")
     return placed.withColumn("split", F.when(F.col("__rank") < first, "train").when(F.col("__rank") < second, "dev").otherwise("test")).drop("__rank")
 
 
@@ -70,12 +99,12 @@ def fingerprint(df: DataFrame, ident: str = "id", line: Column | None = None) ->
     return slices.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
 
 
-def split(problems: DataFrame, train: float = 0.8, dev: float = 0.1, test: float = 0.1, seed: int = 42, include_unverified: bool = False, allow_missing_groups: bool = False) -> DataFrame:
+def split(problems: DataFrame, train: float = 0.8, dev: float = 0.1, test: float = 0.1, seed: int = 42, include_unverified: bool = False, allow_missing_groups: bool = False, order: str = "hash") -> DataFrame:
     """Verified, deduplicated problems with their split. Problems that lack a suite go to train only."""
     eligible = problems if include_unverified else problems.where(best_verified(F.col("oracle")) != "")
     eligible = deduplicate(eligible)
     complete = eligible if allow_missing_groups else eligible.where(has_all_groups(F.col("tests")))
-    placed = assign(complete, "id", train, dev, test, seed)
+    placed = assign(complete, "id", train, dev, test, seed, order)
     if not allow_missing_groups:
         placed = placed.unionByName(eligible.where(~has_all_groups(F.col("tests"))).withColumn("split", F.lit("train")))
     return placed

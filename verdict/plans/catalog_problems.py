@@ -278,9 +278,9 @@ def q54_sft_problems(spark, sf_dir):
     return records.sft(marked(spark, sf_dir), limit=40, metadata={"role": "train"}).select("id", "input", "output")
 
 
-@query("WITH " + raw_sql() + "SELECT id AS problem_id, 2 AS messages, 'system' AS first_role, 'user' AS last_role, true AS asks FROM made WHERE reason IS NULL AND rew >= 1 ORDER BY sha256('5:' || id), id LIMIT 30")
+@query("WITH " + raw_sql() + "SELECT id AS problem_id, 2 AS messages, 'system' AS first_role, 'user' AS last_role, true AS asks FROM made WHERE reason IS NULL AND sound AND rew >= 1 ORDER BY sha256('5:' || id), id LIMIT 30")
 def q55_chat_problems(spark, sf_dir):
-    """Prompts of 30 problems that have a reward case, in shuffled order."""
+    """Prompts of 30 verified problems that have a reward case, in shuffled order."""
     rows = records.chat_prompts(marked(spark, sf_dir), limit=30, min_reward_tests=1, seed=5, metadata={"role": "train"})
     last = F.element_at("prompt", -1)
     return rows.select("problem_id", F.size("prompt").alias("messages"), F.get("prompt", F.lit(0))["role"].alias("first_role"), last["role"].alias("last_role"), last["content"].endswith(records.CODE_OUTPUT_RULE).alias("asks"))
