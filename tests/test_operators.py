@@ -153,6 +153,7 @@ def test_reward(spark):
     with pytest.raises(ValueError):
         reward.score(spark.createDataFrame([("zz", 0, "x")], "problem_id string, completion_index int, completion string"), problems)
     report = reward.audit_report(reward.audit(problems)).first()
+    assert reward.audit(problems, 0).count() == reward.audit(problems).count() > 0 and reward.audit(problems, 1).count() == 1
     assert report.problems == 2 and report.ordering_violations == 1  # the program that never reads its input
 
 

@@ -80,8 +80,12 @@ def summarize(log: DataFrame, keys: tuple[str, ...] = ("reward_call", "problem_i
 
 
 def audit(problems: DataFrame, limit: int = 200, config: ExecConfig = ExecConfig()) -> DataFrame:
-    """Per problem the rewards of its verified solution and of a known-bad completion; ``violation`` if the order is wrong."""
-    rows = problems.where((best_verified(F.col("oracle")) != "") & (F.size("tests.reward_tests") > 0)).orderBy("id").limit(limit)
+    """Per problem the rewards of its verified solution and of a known-bad completion; ``violation`` if the order is wrong.
+
+    ``limit`` takes the first problems by id; 0 takes all.
+    """
+    rows = problems.where((best_verified(F.col("oracle")) != "") & (F.size("tests.reward_tests") > 0))
+    rows = rows.orderBy("id").limit(limit) if limit > 0 else rows
     oracle = rows.select(F.col("id").alias("problem_id"), fenced(py_strip(best_verified(F.col("oracle")))).alias("completion"))
     bad = rows.select(F.col("id").alias("problem_id"), bad_completion().alias("completion"))
     both = score(oracle.withColumn("side", F.lit("oracle")).unionByName(bad.withColumn("side", F.lit("bad"))), rows, config)
