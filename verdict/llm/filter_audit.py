@@ -63,7 +63,8 @@ def failures(docs: DataFrame, filters: Mapping[str, Condition | str] = FILTERS)
     if not repeated:
         return slim.select("doc_id", "part", "mask")
     slim = checkpointed(slim)
-    least = slim.groupBy("hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("hash", "least")
+    # A table of its own, so that both sides of the join are plain shuffles, of which AQE splits the hot hash.
+    least = checkpointed(slim.groupBy("hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("hash", "least"))
     later = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     return slim.join(least, "hash", "left").select("doc_id", "part", F.col("mask").bitwiseOR(F.when(later, repeated).otherwise(zero)).alias("mask"))
 
