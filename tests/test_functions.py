@@ -51,7 +51,6 @@ def test_small_text_functions(spark):
     assert apply(spark, ["A b!", "", None, "--", "x" * 100], lambda c: T.safe_slug(F.coalesce(c, F.lit("")), F.lit(7))) == ["problem_7_a_b", "problem_7_problem", "problem_7_problem", "problem_7_problem", "problem_7_" + "x" * 80]
     assert apply(spark, ["2.0 seconds", "256 MB", "", None, "x"], lambda c: T.parse_number(c, 1.5)) == [2.0, 256.0, 1.5, 1.5, 1.5]
     assert apply(spark, ["  Add   two Numbers. ", "", " "], lambda c: T.canonical_key(c, F.lit("stdin"), F.lit(""), F.lit("p"))) == ["stdin||add two numbers.", "id:p", "id:p"]
-    assert apply(spark, ["2.0", "0.5", "100.0"], lambda c: T.short_number(c.cast("double"))) == ["2", "0.5", "100"]
     assert apply(spark, ["straße"], lambda c: T.canonical_key(c, F.lit("callable"), F.lit(" Add "), F.lit("p"), P.casefold)) == ["callable|add|strasse"]
 
 

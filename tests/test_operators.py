@@ -107,7 +107,7 @@ def test_split(spark, tmp_path):
     n = len(ids)
     assert seeded == {"open": "train"} | {k: "train" if i < int(n * 0.8) else "dev" if i < int(n * 0.8) + int(n * 0.1) else "test" for i, k in enumerate(ids)}
     with pytest.raises(ValueError):
-        split.seeded_ranks(placed, most=5)
+        split.seeded_ranks(placed.unionByName(placed))
     with pytest.raises(ValueError):
         split.assign(placed, order="other")
     split.write(placed, str(tmp_path / "s"), 42)

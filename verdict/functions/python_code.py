@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import json
 import warnings
 
 from pyspark.sql import functions as F
@@ -67,9 +66,3 @@ def casefold(text):
 def round6(value):
     """Rounds the binary value correctly to six digits, ties to even; the built-in rounds its decimal text half up."""
     return None if value is None else round(value, 6)
-
-
-@F.udf(StringType(), useArrow=True)
-def canonical_json(text):
-    """JSON with sorted keys in Python's spelling of numbers and escapes."""
-    return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True)

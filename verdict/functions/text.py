@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ BLANK = r"(?U)[\s\x1c-\x1f]"
 FENCE = "```"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def py_strip(text: Column) -> Column:
     """Removes white space of all kinds at both ends."""
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
@@ -83,11 +90,6 @@ def looks_hardcoded(code: Column, io_mode: Column, inputs: Column) -> Column:
     return (io_mode == "stdin") & given & ~F.coalesce(code, F.lit("")).rlike(READS_STDIN)
 
 
-def short_number(value: Column) -> Column:
-    """A number as ``%g`` prints it, for ordinary limits (up to six significant digits)."""
-    return F.regexp_replace(value.cast("string"), r"\.0+$", "")
-
-
 def message_text(messages: Column) -> Column:
     """The contents of a chat, one below the other; null contents are empty."""
     return F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.functions.python_code import canonical_json, has_syntax_warning, syntax_valid
+from verdict.functions.json_text import canonical_json
+from verdict.functions.python_code import has_syntax_warning, syntax_valid
 from verdict.functions.text import BLANK, fenced_code, py_strip
+from verdict.operators.digest import digest
 from verdict.operators.order_stats import whole_stats
 from verdict.operators.split import fingerprint
 from verdict.sources.checkpoint import checkpointed
@@ -63,8 +65,7 @@ def dataset(lines: DataFrame) -> DataFrame:
     )
     for name, value in (("input_chars", F.when(good, F.length("input"))), ("code_chars", F.length("code"))):
         figures = figures.crossJoin(whole_stats(rows, value).agg(F.struct(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("min", "median", "p95", "max"))).alias(name)))
-    # Outputs are long, so their hashes are sorted in their place.
-    return figures.crossJoin(fingerprint(rows.where(good).select(F.sha2("output", 256).alias("id")), "id"))  # one row each
+    return figures.crossJoin(fingerprint(rows.where(good), "output"))  # one row each
 
 
 def training_data(spark: SparkSession, train: DataFrame, path: str, strict: bool = False) -> dict:
@@ -91,7 +92,15 @@ def length_stats(df: DataFrame, value: Column, *by: str) -> DataFrame:
     return whole_stats(df, value, *by)
 
 
-def dataset_fingerprint(df: DataFrame, ident: str = "id", bundle: str = "bundle") -> DataFrame:
-    """A fingerprint of bundles in order of their ids, each by the hash of its JSON with sorted keys."""
-    hashed = df.select(F.col(ident).alias("id"), F.sha2(canonical_json(F.to_json(bundle, {"ignoreNullFields": "false"})), 256).alias("hash"))
-    return fingerprint(hashed, "id", F.concat_ws(" ", "id", "hash"))
+def bundle(df: DataFrame) -> Column:
+    """A row of problems as one value in the layout of problem files."""
+    spec = [c for c in df.columns if c not in ("tests", "oracle")]
+    return F.struct(F.struct(*spec).alias("problem"), "tests", "oracle")
+
+
+def dataset_fingerprint(df: DataFrame, ident: str = "id", value: Column | None = None) -> DataFrame:
+    """One row with ``fingerprint``: sha256 over the JSON list of all bundles in order of their ids, with sorted keys and
+    without blanks. ``value`` is what a row contributes; without it, the row's bundle."""
+    rows = df.select(F.col(ident).alias("id"), (bundle(df) if value is None else value).alias("value"))
+    found = digest(rows, F.col("id").cast("string"), canonical_json(F.col("value"), rows.schema["value"].dataType), ",", "[", "]")
+    return df.sparkSession.createDataFrame([(found,)], "fingerprint string")

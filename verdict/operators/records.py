@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.functions.text import BLANK, code_hash, message_text, py_strip, short_number
-from verdict.operators.split import seeded_ranks, shuffle_key
+from verdict.functions.json_text import general_number
+from verdict.functions.text import BLANK, code_hash, message_text, py_strip
+from verdict.operators.seeded import seeded_ranks
+from verdict.operators.split import shuffle_key
 from verdict.sources.schema import best_verified
 
 # Texts of the prompts and records.
@@ -38,7 +40,7 @@ def problem_prompt(samples: Column | None = None) -> Column:
         shown = F.when(F.size(samples) > 0, F.concat(F.lit("\n\nVisible samples:\n"), F.array_join(blocks, "\n\n"))).otherwise("")
     return F.concat(
         F.lit("Problem statement:\n"), "statement", F.lit("\n\nInput format:\n"), "input_format", F.lit("\n\nOutput format:\n"), "output_format",
-        F.lit("\n\nConstraints:\n"), limits, F.lit("\n\nLanguage: Python 3\nTime limit: "), short_number(c("time_limit_sec")),
+        F.lit("\n\nConstraints:\n"), limits, F.lit("\n\nLanguage: Python 3\nTime limit: "), general_number(c("time_limit_sec")),
         F.lit(" seconds\nMemory limit: "), c("memory_limit_mb").cast("string"), F.lit(" MB\n"), mode, shown,
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdict.functions.text import canonical_key
+from verdict.operators.digest import digest
+from verdict.operators.seeded import seeded_ranks
 from verdict.sources.schema import best_verified, case_count, has_all_groups
 
 
@@ -51,29 +52,8 @@ def ranked(df: DataFrame, order: list[Column], out: str = "rank", slices: int =
     return sliced.withColumn("__within", within).join(F.broadcast(ahead), "__s").withColumn(out, (F.col("__within") + F.col("__ahead")).cast("long")).drop("__s", "__within", "__ahead")
 
 
-#: Ids that may go through the driver to be put in a sequential generator's order.
-SEEDED_IDS = 1_000_000
-
-
-def seeded_ranks(df: DataFrame, ident: str = "id", seed: int = 42, out: str = "rank", most: int = SEEDED_IDS) -> DataFrame:
-    """Adds the 0-based place of every id in a shuffle of the sorted ids by Python's generator, to repeat splits made by it.
-
-    That generator is one sequence, so the ids alone go through the driver, ``most`` of them at most; more are an error.
-    Ids must be unique and not null.
-    """
-    total = df.count()
-    if total > most:
-        raise ValueError(f"{total} ids are more than the {most} that a seeded order takes; use the order of hashes")
-    ids = sorted(r[0] for r in df.select(ident).collect())
-    if len(set(ids)) < total:
-        raise ValueError("a seeded order needs unique ids")
-    random.Random(seed).shuffle(ids)
-    places = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(ids)], f"`{ident}` {df.schema[ident].dataType.simpleString()}, `{out}` long")
-    return df.join(places, ident)
-
-
 def in_order(df: DataFrame, ident: str, seed: int, order: str, out: str) -> DataFrame:
-    """Adds a place by the ``order`` named: "hash" for any number of rows, "seeded" for that of Python's generator."""
+    """Adds a place by the ``order`` named: "hash", or "seeded" for that of Python's generator over the sorted ids."""
     if order not in ("hash", "seeded"):
         raise ValueError(f"order must be 'hash' or 'seeded', not {order!r}")
     return seeded_ranks(df, ident, seed, out) if order == "seeded" else ranked(df, [shuffle_key(F.col(ident), seed), F.col(ident)], out)
@@ -89,14 +69,10 @@ def assign(df: DataFrame, ident: str = "id", train: float = 0.8, dev: float = 0.
     return placed.withColumn("split", F.when(F.col("__rank") < first, "train").when(F.col("__rank") < second, "dev").otherwise("test")).drop("__rank")
 
 
-def fingerprint(df: DataFrame, ident: str = "id", line: Column | None = None) -> DataFrame:
-    """sha256 over the values, or their ``line``s, in order of the values, in slices: values are dealt by the first digits
-    of their hash, a slice's sorted lines are hashed, and so are the slices' hashes in their order. So no task holds more
-    than a slice, and the result depends on neither order nor partitions."""
-    rows = df.select(F.col(ident).cast("string").alias("v"), (F.col(ident).cast("string") if line is None else line).alias("l"))
-    place = F.struct("v", "l")
-    slices = rows.groupBy(F.substring(F.sha2("v", 256), 1, 3).alias("slice")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["l"]), "\n"), 256).alias("h"))
-    return slices.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+def fingerprint(df: DataFrame, ident: str = "id") -> DataFrame:
+    """One row with ``fingerprint``: sha256 over all ids in sorted order, one to a line."""
+    value = F.col(ident).cast("string")
+    return df.sparkSession.createDataFrame([(digest(df, value, value),)], "fingerprint string")
 
 
 def split(problems: DataFrame, train: float = 0.8, dev: float = 0.1, test: float = 0.1, seed: int = 42, include_unverified: bool = False, allow_missing_groups: bool = False, order: str = "hash") -> DataFrame:

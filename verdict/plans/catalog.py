@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +13,7 @@ from verdict.functions import reports as R
 from verdict.functions import text as T
 from verdict.operators import audit, evaluate, pack, resume, reward, solve, split
 from verdict.operators.records import INSTRUCTION, SYSTEM_PROMPT, fenced, initial_prompt
+from verdict.operators.seeded import seeded_ranks
 from verdict.plans import catalog_problems
 from verdict.plans.tables import EXCHANGE_SQL, LOG_SQL, REPORT_SQL, candidates, exchanges, reports, reward_log, run_of_line, table
 from verdict.sources.checkpoint import checkpointed
@@ -93,12 +95,43 @@ def q06_split_counts_overlap(spark, sf_dir):
     return split.counts(split.assign(_verified(spark, sf_dir).select("doc_id", "id")))
 
 
-@query("""WITH s AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 3) AS slice, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS h FROM documents GROUP BY 1)
-SELECT sha256(string_agg(h, chr(10) ORDER BY slice)) AS fingerprint FROM s""")
+@query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents")
 def q07_id_fingerprint(spark, sf_dir):
     return split.fingerprint(_documents(spark, sf_dir))
 
 
+#: Python's generator in SQL, from its state after seeding: words by their recurrence, 227 at a time; then the shuffle, a
+#: draw a step, of which each is a word or is drawn again. Places are listed in order of the sorted ids.
+_STATE = ", ".join(map(str, random.Random(42).getstate()[1][:-1]))
+SEEDED_SQL = f"""RECURSIVE
+sorted AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id::VARCHAR) AS k FROM documents),
+total AS (SELECT count(*)::BIGINT AS n FROM documents),
+blocks(b, x) AS (
+  SELECT 0, [{_STATE}]::BIGINT[]
+  UNION ALL SELECT b + 1, list_concat(x[228:], [xor(xor(x[t + 397], ((x[t] & 2147483648) | (x[t + 1] & 2147483647)) >> 1), (x[t + 1] & 1) * 2567483615) FOR t IN range(1, 228)])
+  FROM blocks, total WHERE b < 2 + n * 3 // 227),
+fresh AS (SELECT (b - 1) * 227 + t AS pos, x[397 + t] AS y FROM blocks, range(1, 228) AS r(t) WHERE b > 0),
+stirred AS (SELECT pos, xor(y, y >> 11) AS y FROM fresh),
+twice AS (SELECT pos, xor(y, (y << 7) & 2636928640) AS y FROM stirred),
+thrice AS (SELECT pos, xor(y, (y << 15) & 4022730752) AS y FROM twice),
+words AS (SELECT list(xor(y, y >> 18) ORDER BY pos) AS w FROM thrice),
+walk(i, pos, places) AS (
+  SELECT n - 1, 1::BIGINT, range(1, n + 1) FROM total
+  UNION ALL
+  SELECT CASE WHEN j <= i THEN i - 1 ELSE i END, pos + 1, CASE WHEN j <= i THEN [CASE q WHEN i + 1 THEN places[j + 1] WHEN j + 1 THEN places[i + 1] ELSE places[q] END FOR q IN range(1, len(places) + 1)] ELSE places END
+  FROM (SELECT i, pos, places, w[pos] >> (32 - length(bin(i + 1))) AS j FROM walk, words WHERE i > 0)),
+shuffled AS (SELECT unnest(places) AS k, unnest(range(0, len(places))) AS place FROM walk WHERE i <= 0)
+"""
+
+
+@query("WITH " + SEEDED_SQL + "SELECT doc_id, place, CASE WHEN place < floor(n * 0.8::DOUBLE) THEN 'train' WHEN place < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM shuffled JOIN sorted USING (k), total")
+def q67_seeded_split(spark, sf_dir):
+    """Documents in the order that Python's generator shuffles their sorted ids into, and the split by it."""
+    docs = _documents(spark, sf_dir).select("doc_id", "id")
+    places = seeded_ranks(docs, "id", 42, "place")
+    return places.join(split.assign(docs, seed=42, order="seeded").select("doc_id", "split"), "doc_id").select("doc_id", "place", "split")
+
+
 @query("SELECT doc_id, CAST((42 + CAST('0x' || substr(sha256(doc_id::VARCHAR), 1, 8) AS BIGINT)) % 2147483648 AS BIGINT) AS seed FROM documents")
 def q08_problem_seed(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", T.problem_seed(42, F.col("id")).alias("seed"))

@@ -121,23 +121,25 @@ _KEY_SQL = "io_mode || '|' || entry || '|' || CASE WHEN k < 0 THEN '' ELSE 'add
 @query("WITH " + raw_sql() + """, p AS (SELECT *, sound AND reason IS NULL AS ok FROM made WHERE reason IS NULL)
 SELECT count(*) AS records, count(CASE WHEN sound THEN 1 END) AS verified_records, 0::BIGINT AS duplicate_ids, 0::BIGINT AS missing_visible_tests, count(CASE WHEN rew = 0 THEN 1 END) AS missing_reward_tests, count(CASE WHEN least(20, n - vis - rew) = 0 THEN 1 END) AS missing_eval_tests,
   0::BIGINT AS invalid_oracle_syntax, count(CASE WHEN best LIKE '%is 1%' THEN 1 END) AS syntax_warning_records, count(*) - count(DISTINCT statement) AS duplicate_statements, count(CASE WHEN best <> '' THEN 1 END) - count(DISTINCT CASE WHEN best <> '' THEN best END) AS duplicate_oracle_codes,
-  count(CASE WHEN io_mode = 'stdin' THEN 1 END) AS stdin_problems, count(CASE WHEN io_mode = 'callable' THEN 1 END) AS callable_problems FROM p""")
+  count(CASE WHEN io_mode = 'stdin' THEN 1 END) AS stdin_problems, count(CASE WHEN io_mode = 'callable' THEN 1 END) AS callable_problems, sha256(string_agg(id, chr(10) ORDER BY id)) AS fingerprint FROM p""")
 def q46_problem_audit(spark, sf_dir):
     a = audit.problems(marked(spark, sf_dir))
     modes = [F.coalesce(F.try_element_at("io_modes", F.lit(m)), F.lit(0)).alias(f"{m}_problems") for m in ("stdin", "callable")]
-    return a.select(*(c for c in a.columns if c not in ("io_modes", "fingerprint")), *modes)
+    return a.select(*(c for c in a.columns if c != "io_modes"), *modes)
 
 
 #: Lines of training records, by turn: sound ones, and ones with a fault of each kind.
 RECORD_KINDS = "(conv_id + turn) % 6"
 
 
-@query("WITH x AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, " + RECORD_KINDS + """ AS kind FROM conversations)
+@query("WITH kinds AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, " + RECORD_KINDS + """ AS kind FROM conversations),
+x AS (SELECT *, CASE kind WHEN 3 THEN 'no fence' ELSE '```python' || chr(10) || CASE kind WHEN 0 THEN 'print(1)' WHEN 4 THEN 'x =' ELSE 'if 1 is 1:' || chr(10) || '    y = 22' END || chr(10) || '```' END AS output FROM kinds)
 SELECT count(*) AS records, count(CASE WHEN kind = 1 THEN 1 END) AS malformed_json_records, count(CASE WHEN kind = 2 THEN 1 END) AS invalid_schema_records, count(CASE WHEN kind IN (0, 4, 5) THEN 1 END) AS valid_code_block_records,
   count(CASE WHEN kind IN (0, 5) THEN 1 END) AS syntax_valid_records, count(CASE WHEN kind = 5 THEN 1 END) AS syntax_warning_records,
   count(CASE WHEN kind NOT IN (1, 2) THEN 1 END) - count(DISTINCT CASE WHEN kind NOT IN (1, 2) THEN conv_id END) AS duplicate_inputs,
   min(CASE WHEN kind IN (0, 4, 5) THEN CASE kind WHEN 0 THEN 8 WHEN 4 THEN 3 ELSE 21 END END)::BIGINT AS code_min, max(CASE WHEN kind IN (0, 4, 5) THEN CASE kind WHEN 0 THEN 8 WHEN 4 THEN 3 ELSE 21 END END)::BIGINT AS code_max,
-  CAST(floor(median(CASE kind WHEN 0 THEN 8 WHEN 4 THEN 3 WHEN 5 THEN 21 END)) AS BIGINT) AS code_median FROM x""")
+  CAST(floor(median(CASE kind WHEN 0 THEN 8 WHEN 4 THEN 3 WHEN 5 THEN 21 END)) AS BIGINT) AS code_median,
+  sha256(string_agg(output, chr(10) ORDER BY output) FILTER (kind NOT IN (1, 2))) AS fingerprint FROM x""")
 def q47_record_audit(spark, sf_dir):
     """Training records as JSON lines: sound, malformed, without output, without fence, of invalid code, with a warning."""
     kind = F.expr(RECORD_KINDS)
@@ -146,7 +148,7 @@ def q47_record_audit(spark, sf_dir):
     record = F.to_json(F.struct(F.lit("i").alias("instruction"), F.concat(F.lit("in "), F.col("conv_id").cast("string")).alias("input"), F.when(kind != 2, output).alias("output")))
     line = F.when(kind == 1, F.lit('{"instruction": ')).otherwise(record)
     a = audit.dataset(table(spark, sf_dir, "conversations").select(line.alias("value")))
-    return a.select("records", "malformed_json_records", "invalid_schema_records", "valid_code_block_records", "syntax_valid_records", "syntax_warning_records", "duplicate_inputs", *(F.col(f"code_chars.{n}").alias(f"code_{n}") for n in ("min", "max", "median")))
+    return a.select("records", "malformed_json_records", "invalid_schema_records", "valid_code_block_records", "syntax_valid_records", "syntax_warning_records", "duplicate_inputs", *(F.col(f"code_chars.{n}").alias(f"code_{n}") for n in ("min", "max", "median")), "fingerprint")
 
 
 @query("WITH " + raw_sql() + """SELECT k, io_mode, CASE WHEN kind = 4 THEN 1 ELSE CASE WHEN kind = 3 OR kind = 7 THEN 2 ELSE 2 END END AS n_runs,
@@ -358,18 +360,22 @@ def q61_code_lengths(spark, sf_dir):
     return found.select("side", "median", F.round("mean", 6).alias("mean"), "max")
 
 
-_BUNDLE = """'{"oracle": {"solutions": [' || CASE WHEN best = '' OR kind < 3 THEN '' ELSE '{"code": ' || to_json(best) || ', "language": "python3", "verified": true}' END || '], "source": "' || CASE WHEN k % 5 = 0 THEN 'book' ELSE 'TACO-verified' END || '", "url": ""}, "problem": {"id": "' || id || '", "io_mode": "' || io_mode || '", "memory_limit_mb": ' || memory || ', "statement": "' || statement || '"}}'"""
+#: A converted problem as JSON with sorted keys and without blanks.
+_CASES = "'[' || array_to_string([ '{\"expected_stdout\":' || to_json(c.o) || ',\"id\":\"%s-' || lpad(i::VARCHAR, 4, '0') || '\",\"stdin\":' || to_json(c.i) || ',\"timeout_sec\":null}' FOR c, i IN %s], ',') || ']'"
+_CODES = """CASE WHEN kind = 3 THEN ['{a}'] WHEN kind = 4 THEN ['{p}'] WHEN kind = 7 THEN ['print(input())'] WHEN k % 3 = 0 THEN ['{w}', '{c}'] WHEN k % 3 = 1 THEN ['{x}', '{w}'] ELSE ['{w}', '{b}'] END"""
+for _name, _code in {"a": ADD, "p": PAIR, "w": WRONG, "c": CLEAN, "x": WARNED, "b": BROKEN}.items():
+    _CODES = _CODES.replace(f"{{{_name}}}", _Q(_code))
+_BUNDLE_SQL = f""", coded AS (SELECT *, {_CODES} AS codes, CASE WHEN kind >= 3 OR k % 3 = 1 THEN 1 WHEN k % 3 = 0 THEN 2 ELSE 0 END AS pick FROM made WHERE reason IS NULL),
+bundles AS (SELECT id, '{{"oracle":{{"solutions":[' || array_to_string(['{{"code":' || to_json(c) || ',"language":"python3","verified":' || (i = pick)::VARCHAR || '}}' FOR c, i IN codes], ',') || '],"source":"' || CASE WHEN k % 5 = 0 THEN 'book' ELSE 'TACO-verified' END || '","url":""}},"problem":{{"constraints":'
+  || CASE WHEN k % 4 = 1 THEN '["n > 0","n < 9"]' ELSE '[]' END || ',"entry_point":"' || entry || '","id":"' || id || '","input_format":"","io_mode":"' || io_mode || '","language":"python3","memory_limit_mb":' || memory || ',"output_format":"","statement":' || to_json(statement) || ',"time_limit_sec":10.0}},"tests":{{"eval_tests":'
+  || {_CASES % ("eval", "cases[vis + rew + 1 : vis + rew + least(20, n - vis - rew)]")} || ',"reward_tests":' || {_CASES % ("reward", "cases[vis + 1 : vis + rew]")} || ',"visible_tests":' || {_CASES % ("visible", "cases[1 : vis]")} || '}}}}' AS bundle FROM coded)
+"""
 
 
-@query("WITH " + raw_sql() + f""", j AS (SELECT id, sha256({_BUNDLE}) AS h FROM made WHERE reason IS NULL),
-s AS (SELECT substr(sha256(id), 1, 3) AS slice, sha256(string_agg(id || ' ' || h, chr(10) ORDER BY id)) AS h FROM j GROUP BY 1)
-SELECT sha256(string_agg(h, chr(10) ORDER BY slice)) AS fingerprint FROM s""")
+@query("WITH " + raw_sql() + _BUNDLE_SQL + "SELECT sha256('[' || string_agg(bundle, ',' ORDER BY id) || ']') AS fingerprint FROM bundles")
 def q62_dataset_fingerprint(spark, sf_dir):
-    """A fingerprint of bundles, here of some of their fields, over the hashes of their canonical JSON in order of ids."""
-    keep = F.filter("oracle.solutions", lambda s: s["verified"] & (F.col("source_index") % 8 >= 3))
-    rows = marked(spark, sf_dir)
-    bundle = F.struct(F.struct("id", "statement", "io_mode", "memory_limit_mb").alias("problem"), F.struct(keep.alias("solutions"), F.col("oracle.source").alias("source"), F.col("oracle.url").alias("url")).alias("oracle"))
-    return audit.dataset_fingerprint(rows.select("id", bundle.alias("bundle")), "id", "bundle")
+    """One hash over the JSON of all problems in order of their ids."""
+    return audit.dataset_fingerprint(marked(spark, sf_dir).drop("source_index"))
 
 
 @query("""SELECT * FROM (VALUES ('accepted_arguments', 'a,c'), ('counts_too_small', 'raised'), ('eval_role', 'raised'), ('eval_role_same', 'passed'), ('identity_differs', 'raised'), ('identity_same', 'passed'), ('missing_sidecar', '{}'), ('no_eligible', 'raised'),
