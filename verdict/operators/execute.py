@@ -1,191 +1,134 @@
-"""Running untrusted programs against their cases, as a partition-level operator.
-
-Each case is a child process in a session of its own, with a scratch folder, isolated Python mode, a scrubbed environment
-and resource limits; when its time is over the whole process group is killed. Output is read up to a cap. A program that
-does not compile is not run.
+"""Running untrusted programs against their cases, as a distributed operator.
+
+What runs is a table of its own: a row per program, input and limits that differ, whatever the number of rows, suites and
+cases that ask for it. So candidates that say the same run once, and a program's cases run side by side. Runs are dealt
+over tasks by their time limits: each falls into a bucket by its hash, and buckets are dealt to tasks, the longest first to
+the task that has least, so that no task may take much longer than others. Each task runs its programs in a ``Sandbox``.
+Outcomes are checkpointed, as running code is not repeatable, and joined to what asked for them; verdicts and reports are
+columns. A program that does not compile is not run.
 """
 
 from __future__ import annotations
 
-import os
-import resource
-import selectors
-import signal
-import subprocess
-import sys
-import tempfile
-import time
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.functions.python_code import compile_error
-from verdict.sources.schema import REPORT
-
-#: Calls a function of the program with JSON arguments from standard input and writes its result as JSON.
-HARNESS = '''
-import json, runpy, sys
-
-def target(names, wanted):
-    """A global function, else a method of class Solution, else one of any class that takes no arguments."""
-    owners = [names.get("Solution"), *names.values()]
-    if callable(names.get(wanted)):
-        return names[wanted]
-    for owner in owners:
-        if isinstance(owner, type):
-            try:
-                found = getattr(owner(), wanted, None)
-            except TypeError:
-                continue
-            if callable(found):
-                return found
-    raise AttributeError("no such entry point: " + wanted)
-
-call = target(runpy.run_path(sys.argv[1]), sys.argv[2])
-text = sys.stdin.read().strip()
-given = json.loads(text) if text else []
-value = call(*(given if isinstance(given, list) else [given]))
-sys.stdout.write(json.dumps(value, ensure_ascii=False, sort_keys=True))
-'''
+from verdict.functions.python_code import compile_error, syntax_error
+from verdict.functions.text import normalize_output
+from verdict.operators.sandbox import Sandbox
+from verdict.sources.checkpoint import checkpointed
+from verdict.sources.schema import REPORT, RUN
 
 
 @dataclass(frozen=True)
 class ExecConfig:
     max_output_bytes: int = 1_000_000
     memory_limit: bool = False  # enforce a problem's memory_limit_mb
-    tasks: int | None = None  # partitions to spread the programs over; None: as the rows lie, 0: two per core of the cluster
+    tasks: int | None = None  # tasks to spread the runs over; None or 0: two per core of the cluster
 
-    def partitions(self, spark: SparkSession) -> int | None:
-        return 2 * spark.sparkContext.defaultParallelism if self.tasks == 0 else self.tasks
+    def partitions(self, spark: SparkSession) -> int:
+        return self.tasks or 2 * spark.sparkContext.defaultParallelism
 
 
-def normalized(raw: bytes | str | None) -> str:
-    text = raw.decode("utf-8", "replace") if isinstance(raw, bytes) else raw or ""
-    return "\n".join(line.strip() for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")).strip("\n")
+#: Seconds of a problem without a time limit, and of starting a run, whatever its limit.
+DEFAULT_SECONDS, START_SECONDS = 2.0, 0.05
+#: Buckets per task: their sums are what the driver sees of the runs.
+BUCKETS = 16
+OUTCOME = "run binary, stdout string, stderr string, returncode int, timed_out boolean, over boolean"
 
 
-def run_process(command: list[str], stdin: bytes, timeout: float, cap: int, folder: str, memory_mb: int | None) -> tuple[bytes, bytes, int | None, bool]:
-    """(stdout, stderr, exit status or None after a time-out, whether stdout went beyond ``cap``)."""
-
-    env = {"PATH": os.environ.get("PATH", ""), "LANG": "C.UTF-8", "HOME": folder, "TMPDIR": folder}
-    child = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, cwd=folder, env=env, start_new_session=True)
-    # Limits are set from here, so that the child need not be a copy of the worker first, whose memory may be large.
-    try:
-        resource.prlimit(child.pid, resource.RLIMIT_CORE, (0, 0))
-        if memory_mb:
-            resource.prlimit(child.pid, resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
-    except ProcessLookupError:
-        pass  # it has ended already
-    kept = {child.stdout: bytearray(), child.stderr: bytearray()}
-    over, pending, deadline, ended = False, memoryview(stdin), time.monotonic() + timeout, True
-    with selectors.DefaultSelector() as ready:
-        for pipe in kept:
-            os.set_blocking(pipe.fileno(), False)
-            ready.register(pipe, selectors.EVENT_READ)
-        os.set_blocking(child.stdin.fileno(), False)
-        ready.register(child.stdin, selectors.EVENT_WRITE)
-        while ready.get_map():
-            left = deadline - time.monotonic()
-            if left <= 0:
-                ended = False
-                break
-            for key, _ in ready.select(left):
-                if key.fileobj is child.stdin:
-                    try:
-                        pending = pending[os.write(child.stdin.fileno(), pending[:65_536]) :] if pending else pending
-                    except (BrokenPipeError, BlockingIOError) as e:
-                        pending = memoryview(b"") if isinstance(e, BrokenPipeError) else pending
-                    if not pending:
-                        ready.unregister(child.stdin)
-                        child.stdin.close()
-                    continue
-                chunk = os.read(key.fileobj.fileno(), 65_536)
-                if not chunk:
-                    ready.unregister(key.fileobj)
-                    continue
-                room = cap - len(kept[key.fileobj])
-                over |= key.fileobj is child.stdout and len(chunk) > room
-                kept[key.fileobj] += chunk[: max(0, room)]
-    try:
-        status = child.wait(max(0.0, deadline - time.monotonic())) if ended else None
-    except subprocess.TimeoutExpired:
-        ended, status = False, None
-    try:
-        os.killpg(child.pid, signal.SIGKILL)
-    except ProcessLookupError:
-        pass
-    child.wait()
-    for pipe in (child.stdin, child.stdout, child.stderr):
-        pipe.close()
-    return bytes(kept[child.stdout]), bytes(kept[child.stderr]), status, over
-
-
-def evaluate(code: str, tests: list[dict], default_timeout: float, suite: str, entry_point: str = "", config: ExecConfig = ExecConfig(), memory_mb: int | None = None) -> dict:
-    """A report: the program against every case, in order."""
-    error = compile_error(code)
-    if error is not None:
-        return {"syntax_valid": False, "syntax_error": error, "runs": []}
-    runs = []
-    with tempfile.TemporaryDirectory(prefix="verdict-") as folder:
-        script = os.path.join(folder, "main.py")
-        with open(script, "w", encoding="utf-8", errors="surrogatepass") as f:
-            f.write(code)
-        command = [sys.executable, "-I", script]
-        if entry_point:
-            harness = os.path.join(folder, "harness.py")
-            with open(harness, "w", encoding="utf-8") as f:
-                f.write(HARNESS)
-            command = [sys.executable, "-I", harness, script, entry_point]
-        for case in tests:
-            stdin, expected = case.get("stdin") or "", normalized(case.get("expected_stdout"))
-            out, err, status, over = run_process(command, stdin.encode("utf-8", "surrogatepass"), case.get("timeout_sec") or default_timeout, config.max_output_bytes, folder, memory_mb if config.memory_limit else None)
-            actual = normalized(out)
-            runs.append({"test_id": case.get("id") or "", "suite": suite, "passed": status == 0 and actual == expected and not over, "stdin": stdin, "expected": expected, "actual": actual, "stderr": normalized(err), "returncode": status, "timed_out": status is None, "output_truncated": over and status is not None})
-    return {"syntax_valid": True, "syntax_error": "", "runs": runs}
+def dealt(runs: DataFrame, tasks: int) -> DataFrame:
+    """``runs`` (run, seconds, ...) with ``task``: of equal shares of the seconds, as far as single runs allow."""
+    count = BUCKETS * tasks
+    bucketed = runs.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(count)).cast("int"))
+    sums = bucketed.groupBy("bucket").agg(F.sum("seconds").alias("n")).collect()  # a row per bucket at most
+    place, load = [0] * count, [(0.0, k) for k in range(tasks)]
+    for row in sorted(sums, key=lambda r: (-r.n, r.bucket)):
+        held, task = heapq.heappop(load)
+        place[row.bucket] = task
+        heapq.heappush(load, (held + row.n, task))
+    return bucketed.withColumn("task", F.get(F.array(*map(F.lit, place)), F.col("bucket"))).drop("bucket")
+
+
+def outcomes(runs: DataFrame, config: ExecConfig) -> DataFrame:
+    """(of ``OUTCOME``) what each of ``runs`` (run, code, entry, stdin, seconds, memory) gives."""
+    tasks, cap = config.partitions(runs.sparkSession), config.max_output_bytes
+    shares = dealt(runs, tasks).repartitionById(tasks, F.col("task")).sortWithinPartitions("entry", "code")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["run", "stdout", "stderr", "returncode", "timed_out", "over"]
+        kinds = [pa.binary(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
+        with Sandbox(cap) as sandbox:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    sandbox.load(row["code"], row["entry"])
+                    done = sandbox.run(row["stdin"].encode("utf-8", "surrogatepass"), row["seconds"], row["memory"])
+                    values = [row["run"], done.stdout.decode("utf-8", "replace"), done.stderr.decode("utf-8", "replace"), done.status, done.status is None, done.truncated]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+    return checkpointed(shares.select("run", "code", "entry", "stdin", "seconds", "memory").mapInArrow(work, OUTCOME))
 
 
 def run_suites(df: DataFrame, suites: dict[str, tuple[Column, Column, str]], time_limit: Column, entry_point: Column, memory_mb: Column | None = None, config: ExecConfig = ExecConfig()) -> DataFrame:
     """Adds a report per suite: ``name -> (code, cases, suite label)``; null code gives a null report.
 
-    Running code is not repeatable, so callers write or checkpoint the result before they use it twice. Rows are dealt
-    over ``config.tasks`` partitions first, as one program may take as long as thousands of rows do elsewhere.
+    The result is stable: programs have run, once each, when this returns.
     """
     names = list(suites)
-    inputs = [F.struct(code.alias("code"), tests.alias("tests")).alias(name) for name, (code, tests, _) in suites.items()]
-    if tasks := config.partitions(df.sparkSession):
-        df = df.repartition(tasks)
-    packed = df.select(F.struct(*df.columns).alias("row"), *inputs, time_limit.cast("double").alias("limit"), F.coalesce(entry_point, F.lit("")).alias("entry"), (F.lit(0) if memory_mb is None else memory_mb).cast("int").alias("memory"))
-    labels = {name: label for name, (_, _, label) in suites.items()}
+    given = [F.struct(code.alias("code"), F.coalesce(tests, F.array()).alias("tests")).alias(f"s{k}") for k, (code, tests, _) in enumerate(suites.values())]
+    memory = memory_mb.cast("int") if config.memory_limit and memory_mb is not None else F.lit(None).cast("int")
+    seconds = F.coalesce(time_limit.cast("double"), F.lit(DEFAULT_SECONDS))
+    base = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("kept"), seconds.alias("seconds"), F.coalesce(entry_point, F.lit("")).alias("entry"), memory.alias("memory"), *given)
+    base = checkpointed(base.select("*", *(F.when(F.col(f"s{k}.code").isNotNull(), syntax_error(F.col(f"s{k}.code"))).alias(f"e{k}") for k in range(len(names)))))
+
+    def cases(k: int) -> DataFrame:
+        rows = base.where(F.col(f"s{k}.code").isNotNull() & F.col(f"e{k}").isNull())
+        case = rows.select("row", F.lit(k).alias("suite"), F.col(f"s{k}.code").alias("code"), "entry", "memory", "seconds", F.posexplode(f"s{k}.tests").alias("place", "case"))
+        limit = F.when(F.coalesce(F.col("case.timeout_sec"), F.lit(0.0)) > 0, F.col("case.timeout_sec")).otherwise(F.col("seconds"))
+        return case.withColumn("seconds", limit).withColumn("stdin", F.coalesce("case.stdin", F.lit("")))
+
+    asked = reduce(DataFrame.unionByName, map(cases, range(len(names))))
+    wanted = [F.col(c) for c in ("code", "entry", "memory", "seconds", "stdin")]
+    asked = asked.withColumn("run", F.unhex(F.sha2(F.to_json(F.struct(*wanted)), 256)))
+    runs = asked.groupBy("run").agg(*(F.first(c).alias(name) for c, name in zip(wanted, ("code", "entry", "memory", "seconds", "stdin"))))
+    done = outcomes(checkpointed(runs), config)
+
+    labels = F.array(*(F.lit(label) for _, _, label in suites.values()))
+    actual, expected = normalize_output(F.col("stdout")), normalize_output(F.col("case.expected_stdout"))
+    told = F.struct(
+        F.coalesce("case.id", F.lit("")).alias("test_id"), F.get(labels, F.col("suite")).alias("suite"), (F.col("returncode").eqNullSafe(0) & (actual == expected) & ~F.col("over")).alias("passed"), F.col("stdin"),
+        expected.alias("expected"), actual.alias("actual"), normalize_output(F.col("stderr")).alias("stderr"), "returncode", "timed_out", (F.col("over") & ~F.col("timed_out")).alias("output_truncated"),
+    )
+    runs_of = asked.select("row", "suite", "place", "case", "stdin", "run").join(done, "run").select("row", "suite", F.struct("place", told.cast(RUN).alias("r")).alias("x"))
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(F.col("suite") == k, F.col("x")))), lambda x: x["r"]).alias(f"r{k}") for k in range(len(names))]
+    joined = base.join(runs_of.groupBy("row").agg(*listed), "row", "left")
+    reports = []
+    for k, name in enumerate(names):
+        report = F.struct(F.col(f"e{k}").isNull().alias("syntax_valid"), F.coalesce(f"e{k}", F.lit("")).alias("syntax_error"), F.coalesce(f"r{k}", F.array().cast(f"array<{RUN}>")).alias("runs"))
+        reports.append(F.when(F.col(f"s{k}.code").isNotNull(), report.cast(REPORT)).alias(name))
+    return joined.select("kept.*", *reports)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        report_type = None
-        for batch in batches:
-            if report_type is None:
-                report_type = REPORT_ARROW
-            n = len(names)
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                limit, entry, memory = (row.column(1 + n + j)[0].as_py() for j in range(3))
-                found = []
-                for j, name in enumerate(names):
-                    given = row.column(1 + j)[0].as_py()
-                    report = None if given["code"] is None else evaluate(given["code"], given["tests"] or [], limit if limit is not None else 2.0, labels[name], entry, config, memory)
-                    found.append(pa.array([report], report_type))
-                yield pa.RecordBatch.from_arrays([row.column(0), *found], ["row", *names])
-
-    kind = packed.schema["row"].dataType.simpleString()
-    out = packed.mapInArrow(work, f"row {kind}, " + ", ".join(f"`{n}` {REPORT}" for n in names))
-    return out.select("row.*", *names)
-
-
-REPORT_ARROW = pa.struct([
-    ("syntax_valid", pa.bool_()), ("syntax_error", pa.string()),
-    ("runs", pa.list_(pa.struct([("test_id", pa.string()), ("suite", pa.string()), ("passed", pa.bool_()), ("stdin", pa.string()), ("expected", pa.string()), ("actual", pa.string()), ("stderr", pa.string()), ("returncode", pa.int32()), ("timed_out", pa.bool_()), ("output_truncated", pa.bool_())]))),
-])
-
-
-def callable_entry(df_io: Column, entry: Column) -> Column:
-    return F.when(df_io == "callable", entry).otherwise("")
+
+def normalized(raw: bytes | str | None) -> str:
+    text = raw.decode("utf-8", "replace") if isinstance(raw, bytes) else raw or ""
+    return "\n".join(line.strip() for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")).strip("\n")
+
+
+def evaluate(code: str, tests: list[dict], seconds: float, suite: str, entry_point: str = "", config: ExecConfig = ExecConfig(), memory_mb: int | None = None) -> dict:
+    """A report on one program, run here against every case, in order."""
+    error = compile_error(code)
+    runs = []
+    with Sandbox(config.max_output_bytes) as sandbox:
+        for case in tests if error is None else []:
+            sandbox.load(code, entry_point)
+            stdin, expected = case.get("stdin") or "", normalized(case.get("expected_stdout"))
+            done = sandbox.run(stdin.encode("utf-8", "surrogatepass"), case.get("timeout_sec") or seconds, memory_mb if config.memory_limit else None)
+            actual, slow = normalized(done.stdout), done.status is None
+            runs.append({"test_id": case.get("id") or "", "suite": suite, "passed": done.status == 0 and actual == expected and not done.truncated, "stdin": stdin, "expected": expected, "actual": actual, "stderr": normalized(done.stderr), "returncode": done.status, "timed_out": slow, "output_truncated": done.truncated and not slow})
+    return {"syntax_valid": error is None, "syntax_error": error or "", "runs": runs}

@@ -18,7 +18,7 @@ from verdict.plans.tables import EXCHANGE_SQL, LOG_SQL, REPORT_SQL, exchanges, r
 from verdict.sources import io
 from verdict.sources.checkpoint import checkpointed, shared_folder
 from verdict.sources.schema import REWARD_LOG, has_all_groups
-from verdict.streaming import summary
+from verdict.streaming import solving, summary
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -244,16 +244,43 @@ def q40_solve_loop(spark, sf_dir):
 
 @query("WITH " + raw_sql() + _SOLVED_SQL + "SELECT problem_id, status, attempts FROM s")
 def q52_resumed_solve(spark, sf_dir):
-    """The same evaluation, resumed where another has the results of all problems but those that call functions."""
+    """The same evaluation, resumed in two batches where another has the results of all but those that call functions."""
     path = _folder(spark, "partial")
     todo = problems(spark, sf_dir)
     lines = F.col("source_index") % 8 == 7
     before = todo.where("io_mode = 'stdin'").select(F.col("id").alias("problem_id"), F.when(lines, "FAILED").otherwise("VERIFIED_SOLVED").alias("status"), F.lit(2).alias("attempts"))
     solve.empty_results(spark).unionByName(before, allowMissingColumns=True).write.parquet(path)
-    done = solve.resumed(todo, _rules, path, solve.SolveConfig(max_repair_turns=0, execution=CHUNK))
+    done = solve.resumed(todo, _rules, path, solve.SolveConfig(max_repair_turns=0, execution=CHUNK), batches=2)
     return done.select("problem_id", "status", "attempts")
 
 
+@query("WITH " + raw_sql() + _SOLVED_SQL + "SELECT problem_id, status, attempts, code FROM s")
+def q68_streamed_solve(spark, sf_dir):
+    """Problems that arrive as files, solved in micro-batches, where a run before has stored every third problem."""
+    path = _folder(spark, "stream")
+    todo = problems(spark, sf_dir)
+    io.save_problems(todo.drop("source_index").repartition(4), f"{path}/problems")
+    config = solve.SolveConfig(max_repair_turns=1, execution=CHUNK)
+    solve.solve_into(todo.where(F.col("source_index") % 3 == 0), _rules, f"{path}/results", config)
+    solving.start(solving.read(spark, f"{path}/problems", 2), _rules, f"{path}/results", f"{path}/checkpoint", config).awaitTermination()
+    return solve.stored(spark, f"{path}/results").select("problem_id", "status", "attempts", "code")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 6 WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'OUTPUT_TOO_LONG' WHEN 0 THEN 'NONE' ELSE 'RUNTIME_ERROR' END AS kind,
+  CASE s_suppkey % 6 WHEN 0 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 7 WHEN 5 THEN -6 END AS returncode, CASE s_suppkey % 6 WHEN 0 THEN length(s_suppkey::VARCHAR) WHEN 2 THEN 1000 ELSE 0 END AS chars, s_suppkey % 6 = 3 AS memory_error FROM supplier""")
+def q69_execution_limits(spark, sf_dir):
+    """A program for every key that is right, never ends, writes too much, takes too much memory, exits or aborts."""
+    kind = F.col("s_suppkey") % 6
+    codes = ["print(input())", "while True: pass", "print('x' * 5000)", "x = bytearray(900 << 20)", "import sys\nsys.exit(7)", "import os\nos.abort()"]
+    key = F.col("s_suppkey").cast("string")
+    case = F.struct(F.when(kind == 0, key).otherwise("").alias("stdin"), key.alias("expected_stdout"), F.lit("c").alias("id"), F.when(kind == 1, 0.5).alias("timeout_sec"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, codes)), (kind + 1).cast("int")).alias("code"), F.array(case).alias("cases"))
+    config = ExecConfig(max_output_bytes=1000, memory_limit=True)
+    ran = run_suites(rows, {"report": (F.col("code"), F.col("cases"), "visible")}, F.lit(10.0), F.lit(""), F.lit(256), config)
+    run = F.get("report.runs", F.lit(0))
+    return ran.select("s_suppkey", R.failure_kind(F.col("report")).alias("kind"), run["returncode"].alias("returncode"), F.length(run["actual"]).alias("chars"), run["stderr"].contains("MemoryError").alias("memory_error"))
+
+
 @query("WITH " + raw_sql() + f""", eligible AS (SELECT *, n > vis AND rew > 0 AND least(20, n - vis - rew) > 0 AS complete, {_KEY_SQL} AS key FROM made WHERE reason IS NULL AND sound),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY complete::INT DESC, vis + rew + least(20, n - vis - rew) DESC, id DESC) AS place FROM eligible) WHERE place = 1),
 ranked AS (SELECT id, row_number() OVER (ORDER BY sha256('7:' || id), id) - 1 AS r, count(*) OVER () AS n FROM best WHERE complete),
