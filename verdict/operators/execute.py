@@ -58,7 +58,9 @@ def dealt(runs: DataFrame, tasks: int) -> DataFrame:
 
 def outcomes(runs: DataFrame, config: ExecConfig) -> DataFrame:
     """(of ``OUTCOME``) what each of ``runs`` (run, code, entry, stdin, seconds, memory) gives."""
-    tasks, cap = config.partitions(runs.sparkSession), config.max_output_bytes
+    cap = config.max_output_bytes
+    # No more tasks than runs: starting an interpreter takes as long as some twenty runs do.
+    tasks = max(1, min(config.partitions(runs.sparkSession), runs.count()))
     shares = dealt(runs, tasks).repartitionById(tasks, F.col("task")).sortWithinPartitions("entry", "code")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
