@@ -103,15 +103,16 @@ def general_number(x: Column) -> Column:
     return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), _signed(x, F.lit("inf"))).otherwise(finite)
 
 
+def lower_hex(json: Column) -> Column:
+    """JSON with small hex digits in the escapes of control characters, where the JVM writes large ones."""
+    parts = F.regexp_extract_all(json, F.lit(r"\\u[0-9A-Fa-f]{4}|\\.|[^\\]+"), F.lit(0))
+    return F.when(json.contains("\\u"), F.array_join(F.transform(parts, lambda t: F.when(t.startswith("\\u"), F.lower(t)).otherwise(t)), "")).otherwise(json)
+
+
 def json_string(text: Column) -> Column:
     """A text as a JSON string: only quotes, backslashes and control characters are escaped, with small hex digits."""
     quoted = F.to_json(F.array(text))
-    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    # An escaped backslash is set aside, so that what follows it is not taken for an escape.
-    aside = F.replace(quoted, F.lit("\\\\"), F.lit("\x01"))
-    for code in (11, *range(14, 16), *range(26, 32)):
-        aside = F.replace(aside, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
-    return F.when(quoted.contains("\\u"), F.replace(aside, F.lit("\x01"), F.lit("\\\\"))).otherwise(quoted)
+    return lower_hex(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def canonical_json(value: Column, kind: DataType) -> Column:

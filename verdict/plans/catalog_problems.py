@@ -74,7 +74,7 @@ def q43_status_logs(spark, sf_dir):
     return read[0].unionByName(read[1]).groupBy("status").agg(F.count("*").alias("records"), F.sum("source_index").alias("sum_of_indexes"))
 
 
-@query("WITH " + raw_sql() + """SELECT id, 'python3' AS language, CASE WHEN k % 2 = 0 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END AS time_limit_sec, CASE WHEN k % 3 = 0 THEN 64 ELSE 256 END AS memory_limit_mb, io_mode,
+@query("WITH " + raw_sql() + """SELECT id, 'python3' AS language, CASE WHEN k % 2 = 0 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END AS time_limit_sec, memory AS memory_limit_mb, io_mode,
   CASE WHEN n > 0 THEN 'visible-0001' END AS first_case, CASE WHEN rew > 0 THEN 'own-' || k END AS reward_case, CAST(n_solutions - CASE WHEN n_solutions = 2 AND k % 3 = 2 THEN 1 ELSE 0 END AS INT) AS n_solutions FROM made WHERE reason IS NULL""")
 def q44_problem_files(spark, sf_dir):
     """Problems saved as files without some fields, and loaded with their defaults: limits, language, mode, ids of cases.

@@ -40,7 +40,7 @@ def raw_rows(df: DataFrame, key: str, name: str) -> DataFrame:
     codes = F.when(kind == 3, F.lit(ADD)).when(kind == 4, _json(F.struct(F.array(F.lit(PAIR), F.lit("  ")).alias("python")))).when(kind == 7, F.when(k % 16 == 7, F.lit("[]")).otherwise(listed(ECHO))).otherwise(by_key)
     question = F.when(kind == 5, F.lit(" \n ")).otherwise(F.concat(F.lit("  Add   "), F.floor(k / 24).cast("string"), F.lit(" numbers.\n")))
     limit = F.when(k % 2 == 0, F.lit("10.0 seconds"))
-    memory = F.when(k % 3 == 0, F.lit("64 MB"))
+    memory = F.when(k % 3 == 0, F.lit(64.0)).when(k % 6 == 1, F.lit(12345678.0))
     return rows.select("k", "name", question.alias("question"), io.alias("input_output"), codes.alias("solutions"), limit.alias("time_limit"), memory.alias("memory_limit"), F.when(k % 4 == 1, listed("n > 0", "n < 9")).alias("constraints"), F.when(k % 5 == 0, F.lit("book")).alias("source"), F.lit(None).cast("string").alias("url"))
 
 
@@ -81,7 +81,7 @@ made AS (
   SELECT *, CASE WHEN n - vis >= 2 THEN n - vis - least(20, greatest(1, (n - vis) // 3)) ELSE n - vis END AS rew,
     'taco_' || k || '_' || coalesce(nullif(substr(lower(trim(regexp_replace(name, '[^a-zA-Z0-9]+', '_', 'g'), '_')), 1, 80), ''), 'problem') AS id,
     CASE WHEN kind = 5 THEN '' ELSE 'Add   ' || k // 24 || ' numbers.' END AS statement, CASE WHEN entry = '' THEN 'stdin' ELSE 'callable' END AS io_mode,
-    CASE WHEN k % 2 = 0 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END AS seconds, CASE WHEN k % 3 = 0 THEN 64 ELSE 256 END AS memory,
+    CASE WHEN k % 2 = 0 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END AS seconds, CASE WHEN k % 3 = 0 THEN 64 WHEN k % 6 = 1 THEN 12345678 ELSE 256 END AS memory,
     CASE WHEN kind >= 3 OR k % 3 <> 2 THEN true ELSE false END AS sound,
     CASE WHEN kind = 3 THEN '{_q(ADD)}' WHEN kind = 4 THEN '{_q(PAIR)}' WHEN kind = 7 THEN '{_q(ECHO)}' WHEN k % 3 = 0 THEN '{_q(CLEAN)}' WHEN k % 3 = 1 THEN '{_q(WARNED)}' ELSE '' END AS best
   FROM quota)
