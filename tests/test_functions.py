@@ -51,7 +51,14 @@ def test_small_text_functions(spark):
     assert apply(spark, ["A b!", "", None, "--", "x" * 100], lambda c: T.safe_slug(F.coalesce(c, F.lit("")), F.lit(7))) == ["problem_7_a_b", "problem_7_problem", "problem_7_problem", "problem_7_problem", "problem_7_" + "x" * 80]
     assert apply(spark, ["2.0 seconds", "256 MB", "", None, "x"], lambda c: T.parse_number(c, 1.5)) == [2.0, 256.0, 1.5, 1.5, 1.5]
     assert apply(spark, ["  Add   two Numbers. ", "", " "], lambda c: T.canonical_key(c, F.lit("stdin"), F.lit(""), F.lit("p"))) == ["stdin||add two numbers.", "id:p", "id:p"]
-    assert apply(spark, ["straße"], lambda c: T.canonical_key(c, F.lit("callable"), F.lit(" Add "), F.lit("p"), P.casefold)) == ["callable|add|strasse"]
+    assert apply(spark, ["straße"], lambda c: T.canonical_key(c, F.lit("callable"), F.lit(" Add "), F.lit("p"))) == ["callable|add|strasse"]
+
+
+def test_case_folding(spark):
+    rng = random.Random(1)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
+    texts = ["", "ABC", "Straße", "ΟΔΟΣ ΣΑΣ", "İstanbul I", "ﬁne ŉ ǰ", "ẞ", *every, *("".join(rng.choices([*every, "A", "z", " ", "é", "\U0001f600"], k=6)) for _ in range(300))]
+    assert apply(spark, texts, T.casefold) == [t.casefold() for t in texts]
 
 
 def quotas(n, v, r, e):

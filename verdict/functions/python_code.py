@@ -57,11 +57,6 @@ def has_syntax_warning(code):
     return warns(code)
 
 
-@F.udf(StringType(), useArrow=True)
-def casefold(text):
-    return None if text is None else text.casefold()
-
-
 @F.udf(DoubleType(), useArrow=True)
 def round6(value):
     """Rounds the binary value correctly to six digits, ties to even; the built-in rounds its decimal text half up."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,11 +34,28 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(py_strip(text), rf"{BLANK}+", " ")
 
 
-def canonical_key(statement: Column, io_mode: Column, entry_point: Column, ident: Column, fold=F.lower) -> Column:
-    """The key under which problems are equivalent: mode, signature and folded statement; blank statements stand alone.
+@cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """What Unicode's full case folding changes: characters and what single ones become, and those that become several."""
+    changed = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
 
-    ``fold`` is ``lower`` on the native path; ``python_code.casefold`` gives full Unicode case folding.
-    """
+
+def casefold(text: Column) -> Column:
+    """Full Unicode case folding, as Python's ``casefold``: a character at a time, whatever stands around it."""
+    single, folded, several = folds()
+    every = "[" + "".join(several) + "]"
+    one = F.translate(text, single, folded)
+    # Texts of such characters alone are taken apart; they are told from the longer bytes of what lies beyond ASCII.
+    parts = F.regexp_extract_all(text, F.lit(f"{every}|[^{every[1:]}+"), F.lit(0))
+    known = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
+    many = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(known, p), F.translate(p, single, folded))), "")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(text.rlike(every), many).otherwise(one)
+
+
+def canonical_key(statement: Column, io_mode: Column, entry_point: Column, ident: Column, fold: Callable[[Column], Column] = casefold) -> Column:
+    """The key under which problems are equivalent: mode, signature and folded statement; blank statements stand alone."""
     body = fold(collapse_blanks(F.coalesce(statement, F.lit(""))))
     signature = F.when(io_mode == "callable", fold(py_strip(F.coalesce(entry_point, F.lit(""))))).otherwise("")
     return F.when(body == "", F.concat(F.lit("id:"), ident)).otherwise(F.concat_ws("|", io_mode, signature, body))

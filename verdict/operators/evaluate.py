@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdict.functions.reports import all_passed, any_runtime_error, any_timeout, pass_rate
 from verdict.operators.order_stats import float_stats
+from verdict.operators.seeded import indexed
 
 
 def solved(status: Column) -> Column:
@@ -57,9 +58,18 @@ def metrics(results: DataFrame) -> DataFrame:
     ).where("num_problems > 0")
 
 
-def last_wins(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """One row per key: the last by position, as where a report names a problem twice."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(position).desc()))).where("__n = 1").drop("__n")
+def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per key: the last by ``order``, as where results name a problem twice. Partial maxima precede the shuffle."""
+    found = rows.groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.struct(*order)).alias("__r"))
+    return found.select("__r.*")
+
+
+def in_report_order(results: DataFrame, problems: DataFrame, order: str = "id") -> DataFrame:
+    """The results of ``problems``, with ``place``: where the problem stands among them by ``order``, counted from 0.
+    Results of other problems do not count; of several for one problem the caller keeps one (``last_wins``)."""
+    places = indexed(problems.select(order).distinct(), order, "place")
+    named = problems.select("id", *([order] if order != "id" else [])).distinct().join(places, order).select(F.col("id").alias("problem_id"), "place")
+    return results.join(named, "problem_id")
 
 
 def paired(base: DataFrame, candidate: DataFrame, modes: DataFrame | None = None) -> DataFrame:

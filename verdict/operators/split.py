@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdict.functions.text import canonical_key
+from verdict.functions.text import canonical_key, casefold
 from verdict.operators.digest import digest
 from verdict.operators.seeded import seeded_ranks
 from verdict.sources.schema import best_verified, case_count, has_all_groups
@@ -27,7 +27,7 @@ def keep_best(df: DataFrame, key: Column, *order: Column) -> DataFrame:
     return packed.groupBy("__k").agg(F.max_by("__r", "__o").alias("r")).select("r.*")
 
 
-def deduplicate(problems: DataFrame, fold: Callable[[Column], Column] = F.lower) -> DataFrame:
+def deduplicate(problems: DataFrame, fold: Callable[[Column], Column] = casefold) -> DataFrame:
     """Of equivalent problems the one with all suites, then most cases, then the greatest id."""
     key = canonical_key(F.col("statement"), F.col("io_mode"), F.col("entry_point"), F.col("id"), fold)
     return keep_best(problems, F.sha2(key, 256), has_all_groups(F.col("tests")).cast("int"), case_count(F.col("tests")), F.col("id"))

@@ -32,7 +32,15 @@ def query(sql: str | None = None):
     return add
 
 
-FOLDED = r"lower(trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f]+', ' ', 'g')))"
+def _folded_sql(text: str) -> str:
+    """Full case folding, a character at a time."""
+    single, folded, several = T.folds()
+    for char, other in several.items():
+        text = f"replace({text}, '{char}', '{other}')"
+    return f"translate({text}, '{single}', '{folded}')"
+
+
+FOLDED = _folded_sql(r"trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f]+', ' ', 'g'))")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

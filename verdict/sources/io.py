@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.sources.schema import PROBLEM_FILE, RESULT, coerced
@@ -33,10 +34,38 @@ def save_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def report(spark: SparkSession, path: str) -> DataFrame:
-    """The results of a report file, with their position in it."""
-    raw = spark.read.schema(f"results array<struct<{RESULT.replace('problem_id string', 'problem_id:string').replace(' string', ':string').replace(' int,', ':int,').replace('attempt_records array', 'attempt_records:array')}>>").json(path, multiLine=True)
-    return raw.select(F.posexplode("results").alias("position", "r")).select("position", "r.*")
+#: Where a record stands among several files: the file's place in the list given, its name, the part of it that was read
+#: at once, and the record within that.
+ORDER = "struct<path:int,file:string,start:long,position:long>"
+_RESULTS = f"results array<struct<{RESULT.replace('problem_id string', 'problem_id:string').replace(' string', ':string').replace(' int,', ':int,').replace('attempt_records array', 'attempt_records:array')}>>"
+
+
+def _placed(rows: DataFrame, place: int, position: Column, columns: list[str]) -> DataFrame:
+    order = F.struct(F.lit(place).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), position.alias("position"))
+    return rows.select(order.cast(ORDER).alias("order"), *columns)
+
+
+def partial_results(spark: SparkSession, *paths: str) -> DataFrame:
+    """Results from files of JSON lines, with their ``order``: later paths come after earlier ones, then files by name,
+    then lines as they stand. Malformed lines and lines without a problem are passed over."""
+    names = [f.split(" ")[0] for f in RESULT.split(", ") if "<" not in f.split(" ")[0] and ":" not in f.split(" ")[0]]
+
+    def one(place: int, path: str) -> DataFrame:
+        rows = spark.read.schema(RESULT).json(path, mode="DROPMALFORMED")
+        return _placed(rows, place, F.monotonically_increasing_id(), names).where(F.coalesce("problem_id", F.lit("")) != "")
+
+    return reduce(DataFrame.unionByName, [one(k, p) for k, p in enumerate(paths)])
+
+
+def report(spark: SparkSession, *paths: str) -> DataFrame:
+    """The results of report files, with their position within a file and their ``order`` over all of them."""
+
+    def one(place: int, path: str) -> DataFrame:
+        raw = spark.read.schema(_RESULTS).json(path, multiLine=True)
+        rows = raw.select("_metadata", F.posexplode("results").alias("position", "r"))
+        return _placed(rows, place, F.col("position").cast("long"), ["position", "r"]).select("order", "position", "r.*")
+
+    return reduce(DataFrame.unionByName, [one(k, p) for k, p in enumerate(paths)])
 
 
 def non_blank_lines(spark: SparkSession, path: str) -> int:
