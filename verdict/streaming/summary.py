@@ -1,39 +1,91 @@
-"""A running summary of a reward log: a stream of JSON files, merged batch by batch into small tables of partial results."""
+"""A running summary of a reward log: a stream of JSON files, kept up to date batch by batch.
+
+Each group of completions (one call, one problem) has its figures as keyed state in the state store. A batch changes the
+groups that it has rows of, and those give what they add to the whole: rows, whether the group is new, whether its rewards
+vary now where they did not before. A batch's summary is the one before plus these, so its cost depends on the batch alone
+and whether a group varies is exact, however its rows are spread over batches. Everything a batch writes goes under its
+number: one that is repeated starts from the same state and replaces itself.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from verdict.sources import io
 from verdict.sources.schema import REWARD_LOG
 
+GROUP = "n long, low double, high double"
+CHANGE = "completions long, groups long, varying_reward_groups long, total double, fully_correct long, reasons array<string>"
+FIGURES = ("completions", "groups", "varying_reward_groups", "total", "fully_correct")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: From which spread on rewards vary, and from which reward on a completion is fully correct.
+SPREAD, FULL = 1e-9, 0.999
 
-def read(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    return spark.readStream.schema(REWARD_LOG).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
+class Groups(StatefulProcessor):
+    """Keeps a group's rows, least and greatest reward; gives what a batch changes in the summary."""
 
-def partials(log: DataFrame) -> DataFrame:
-    """Per group what can be merged: rows, least and greatest reward, sum, fully correct ones."""
-    total = F.coalesce("total", F.lit(0.0))
-    return log.groupBy("reward_call", "problem_id").agg(F.count("*").alias("n"), F.min(total).alias("low"), F.max(total).alias("high"), F.sum(total).alias("sum"), F.sum((total >= 0.999).cast("long")).alias("correct"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.group = handle.getValueState("group", GROUP)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.group.get() if self.group.exists() else None
+        n, low, high = before or (0, float("inf"), float("-inf"))
+        varied, added, total, full, reasons = high - low > SPREAD, 0, 0.0, 0, []
+        for part in rows:
+            rewards = part["total"].fillna(0.0)
+            added, total, full = added + len(part), total + float(rewards.sum()), full + int((rewards >= FULL).sum())
+            low, high = min(low, float(rewards.min())), max(high, float(rewards.max()))
+            reasons += [r for given in part["reasons"] if given is not None for r in given]
+        self.group.update((n + added, low, high))
+        yield pd.DataFrame({"completions": [added], "groups": [int(before is None)], "varying_reward_groups": [int(high - low > SPREAD) - int(varied)], "total": [total], "fully_correct": [full], "reasons": [reasons]})
+
+    def close(self) -> None:
+        pass
+
+
+def read(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    return spark.readStream.schema(REWARD_LOG).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 def start(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes each batch's partial results under its own number, so a batch that is repeated replaces itself."""
+    """Brings the summary at ``out`` up to date with all files there are, and ends."""
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = log.select("reward_call", "problem_id", F.col("total").cast("double").alias("total"), "reasons")
+    changes = rows.groupBy("reward_call", "problem_id").transformWithStateInPandas(Groups(), CHANGE, "Update", "none")
+
     def write(batch: DataFrame, number: int) -> None:
-        partials(batch).write.mode("overwrite").parquet(f"{out}/groups/batch={number}")
-        batch.select(F.explode("reasons").alias("reason")).groupBy("reason").count().write.mode("overwrite").parquet(f"{out}/reasons/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")  # the state is advanced by this job alone
+        made = spark.read.schema(CHANGE).parquet(f"{out}/changes/batch={number}")
+        sums = made.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FIGURES))
+        counts = made.select(F.explode("reasons").alias("reason")).groupBy("reason").count()
+        for name, now, keys in (("summary", sums, []), ("reasons", counts, ["reason"])):
+            if io.exists(spark, f"{out}/{name}/batch={number - 1}"):
+                before = spark.read.schema(now.schema).parquet(f"{out}/{name}/batch={number - 1}")
+                now = now.unionByName(before).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in now.columns if c not in keys))
+            now.coalesce(1).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
 
-    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _last(spark: SparkSession, path: str) -> DataFrame:
+    """The table of the last batch."""
+    batches = spark.read.parquet(path)
+    return batches.where(F.col("batch") == batches.agg(F.max("batch").alias("b")).first().b).drop("batch")
 
 
 def merged(spark: SparkSession, out: str) -> DataFrame:
     """One row over all batches so far."""
-    g = spark.read.parquet(f"{out}/groups").groupBy("reward_call", "problem_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("sum").alias("sum"), F.sum("correct").alias("correct"))
-    return g.agg(F.sum("n").alias("completions"), F.count("*").alias("groups"), F.sum((F.col("high") - F.col("low") > 1e-9).cast("long")).alias("varying_reward_groups"), (F.sum("sum") / F.sum("n")).alias("mean_reward"), (F.sum("correct") / F.sum("n")).alias("fully_correct_rate"))
+    rate = lambda c: F.when(F.col("completions") > 0, F.col(c) / F.col("completions"))
+    return _last(spark, f"{out}/summary").select("completions", "groups", "varying_reward_groups", rate("total").alias("mean_reward"), rate("fully_correct").alias("fully_correct_rate"))
 
 
 def merged_reasons(spark: SparkSession, out: str) -> DataFrame:
     """How often each reason was given, over all batches so far."""
-    return spark.read.parquet(f"{out}/reasons").groupBy("reason").agg(F.sum("count").alias("count"))
+    return _last(spark, f"{out}/reasons")
