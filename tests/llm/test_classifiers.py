@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdict.llm import quality, toxicity
 from verdict.llm.training import labelled, training_rows
@@ -156,3 +157,13 @@ def test_sample_does_not_prefer_short_texts(spark):
 def test_sample_is_bounded(spark):
     labels = spark.range(5000).selectExpr("id AS doc_id", "1 AS toxic")
     assert 100 < labelled(labels, "toxic", 200).count() < 300
+
+
+def test_sample_is_bounded_in_rows_and_characters(spark):
+    """An id of many rows, with or without text, counts as a whole, and does not reach the driver if it is too large."""
+    docs = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text")).unionByName(spark.range(400).select(F.lit(2).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")))
+    docs = docs.unionByName(spark.range(4, 30, 3).select(F.col("id").alias("doc_id"), F.lit("y").alias("text")))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    rows = training_rows(docs, labels, "toxic", max_chars=5_000)
+    assert rows and {t for t, _ in rows} == {"y"}
+    assert len(training_rows(docs, labels, "toxic", max_chars=10**6)) > 400

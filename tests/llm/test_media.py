@@ -37,6 +37,15 @@ def test_unknown_sizes_and_block_groups():
     assert [(p.track, p.timestamp_ns, data[p.offset : p.offset + p.size], p.cluster) for p in media.packets] == [(3, 12_000_000, b"abc", 0), (3, 12_000_000, b"abc", 1)]
 
 
+def test_empty_cluster_of_unknown_size_between_others():
+    block = matroska.vint(1) + (0).to_bytes(2, "big") + b"\x80" + b"abc"
+    head = matroska.CLUSTER.to_bytes(4, "big") + b"\xff"
+    full = head + matroska.number(matroska.TIMESTAMP, 7) + matroska.element(matroska.SIMPLE_BLOCK, block)
+    data = matroska.HEADER + matroska.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + full + head + full
+    media = matroska.packets(data)
+    assert [(data[p.offset : p.offset + p.size], p.cluster) for p in media.packets] == [(b"abc", 0), (b"abc", 2)]
+
+
 def test_damaged_files_raise_or_stop():
     data = matroska.write(bytes(range(256)) * 64)
     rng = random.Random(5)

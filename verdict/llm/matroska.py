@@ -166,7 +166,7 @@ def packets(data: bytes) -> Media:
                             cues.append((time, spot.get(CUE_TRACK, 0), base + spot.get(CUE_CLUSTER_POSITION, 0)))
         elif ident == CLUSTER:
             clusters.append(start)
-            time, reached = 0, last
+            time, reached = 0, first
             for k, s, a, b in elements(data, first, last, TOP_LEVEL if size is None else frozenset()):
                 reached = b
                 if k == TIMESTAMP:
@@ -179,7 +179,7 @@ def packets(data: bytes) -> Media:
                         if x == BLOCK:
                             found += _block(data, p, q, time, len(clusters) - 1, all(y[0] != 0xFB for y in parts))
             if size is None:
-                last = reached if reached != last or not found else last
+                last = reached
         at = last
     out = []
     for track, time, nth, offset, n, cluster, lacing, key in found:

@@ -7,7 +7,7 @@ slices. Tables with a row per source are ranked and summed in ranges as well, as
 Defined results: a null text has size 0; a null source is one source, ordered last; rows that agree in ``doc_id``, text
 and source are interchangeable, and each has a ``taken`` of its own; a source without words has target 0; an empty table
 gives an empty result. Of the input only ``doc_id``, ``text`` and ``source`` are read. ``mixed`` keeps its other columns,
-but for such as bear the name of one of its own measures, which give way to those.
+but for such as bear the name of one of its own measures, in any case, which give way to those.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.
     the slices of their sources; nothing is joined back."""
     slim = checkpointed(_measured(docs, seed, []))
     plan, sums = _planned(slim, weights, share, cap)
-    kept = [c for c in docs.columns if c not in MEASURES]
+    kept = [c for c in docs.columns if c.lower() not in MEASURES]
     rows = _measured(docs, seed, [F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row")])
     taken = _taken(rows, plan, sums, ["__row"]).where("taken > 0")
     return taken.select(*(F.col("__row")[c].alias(c) for c in kept), *MEASURES)

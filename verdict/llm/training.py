@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: At most about this many labelled documents, and characters of text, are brought to the driver to fit a classifier.
 MAX_ROWS, MAX_CHARS = 4_000, 24_000_000
+#: What a row counts beside its characters.
+ROW_CHARS = 32
 
 
 def held_out(doc_id: Column) -> Column:
@@ -32,15 +34,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
     sample = labelled(labels, label, max_rows)
     # The sample is bounded by max_rows, so it may be broadcast at any size of the corpus.
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").withColumn("order", F.xxhash64("doc_id", F.lit("order")))
-    sizes = picked.groupBy("doc_id", "order").agg(F.sum(F.length("text")).alias("n")).collect()
-    total, allowed, last = 0, set(), None
-    for row in sorted((r for r in sizes if r.n <= max_chars), key=lambda r: (r.order, r.doc_id)):
+    # A row counts ROW_CHARS at least, so that rows without text are bounded too.
+    chars = F.sum(F.length("text") + ROW_CHARS)
+    sizes = picked.groupBy("doc_id", "order").agg(chars.alias("n")).where(F.col("n") <= max_chars).collect()  # a row per sampled id
+    total, allowed = 0, []
+    for row in sorted(sizes, key=lambda r: (r.order, r.doc_id)):
         total += row.n
         if total > max_chars:
             break
-        allowed.add(row.doc_id)
-        last = row.order
-    if last is None:
+        allowed.append((row.doc_id,))
+    if not allowed:
         return []
-    rows = picked.where((F.col("order") <= last) & (F.length("text") <= max_chars)).collect()
-    return [(r.text, r.label) for r in sorted((r for r in rows if r.doc_id in allowed), key=lambda r: (r.doc_id, r.text))]
+    # Rows of allowed ids alone come to the driver, so their characters are bounded before they are collected.
+    ids = docs.sparkSession.createDataFrame(allowed, picked.select("doc_id").schema)
+    rows = picked.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "label").collect()
+    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
