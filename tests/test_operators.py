@@ -262,6 +262,8 @@ def test_sources(spark, tmp_path):
     for name in ("side.json", "_split.json"):
         io.save_sidecar(spark, str(tmp_path / name), {"role": "train"})
         assert io.sidecar(spark, str(tmp_path / name)) == {"role": "train"}
+    assert io.copy_sidecars(spark, str(tmp_path), str(tmp_path / "next")) == ["_split.json"] and io.sidecar(spark, str(tmp_path / "next" / "_split.json")) == {"role": "train"}
+    assert io.copy_sidecars(spark, str(tmp_path / "absent"), str(tmp_path / "next")) == []
     (tmp_path / "r.json").write_text(json.dumps({"results": [{"problem_id": "a", "status": "FAILED", "attempts": 1}]}))
     assert io.report(spark, str(tmp_path / "r.json")).first().problem_id == "a"
 

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What the parts of a reward weigh, what each fault costs, by the name that its reason has in the log, what a
+# completion without code gets, and what faults cost a candidate's score.
+WEIGHTS = {"syntax": 0.05, "visible": 0.15, "reward_tests": 0.60, "correctness_bonus": 0.20}
+FAULTS = {"syntax_error": 0.2, "timeout": 0.6, "runtime_error": 0.3, "possible_sample_hardcode": 0.6, "output_too_long": 0.5}
+NO_CODE_REWARD, NO_CODE_REASON = -1.0, "missing_python_code_block"
+SCORE_COSTS = {"timeout": 0.5, "runtime_error": 0.25, "truncated": 0.5}
+INVALID_SCORE = -1.0
+
+
 def all_passed(report: Column) -> Column:
     """True for a valid program all of whose runs passed, and so for one without runs."""
     return F.coalesce(report["syntax_valid"], F.lit(False)) & F.coalesce(F.forall(report["runs"], lambda r: F.coalesce(r["passed"], F.lit(False))), F.lit(True))
@@ -75,41 +84,32 @@ def first_failed_detail(report: Column, width: int = 500) -> Column:
 
 def candidate_score(report: Column) -> Column:
     """The rate of passed runs less what time-outs, crashes and cut outputs cost; -1 for an invalid program."""
-    cost = F.when(any_timeout(report), 0.5).otherwise(0.0) + F.when(any_runtime_error(report), 0.25).otherwise(0.0) + F.when(any_truncated(report), 0.5).otherwise(0.0)
-    return F.when(~report["syntax_valid"], -1.0).otherwise(pass_rate(report) - cost)
+    found = {"timeout": any_timeout(report), "runtime_error": any_runtime_error(report), "truncated": any_truncated(report)}
+    cost = sum((F.when(found[name], price).otherwise(0.0) for name, price in SCORE_COSTS.items()), F.lit(0.0))
+    return F.when(~report["syntax_valid"], INVALID_SCORE).otherwise(pass_rate(report) - cost)
 
 
 def reward(visible: Column, tested: Column, hardcoded: Column) -> Column:
     """The reward of a completion from its reports on the visible and the reward suite.
 
-    A struct (total, syntax, visible, reward_tests, correctness_bonus, penalties, reasons); ``total`` is not rounded.
+    A struct (total, the parts of ``WEIGHTS``, penalties, reasons); ``total`` is not rounded.
     """
     ran = F.size(tested["runs"]) > 0
-    parts = {
-        "syntax": F.when(visible["syntax_valid"], 0.05).otherwise(0.0),
-        "visible": F.lit(0.15) * pass_rate(visible),
-        "reward_tests": F.when(ran, F.lit(0.60) * pass_rate(tested)).otherwise(0.0),
-        "correctness_bonus": F.when(all_passed(visible) & ran & all_passed(tested), 0.20).otherwise(0.0),
+    share = {
+        "syntax": F.when(visible["syntax_valid"], 1.0).otherwise(0.0),
+        "visible": pass_rate(visible),
+        "reward_tests": F.when(ran, pass_rate(tested)).otherwise(0.0),
+        "correctness_bonus": F.when(all_passed(visible) & ran & all_passed(tested), 1.0).otherwise(0.0),
     }
-    faults = [
-        ("syntax_error", ~visible["syntax_valid"], 0.2),
-        ("timeout", any_timeout(visible) | any_timeout(tested), 0.6),
-        ("runtime_error", any_runtime_error(visible) | any_runtime_error(tested), 0.3),
-        ("possible_sample_hardcode", hardcoded, 0.6),
-        ("output_too_long", any_truncated(visible) | any_truncated(tested), 0.5),
-    ]
-    penalties = F.lit(0.0)
-    for _, found, cost in faults:
-        penalties = penalties - F.when(found, cost).otherwise(0.0)
-    reasons = F.filter(F.array(*(F.when(found, F.lit(name)) for name, found, _ in faults)), lambda r: r.isNotNull())
-    total = parts["syntax"] + parts["visible"] + parts["reward_tests"] + parts["correctness_bonus"] + penalties
+    either = lambda told: told(visible) | told(tested)
+    found = {"syntax_error": ~visible["syntax_valid"], "timeout": either(any_timeout), "runtime_error": either(any_runtime_error), "possible_sample_hardcode": hardcoded, "output_too_long": either(any_truncated)}
+    parts = {name: F.lit(weight) * share[name] for name, weight in WEIGHTS.items()}
+    penalties = sum((-F.when(found[name], cost).otherwise(0.0) for name, cost in FAULTS.items()), F.lit(0.0))
+    reasons = F.filter(F.array(*(F.when(found[name], F.lit(name)) for name in FAULTS)), lambda r: r.isNotNull())
+    total = sum(parts.values(), F.lit(0.0)) + penalties
     return F.struct(total.alias("total"), *(c.alias(n) for n, c in parts.items()), penalties.alias("penalties"), reasons.alias("reasons"))
 
 
-#: Of a completion without a code block.
-NO_CODE_REWARD, NO_CODE_REASON = -1.0, "missing_python_code_block"
-
-
 def final_failure(records: Column) -> Column:
     """Why a run of attempts ended unsolved: the last record's evaluation, reward check, or visible failure."""
     last = F.try_element_at(records, F.lit(-1))

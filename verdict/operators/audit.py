@@ -68,23 +68,32 @@ def dataset(lines: DataFrame) -> DataFrame:
     return figures.crossJoin(fingerprint(rows.where(good), "output"))  # one row each
 
 
+#: The codes of what may be wrong with training data, by the figures of both audits (p and d) that tell it.
+FAILURES = {
+    "duplicate_problem_ids": "p.duplicate_ids > 0",
+    "unverified_train_problems": "p.verified_records < p.records",
+    "invalid_oracle_syntax": "p.invalid_oracle_syntax > 0",
+    "malformed_sft_json": "d.malformed_json_records > 0",
+    "invalid_sft_schema": "d.invalid_schema_records > 0",
+    "invalid_code_block_format": "d.valid_code_block_records <> d.records",
+    "invalid_sft_python_syntax": "d.syntax_valid_records <> d.records",
+    "problem_dataset_count_mismatch": "d.records <> p.records",
+}
+
+
+def audited(train: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row: the figures ``p`` of problems and ``d`` of lines of records, and the sorted codes of what is wrong."""
+    both = problems(train).select(F.struct("*").alias("p")).crossJoin(dataset(lines).select(F.struct("*").alias("d")))  # one row each
+    found = F.array(*(F.when(F.expr(wrong), F.lit(code)) for code, wrong in FAILURES.items()))
+    return both.withColumn("failures", F.array_sort(F.array_distinct(F.filter(found, lambda c: c.isNotNull()))))
+
+
 def training_data(spark: SparkSession, train: DataFrame, path: str, strict: bool = False) -> dict:
     """Both audits and the codes of what is wrong; ``strict`` raises if anything is."""
-    p, d = problems(train).first(), dataset(spark.read.text(path)).first()
-    checks = {
-        "duplicate_problem_ids": p.duplicate_ids > 0,
-        "unverified_train_problems": p.verified_records < p.records,
-        "invalid_oracle_syntax": p.invalid_oracle_syntax > 0,
-        "malformed_sft_json": d.malformed_json_records > 0,
-        "invalid_sft_schema": d.invalid_schema_records > 0,
-        "invalid_code_block_format": d.valid_code_block_records != d.records,
-        "invalid_sft_python_syntax": d.syntax_valid_records != d.records,
-        "problem_dataset_count_mismatch": d.records != p.records,
-    }
-    failures = sorted(name for name, bad in checks.items() if bad)
-    if strict and failures:
-        raise ValueError("audit failed: " + ", ".join(failures))
-    return {"problems": p.asDict(True), "dataset": d.asDict(True), "failures": failures}
+    row = audited(train, spark.read.text(path)).first()
+    if strict and row.failures:
+        raise ValueError("audit failed: " + ", ".join(row.failures))
+    return {"problems": row.p.asDict(True), "dataset": row.d.asDict(True), "failures": row.failures}
 
 
 def length_stats(df: DataFrame, value: Column, *by: str) -> DataFrame:

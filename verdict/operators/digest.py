@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdict.sources import io
 from verdict.sources.checkpoint import shared_folder
 
 #: Bytes of values in a range, about.
@@ -107,6 +108,7 @@ def digest(df: DataFrame, order: Column, value: Column, between: str = "\n", bef
     ranges = -(-total // range_bytes) or 1
     spark, hasher = df.sparkSession, Sha256()
     hasher.update(before.encode())
+    folder = None
     if ranges == 1:
         parts = [rows.repartition(1).sortWithinPartitions("o", "v")]
     else:
@@ -131,5 +133,7 @@ def digest(df: DataFrame, order: Column, value: Column, between: str = "\n", bef
         found = part.select("v").mapInArrow(run, "state binary, started boolean").collect()  # one row of some hundred bytes
         if found:
             hasher, started = Sha256(bytes(found[0].state)), found[0].started
+    if folder is not None:
+        io.remove(spark, folder)
     hasher.update(after.encode())
     return hasher.hexdigest()

@@ -95,3 +95,8 @@ def audit(problems: DataFrame, limit: int = 200, config: ExecConfig = ExecConfig
 
 def audit_report(audited: DataFrame) -> DataFrame:
     return audited.agg(F.count("*").alias("problems"), stats(F.col("oracle.total")).alias("oracle_reward"), stats(F.col("bad.total")).alias("bad_reward"), stats(F.col("margin")).alias("margin"), F.sum(F.col("violation").cast("long")).alias("ordering_violations"))
+
+
+def first_violations(audited: DataFrame, limit: int = 10) -> DataFrame:
+    """The first problems by id whose bad completion does at least as well as the verified solution."""
+    return audited.where("violation").orderBy("problem_id").limit(limit)

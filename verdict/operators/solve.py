@@ -26,6 +26,16 @@ from verdict.sources.checkpoint import checkpointed
 from verdict.sources.schema import CANDIDATE, RECORD, REPORT, RESULT
 
 
+# What results and reports say.
+NO_VISIBLE = "At least one visible test is required for candidate selection."
+VISIBLE_PASSED = "Visible and reward tests passed; no held-out tests configured."
+ALL_PASSED = "Visible and held-out tests passed."
+HELD_OUT_FAILED = "Final held-out evaluation failed; no repair feedback was provided."
+REWARD_FAILED = "Internal reward verification failed; cases are withheld."
+NO_CODE = "Missing Python code block."
+NO_CANDIDATES = "Model returned no candidates."
+
+
 class Generator(Protocol):
     """Writes programs. One is made per task by the factory that ``solve`` is given."""
 
@@ -95,7 +105,7 @@ def turns(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
     suites = problems.select("id", F.col("tests.reward_tests").alias("reward_tests"), F.col("tests.eval_tests").alias("eval_tests"))
     base = problems.select("id", problem_prompt(F.col("tests.visible_tests")).alias("base"), F.col("tests.visible_tests").alias("visible_tests"), "time_limit_sec", entry.alias("entry"), problem_seed(config.seed, F.col("id")).alias("seed"), F.lit(0).alias("turn"), F.array().cast(f"array<{RECORD}>").alias("records"))
     unfit = base.where(F.size("visible_tests") == 0)
-    yield unfit.select(F.col("id").alias("problem_id"), *_result("FAILED", F.lit("MISSING_VISIBLE_TESTS"), F.lit("At least one visible test is required for candidate selection."), None))
+    yield unfit.select(F.col("id").alias("problem_id"), *_result("FAILED", F.lit("MISSING_VISIBLE_TESTS"), F.lit(NO_VISIBLE), None))
     active = checkpointed(base.where(F.size("visible_tests") > 0).select("*", initial_prompt(F.col("base")).alias("prompt"), F.lit("INITIAL_SOLVE").alias("context_type"), F.lit("").alias("diagnostic")))
     run = lambda df, **s: run_suites(df, s, F.col("time_limit_sec"), F.col("entry"), config=config.execution)
     for turn in range(1, config.max_repair_turns + 2):
@@ -105,10 +115,10 @@ def turns(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
         written = checkpointed(generate(active, factory, config.candidates_per_turn))
         tried = written.select("id", "time_limit_sec", "entry", "visible_tests", F.posexplode("responses").alias("k", "response")).withColumn("code", extract_python_code(F.col("response")))
         tried = run(tried, report=(F.when(F.col("code") != "", F.col("code")), F.col("visible_tests"), "visible"))
-        tried = tried.withColumn("report", F.coalesce("report", _no_report("Missing Python code block.")))
+        tried = tried.withColumn("report", F.coalesce("report", _no_report(NO_CODE)))
         tried = tried.withColumn("candidate", F.struct("code", F.col("report").alias("visible_result"), candidate_score(F.col("report")).alias("score")).cast(CANDIDATE))
         gathered = tried.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "candidate"))), lambda x: x["candidate"]).alias("candidates"))
-        empty = F.array(F.struct(F.lit("").alias("code"), _no_report("Model returned no candidates.").alias("visible_result"), F.lit(-1.0).alias("score")).cast(CANDIDATE))
+        empty = F.array(F.struct(F.lit("").alias("code"), _no_report(NO_CANDIDATES).alias("visible_result"), F.lit(-1.0).alias("score")).cast(CANDIDATE))
         now = written.drop("responses").join(gathered, "id", "left").withColumn("candidates", F.coalesce("candidates", empty)).withColumn("turn", F.lit(turn)).withColumn("selected", best_candidate(F.col("candidates")))
         now = checkpointed(now.join(suites, "id"))
 
@@ -131,12 +141,12 @@ def turns(problems: DataFrame, factory: Callable[[], Generator], config: SolveCo
         now = now.withColumn("records", F.concat("records", F.array(record)))
         state = F.when(~visible_ok, "REPAIR").when(~reward_ok, "REVIEW").when(F.size("eval_tests") == 0, "VISIBLE_SOLVED").when(all_passed(F.col("eval_result")), "VERIFIED_SOLVED").otherwise("EVAL_FAILED")
         failure = failure_summary(F.col("pick.visible_result"), reveal=True)
-        now = checkpointed(now.withColumn("state", state).withColumn("failure", failure).withColumn("diagnostic", F.when(F.col("state") == "REVIEW", "Internal reward verification failed; cases are withheld.").when(F.col("state") == "REPAIR", F.col("failure.message")).otherwise("")))
+        now = checkpointed(now.withColumn("state", state).withColumn("failure", failure).withColumn("diagnostic", F.when(F.col("state") == "REVIEW", REWARD_FAILED).when(F.col("state") == "REPAIR", F.col("failure.message")).otherwise("")))
         ended = lambda s, *a: now.where(F.col("state") == s).select(F.col("id").alias("problem_id"), *_result(*a))  # noqa: B023, E731
         yield (
-            ended("VISIBLE_SOLVED", "VISIBLE_SOLVED", None, F.lit("Visible and reward tests passed; no held-out tests configured."), F.col("pick.code"))
-            .unionByName(ended("VERIFIED_SOLVED", "VERIFIED_SOLVED", None, F.lit("Visible and held-out tests passed."), F.col("pick.code")))
-            .unionByName(ended("EVAL_FAILED", "FAILED", F.lit("INTERNAL_EVAL_FAILED"), F.lit("Final held-out evaluation failed; no repair feedback was provided."), None))
+            ended("VISIBLE_SOLVED", "VISIBLE_SOLVED", None, F.lit(VISIBLE_PASSED), F.col("pick.code"))
+            .unionByName(ended("VERIFIED_SOLVED", "VERIFIED_SOLVED", None, F.lit(ALL_PASSED), F.col("pick.code")))
+            .unionByName(ended("EVAL_FAILED", "FAILED", F.lit("INTERNAL_EVAL_FAILED"), F.lit(HELD_OUT_FAILED), None))
         )
         # What goes on carries no hidden case and no hidden report but in its records, which no prompt reads.
         again = now.where(F.col("state").isin("REPAIR", "REVIEW"))

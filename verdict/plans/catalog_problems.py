@@ -142,13 +142,32 @@ SELECT count(*) AS records, count(CASE WHEN kind = 1 THEN 1 END) AS malformed_js
   sha256(string_agg(output, chr(10) ORDER BY output) FILTER (kind NOT IN (1, 2))) AS fingerprint FROM x""")
 def q47_record_audit(spark, sf_dir):
     """Training records as JSON lines: sound, malformed, without output, without fence, of invalid code, with a warning."""
+    a = audit.dataset(_record_lines(spark, sf_dir))
+    return a.select("records", "malformed_json_records", "invalid_schema_records", "valid_code_block_records", "syntax_valid_records", "syntax_warning_records", "duplicate_inputs", *(F.col(f"code_chars.{n}").alias(f"code_{n}") for n in ("min", "max", "median")), "fingerprint")
+
+
+def _record_lines(spark, sf_dir) -> DataFrame:
     kind = F.expr(RECORD_KINDS)
     fenced = lambda code: records.fenced(F.lit(code))
     output = F.when(kind == 3, F.lit("no fence")).when(kind == 4, fenced(BROKEN)).when(kind == 5, fenced("if 1 is 1:\n    y = 22")).otherwise(fenced("print(1)"))
     record = F.to_json(F.struct(F.lit("i").alias("instruction"), F.concat(F.lit("in "), F.col("conv_id").cast("string")).alias("input"), F.when(kind != 2, output).alias("output")))
-    line = F.when(kind == 1, F.lit('{"instruction": ')).otherwise(record)
-    a = audit.dataset(table(spark, sf_dir, "conversations").select(line.alias("value")))
-    return a.select("records", "malformed_json_records", "invalid_schema_records", "valid_code_block_records", "syntax_valid_records", "syntax_warning_records", "duplicate_inputs", *(F.col(f"code_chars.{n}").alias(f"code_{n}") for n in ("min", "max", "median")), "fingerprint")
+    return table(spark, sf_dir, "conversations").select(F.when(kind == 1, F.lit('{"instruction": ')).otherwise(record).alias("value"))
+
+
+@query("WITH " + raw_sql() + ", x AS (SELECT " + RECORD_KINDS + """ AS kind FROM conversations), p AS (SELECT count(*) AS n, count(CASE WHEN sound THEN 1 END) AS verified FROM made WHERE reason IS NULL),
+d AS (SELECT count(*) AS n, count(CASE WHEN kind = 1 THEN 1 END) AS malformed, count(CASE WHEN kind = 2 THEN 1 END) AS invalid, count(CASE WHEN kind IN (0, 4, 5) THEN 1 END) AS blocks, count(CASE WHEN kind IN (0, 5) THEN 1 END) AS sound FROM x)
+SELECT array_to_string(list_sort(list_filter([CASE WHEN p.verified < p.n THEN 'unverified_train_problems' END, CASE WHEN d.malformed > 0 THEN 'malformed_sft_json' END, CASE WHEN d.invalid > 0 THEN 'invalid_sft_schema' END, CASE WHEN d.blocks <> d.n THEN 'invalid_code_block_format' END,
+  CASE WHEN d.sound <> d.n THEN 'invalid_sft_python_syntax' END, CASE WHEN d.n <> p.n THEN 'problem_dataset_count_mismatch' END], lambda c: c IS NOT NULL)), ',') AS failures FROM p, d""")
+def q71_audit_failures(spark, sf_dir):
+    """The codes of what is wrong with problems and training records."""
+    return audit.audited(marked(spark, sf_dir), _record_lines(spark, sf_dir)).select(F.array_join("failures", ",").alias("failures"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS problem_id, o_totalprice AS oracle, o_custkey::DOUBLE * 300 AS bad FROM orders WHERE o_totalprice <= o_custkey::DOUBLE * 300 ORDER BY problem_id LIMIT 10")
+def q72_first_violations(spark, sf_dir):
+    """The first orders by key whose price, for a verified solution's reward, does not exceed what stands for a bad one's."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("problem_id"), F.col("o_totalprice").alias("oracle"), (F.col("o_custkey").cast("double") * 300).alias("bad"))
+    return reward.first_violations(rows.withColumn("violation", F.col("oracle") <= F.col("bad"))).drop("violation")
 
 
 @query("WITH " + raw_sql() + """SELECT k, io_mode, CASE WHEN kind = 4 THEN 1 ELSE CASE WHEN kind = 3 OR kind = 7 THEN 2 ELSE 2 END END AS n_runs,

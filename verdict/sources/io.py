@@ -104,6 +104,26 @@ def save_sidecar(spark: SparkSession, path: str, value: dict) -> None:
     out.close()
 
 
+def copy_sidecars(spark: SparkSession, source: str, target: str) -> list[str]:
+    """Copies the JSON documents whose names start with ``_`` from a folder to that of the next stage; their names."""
+    fs, folder = _fs(spark, source)
+    out, to = _fs(spark, target)
+    out.mkdirs(to)
+    names = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        name = status.getPath().getName()
+        if status.isFile() and name.startswith("_") and name.endswith(".json"):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, status.getPath(), out, spark._jvm.org.apache.hadoop.fs.Path(to, name), False, True, spark._jsc.hadoopConfiguration())
+            names.append(name)
+    return sorted(names)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job has written for its own use."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def split_by_status(df: DataFrame, status: str, paths: dict[str, str]) -> None:
     """Rows of each status to a folder of its own."""
     for value, path in paths.items():
