@@ -174,26 +174,36 @@ def test_summary_of_rewards(spark, tmp_path):
     assert REWARD_LOG
 
 
-def solved(spark, rules, config=solve.SolveConfig(), **kwargs):
-    return solve.solve(table(spark, problem(**kwargs)), lambda: solve.RuleGenerator(rules), config).first()
+class ByStatement:
+    """Answers by what the statement says, and otherwise after a repair."""
+
+    def __init__(self, first, again):
+        self.first, self.again = first, again
+
+    def generate(self, prompts, seeds, n):
+        codes = [next(codes for key, codes in (self.again if "Previous candidate" in p else self.first).items() if key in p) for p in prompts]
+        return [[f"```python\n{c[k % len(c)]}\n```" for k in range(n)] for c in codes]
+
+
+def solved(spark, first, again, config=solve.SolveConfig(), **problems):
+    """Results by id, where the id is the statement."""
+    rows = table(spark, *(problem(name, statement=f"<{name}>", **kwargs) for name, kwargs in problems.items()))
+    return {r.problem_id: r for r in solve.solve(rows, lambda: ByStatement(first, again), config).collect()}
 
 
 def test_solver(spark):
     wrong, partial = "print(int('7'))", "import sys\nd = sys.stdin.read()\nprint(5 if d.split()[0] == '2' else 0)"
-    r = solved(spark, [("Previous candidate", [SUM]), ("", [wrong])])
-    assert (r.status, r.attempts, [a.context_type for a in r.attempt_records]) == ("VERIFIED_SOLVED", 2, ["INITIAL_SOLVE", "VISIBLE_REPAIR"])
-    r = solved(spark, [("", [wrong, SUM])], solve.SolveConfig(candidates_per_turn=2))
-    assert (r.status, r.attempt_records[0].selected_index) == ("VERIFIED_SOLVED", 1)
-    r = solved(spark, [("Previous candidate", [SUM]), ("", [partial])])
-    assert [a.context_type for a in r.attempt_records] == ["INITIAL_SOLVE", "HIDDEN_REVIEW"] and r.status == "VERIFIED_SOLVED"
-    r = solved(spark, [("", [partial, SUM])], solve.SolveConfig(candidates_per_turn=2, rerank_with_reward_tests=True))
+    first = {"<repaired>": [wrong], "<reviewed>": [partial], "<unrewarded>": [partial], "<open>": [SUM]}
+    r = solved(spark, first, {"<": [SUM]}, repaired={}, reviewed={}, unrewarded={"rewarded": False}, blind={"visible": False}, open={"held": False})
+    assert (r["repaired"].status, r["repaired"].attempts, [a.context_type for a in r["repaired"].attempt_records]) == ("VERIFIED_SOLVED", 2, ["INITIAL_SOLVE", "VISIBLE_REPAIR"])
+    assert [a.context_type for a in r["reviewed"].attempt_records] == ["INITIAL_SOLVE", "HIDDEN_REVIEW"] and r["reviewed"].status == "VERIFIED_SOLVED"
+    assert (r["unrewarded"].status, r["unrewarded"].failure_reason, r["unrewarded"].attempts) == ("FAILED", "INTERNAL_EVAL_FAILED", 1)
+    assert r["blind"].failure_reason == "MISSING_VISIBLE_TESTS" and r["open"].status == "VISIBLE_SOLVED"
+    r = solved(spark, {"<": [partial, SUM]}, {}, solve.SolveConfig(candidates_per_turn=2, rerank_with_reward_tests=True, max_repair_turns=0), one={})["one"]
     assert (r.status, r.attempt_records[0].selected_index) == ("VERIFIED_SOLVED", 1)
-    r = solved(spark, [("", [partial])], solve.SolveConfig(max_repair_turns=1))
-    assert (r.status, r.failure_reason, r.attempt_records[-1].eval_result) == ("FAILED", "INTERNAL_REWARD_FAILED", None)
-    r = solved(spark, [("", [partial])], rewarded=False)
-    assert (r.status, r.failure_reason, r.attempts) == ("FAILED", "INTERNAL_EVAL_FAILED", 1)
-    assert solved(spark, [], visible=False).failure_reason == "MISSING_VISIBLE_TESTS"
-    assert solved(spark, [("", [SUM])], held=False).status == "VISIBLE_SOLVED"
+    r = solved(spark, {"<second>": [wrong, SUM], "<never>": [partial]}, {"<": [partial]}, solve.SolveConfig(candidates_per_turn=2, max_repair_turns=1), second={}, never={})
+    assert (r["second"].status, r["second"].attempt_records[0].selected_index) == ("VERIFIED_SOLVED", 1)
+    assert (r["never"].status, r["never"].failure_reason, r["never"].attempt_records[-1].eval_result) == ("FAILED", "INTERNAL_REWARD_FAILED", None)
 
 
 def test_compare_and_metrics(spark):

@@ -73,8 +73,10 @@ def test_equal_runs_happen_once(spark, tmp_path):
 
 def test_tasks_get_equal_shares_of_time(spark):
     runs = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("run"), F.when(F.col("id") % 50 == 0, 10.0).otherwise(0.5).alias("seconds"))
-    loads = sorted(r.n for r in dealt(runs, 8).groupBy("task").agg(F.sum("seconds").alias("n")).collect())
-    assert len(loads) == 8 and loads[-1] < 2 * loads[4] and loads[0] > loads[4] / 2
+    placed, tasks = dealt(runs, 8)
+    loads = sorted(r.n for r in placed.groupBy("task").agg(F.sum("seconds").alias("n")).collect())
+    assert dealt(runs.limit(3), 8)[1] == 3 and dealt(runs.limit(0), 8)[1] == 1
+    assert len(loads) == tasks == 8 and loads[-1] < 2 * loads[4] and loads[0] > loads[4] / 2
 
 
 def test_limits_in_reports(spark):

@@ -36,32 +36,33 @@ class ExecConfig:
         return self.tasks or 2 * spark.sparkContext.defaultParallelism
 
 
-#: Seconds of a problem without a time limit, and of starting a run, whatever its limit.
-DEFAULT_SECONDS, START_SECONDS = 2.0, 0.05
+#: Seconds of a problem without a time limit.
+DEFAULT_SECONDS = 2.0
 #: Buckets per task: their sums are what the driver sees of the runs.
 BUCKETS = 16
 OUTCOME = "run binary, stdout string, stderr string, returncode int, timed_out boolean, over boolean"
 
 
-def dealt(runs: DataFrame, tasks: int) -> DataFrame:
-    """``runs`` (run, seconds, ...) with ``task``: of equal shares of the seconds, as far as single runs allow."""
-    count = BUCKETS * tasks
+def dealt(runs: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """``runs`` (run, seconds, ...) with ``task``, and how many tasks there are: ``most``, but no more than runs, as starting
+    an interpreter takes as long as some twenty runs do. Tasks have equal shares of the seconds, as far as runs allow."""
+    count = BUCKETS * most
     bucketed = runs.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(count)).cast("int"))
-    sums = bucketed.groupBy("bucket").agg(F.sum("seconds").alias("n")).collect()  # a row per bucket at most
+    sums = bucketed.groupBy("bucket").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("runs")).collect()  # a row per bucket at most
+    tasks = max(1, min(most, sum(r.runs for r in sums)))
     place, load = [0] * count, [(0.0, k) for k in range(tasks)]
-    for row in sorted(sums, key=lambda r: (-r.n, r.bucket)):
+    for row in sorted(sums, key=lambda r: (-r.seconds, r.bucket)):
         held, task = heapq.heappop(load)
         place[row.bucket] = task
-        heapq.heappush(load, (held + row.n, task))
-    return bucketed.withColumn("task", F.get(F.array(*map(F.lit, place)), F.col("bucket"))).drop("bucket")
+        heapq.heappush(load, (held + row.seconds, task))
+    return bucketed.withColumn("task", F.get(F.array(*map(F.lit, place)), F.col("bucket"))).drop("bucket"), tasks
 
 
 def outcomes(runs: DataFrame, config: ExecConfig) -> DataFrame:
     """(of ``OUTCOME``) what each of ``runs`` (run, code, entry, stdin, seconds, memory) gives."""
     cap = config.max_output_bytes
-    # No more tasks than runs: starting an interpreter takes as long as some twenty runs do.
-    tasks = max(1, min(config.partitions(runs.sparkSession), runs.count()))
-    shares = dealt(runs, tasks).repartitionById(tasks, F.col("task")).sortWithinPartitions("entry", "code")
+    placed, tasks = dealt(runs, config.partitions(runs.sparkSession))
+    shares = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("entry", "code")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["run", "stdout", "stderr", "returncode", "timed_out", "over"]
