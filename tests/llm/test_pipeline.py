@@ -69,8 +69,8 @@ def test_classifier_without_both_classes():
 
 def test_columns_of_any_name_come_through_every_stage(spark):
     body = " ".join(f"w{k}" for k in range(60))
-    schema = "doc_id long, text string, score double, bad_doc int, kept_doc int, kept_hash int, own_hash int, gone int, left int, line int, words int, content int, content_id int, marks int, `a.b` int, __h int"
-    rows = [(k, text, 0.5, *range(k, k + 13)) for k, text in enumerate([body, body + " end", None, "", "other words stand here now and then again", body + "\n" + "line " * 9])] + [(None, "no id here at all", 0.1, *range(13))]
+    schema = "doc_id long, text string, score double, bad_doc int, kept_doc int, kept_hash int, own_hash int, gone int, left int, line int, words int, content int, content_id int, marks int, `a.b` int, __h int, __hash_of_lines int, __doc_of_lines int, hash_of_lines int, doc_of_lines int"
+    rows = [(k, text, 0.5, *range(k, k + 17)) for k, text in enumerate([body, body + " end", None, "", "other words stand here now and then again", body + "\n" + "line " * 9])] + [(None, "no id here at all", 0.1, *range(17))]
     df = spark.createDataFrame(rows, schema)
     labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
     items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20, 50))), (2, None), (3, "")], "item_id long, text string")
@@ -81,3 +81,12 @@ def test_columns_of_any_name_come_through_every_stage(spark):
     assert set(found) == {2, 3, 4, None}
     for stage in (lambda d: stages.keep_quality(d, df, labels), stages.dedup_lines, stages.keep_one_of_each, lambda d: stages.drop_contaminated(d, items)):
         assert stage(df.limit(0)).count() == 0
+
+
+def test_measures_give_way_in_any_case(spark, tmp_path):
+    """Columns that bear a measure's name, however it is written, are replaced by it, so that the mix can be written."""
+    df = spark.createDataFrame([(1, "a b c", "s", 7, 8), (2, "d", None, 7, 8)], "doc_id long, text string, source string, Size int, TAKEN int")
+    out = stages.mixed(df)
+    assert [c.lower() for c in out.columns] == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
+    out.write.parquet(str(tmp_path / "mix"))
+    assert {r["size"] for r in spark.read.parquet(str(tmp_path / "mix")).collect()} <= {1, 3}

@@ -61,24 +61,32 @@ def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (total or 0) <= limit else df
 
 
-#: Bits of a sieve, a fixed number: 2 MB that a cluster's executors get, whatever the size of the data.
-SIEVE_BITS = 24
+#: Least and greatest size of a sieve, as powers of two of bits: 8 KB to 8 MB, whatever the size of the data.
+SIEVE_BITS = 16, 26
 
 
-def sieve(hashes: DataFrame) -> DataFrame:
-    """One row with ``marks``: an array of 64-bit words with a bit for every value of the single column of ``hashes``."""
-    name = f"`{hashes.columns[0]}`"
-    spots = hashes.select(F.pmod(F.col(name), F.lit(1 << SIEVE_BITS)).alias("bit"))
+def _spots(value: Column, bits: Column) -> list[Column]:
+    """Two bits of a sieve for a 64-bit hash, from its low and its high half."""
+    return [F.pmod(value, bits), F.pmod(F.shiftrightunsigned(value, 32), bits)]
+
+
+def sieve(hashes: DataFrame) -> Column:
+    """An array of 64-bit words with two bits for every hash in the single column of ``hashes``, of some 64 bits a hash
+    within ``SIEVE_BITS``, so that one in a thousand others passes. It is a scalar subquery, computed once and no part of any
+    row; ``sieved`` looks hashes up."""
+    low, high = SIEVE_BITS
+    bits = min(high, max(low, (64 * hashes.count()).bit_length()))
+    spots = hashes.select(F.explode(F.array(*_spots(F.col(f"`{hashes.columns[0]}`"), F.lit(1 << bits)))).alias("bit"))
     words = spots.groupBy(F.shiftright("bit", 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))).alias("word"))
-    every = hashes.sparkSession.range(1 << (SIEVE_BITS - 6)).join(words, "id", "left")
+    every = hashes.sparkSession.range(1 << (bits - 6)).join(words, "id", "left")
     row = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("w"))
-    return checkpointed(row.select(F.transform("w", lambda x: x["word"]).alias("marks")))
+    return checkpointed(row.select(F.transform("w", lambda x: x["word"]).alias("marks"))).scalar()
 
 
 def sieved(marks: Column, value: Column) -> Column:
-    """False only for values that have no bit in ``marks``."""
-    spot = F.pmod(value, F.lit(1 << SIEVE_BITS))
-    return F.getbit(F.element_at(marks, (F.shiftright(spot, 6) + 1).cast("int")), spot.bitwiseAND(63).cast("int")) == 1
+    """False only for hashes that lack a bit in ``marks``. Not within lambda functions, where subqueries can't stand."""
+    one, two = (F.getbit(F.element_at(marks, (F.shiftright(s, 6) + 1).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in _spots(value, F.size(marks).cast("long") * 64))
+    return one & two
 
 
 def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -87,7 +95,7 @@ def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     Where ``wanted`` is too large to be broadcast, whole texts would be shuffled; a sieve keeps most others out of that.
     """
     marks = sieve(wanted.select(F.xxhash64("d", "h").alias("x")))
-    rows = docs.withColumn("__h", F.xxhash64("text")).crossJoin(F.broadcast(marks)).where(sieved(F.col("marks"), F.xxhash64("doc_id", "__h"))).drop("marks")
+    rows = docs.withColumn("__h", F.xxhash64("text")).where(sieved(marks, F.xxhash64("doc_id", "__h")))
     return rows.join(hinted(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h"))).drop("__h", "d")
 
 

@@ -25,7 +25,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import SPACE, checkpointed, let, word_count
+from verdict.llm.common import SPACE, checkpointed, word_count
 
 #: Stands for the condition that a smaller id has the same text, anywhere in the table.
 REPEATED = "repeated"

@@ -221,8 +221,8 @@ def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 
     # Contents that share a half with another content.
     shared = checkpointed(contents.select(F.explode("halves").alias("half")).groupBy("half").count().where("count > 1").select("half"))
-    marked = contents.crossJoin(F.broadcast(sieve(shared))).select("content", "first", F.filter("halves", lambda h: sieved(F.col("marks"), h)).alias("halves"))
-    likely = marked.select("content", "first", F.explode("halves").alias("half")).join(hinted(shared), "half", "left_semi").select("content", "first").distinct()
+    halved = contents.select("content", "first", F.explode("halves").alias("half")).where(sieved(sieve(shared), F.col("half")))
+    likely = halved.join(hinted(shared), "half", "left_semi").select("content", "first").distinct()
 
     # Their words, from the line where each stands first.
     wanted = checkpointed(likely.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).agg(F.collect_list("first.line").alias("wanted")))
@@ -250,10 +250,10 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     Documents of which nothing but blank lines is left go; of such as never had words, all stay.
     """
     names = {c.lower() for c in docs.columns}
-    gone, left = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in names) for base in ("gone", "left"))
+    gone, left, doc, own = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in names) for base in ("gone", "left", "doc_of_lines", "hash_of_lines"))
     dropped = line_decisions(docs.select("doc_id", F.col(text).alias("text")), min_words, near_words)
-    lines = dropped.groupBy(F.col("doc_id").alias("__doc_of_lines"), F.col("text_hash").alias("__hash_of_lines")).agg(F.collect_set("line").alias(gone))
-    joined = docs.join(lines, F.col("doc_id").eqNullSafe(F.col("__doc_of_lines")) & (F.xxhash64(F.col(text)) == F.col("__hash_of_lines")), "left")
+    lines = dropped.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(own)).agg(F.collect_set("line").alias(gone))
+    joined = docs.join(lines, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(own)), "left")
     rest = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line, k: ~F.coalesce(F.array_contains(gone, k), F.lit(False)))
     joined = joined.withColumn(left, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")))
     joined = joined.where(F.col(gone).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))

@@ -62,16 +62,12 @@ def anchored_windows(docs: DataFrame, items: DataFrame, gap: str, shingle: int =
     own = [items.where(F.col("n") == n).select("n", F.size("words").alias("size"), F.posexplode(shingle_hashes(word_hashes(F.col("words")), n)).alias("shift", "hash")) for n in sizes]
     none = items.where(F.lit(False)).select("n", F.size("words").alias("size"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("hash"))
     anchors = checkpointed(reduce(DataFrame.unionByName, own, none).distinct())
-    # A document's shingles are hashed in place, and only those that have a bit among the anchors' leave its array.
-    kind = "array<struct<n:int,at:int,hash:bigint>>"
-
-    def told(hashes: Column, n: int) -> Column:
-        spots = F.transform(shingle_hashes(hashes, n), lambda h, k: F.when(sieved(F.col("marks"), h), F.struct(F.lit(n).alias("n"), k.alias("at"), h.alias("hash"))))
-        return F.filter(spots, lambda x: x.isNotNull()).cast(kind)
-
-    spread = docs.select("doc_id", "text").crossJoin(F.broadcast(sieve(anchors.select("hash"))))
-    spread = spread.select("doc_id", F.xxhash64("text").alias("text_hash"), let(word_hashes(words(F.lower("text"), gap)), lambda w: F.concat(F.array().cast(kind), *(told(w, n) for n in sizes))).alias("told"))
-    hits = spread.select("doc_id", "text_hash", F.explode("told").alias("t")).select("doc_id", "text_hash", "t.n", "t.at", "t.hash").join(hinted(anchors), ["n", "hash"])
+    # A document's shingles are hashed in place, and only those that have a bit among the anchors' go on.
+    marks = sieve(anchors.select("hash"))
+    kinds = lambda w: F.array(*(F.struct(F.lit(n).alias("n"), shingle_hashes(w, n).alias("hashes")) for n in sizes or [shingle]))
+    spread = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(let(word_hashes(words(F.lower("text"), gap)), kinds)))
+    told = spread.select("doc_id", "text_hash", "n", F.posexplode("hashes").alias("at", "hash")).where(sieved(marks, F.col("hash")))
+    hits = told.join(hinted(anchors), ["n", "hash"])
     hits = hits.select("doc_id", "text_hash", F.greatest(F.col("at") - F.col("shift"), F.lit(0)).alias("start"), "size")
     spans = checkpointed(hits.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "size")).alias("spans")))
     cut = looked_up(docs, spans)
