@@ -222,7 +222,8 @@ def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     # Contents that share a half with another content.
     shared = checkpointed(contents.select(F.explode("halves").alias("half")).groupBy("half").count().where("count > 1").select("half"))
     halved = contents.select("content", "first", F.explode("halves").alias("half")).where(sieved(sieve(shared), F.col("half")))
-    likely = halved.join(hinted(shared), "half", "left_semi").select("content", "first").distinct()
+    # An inner join, as a semi-join would be pushed below the sieve and shuffle all halves.
+    likely = halved.join(hinted(shared), "half").select("content", "first").distinct()
 
     # Their words, from the line where each stands first.
     wanted = checkpointed(likely.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).agg(F.collect_list("first.line").alias("wanted")))
