@@ -43,3 +43,18 @@ def test_batches_add_up_and_repeat(spark, tmp_path):
     shutil.rmtree(f"{out}/summary/batch={last}")
     summary.start(summary.read(spark, log, 1), out, checkpoint).awaitTermination(120)
     assert state(spark, out) == figures(seen)
+
+
+def test_groups_are_held_without_python(spark, tmp_path):
+    """A batch of many groups takes no call of Python for each; groups that vary only across batches are told."""
+    log, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
+    seen = []
+    for total in (0.0, 1.0, 1.0):
+        rows = [(k % 7, 0, f"p{k}", total if k % 3 == 0 else 0.5, 1, "h", ["a"] if k % 2 else None) for k in range(600)]
+        seen += rows
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(log)
+        query = summary.start(summary.read(spark, log, 1), out, checkpoint)
+        query.awaitTermination(120)
+        assert state(spark, out) == figures(seen)
+        held = [s.operatorName for p in query.recentProgress for s in p.stateOperators]
+        assert held and not any("Python" in name or "Pandas" in name for name in held)
