@@ -1,5 +1,6 @@
 import random
 
+from verdict.llm import line_dedup
 from verdict.llm.line_dedup import clean, line_decisions
 
 
@@ -77,3 +78,25 @@ def test_edges(spark):
     left = {(r.doc_id, r.text) for r in clean(df).collect()}
     assert left == {(1, None), (2, ""), (3, "a b c\n\nx"), (5, long), (None, "p q r s"), (8, "one two\none two")}
     assert clean(df).columns == df.columns and clean(df.limit(0)).count() == 0
+
+
+def shuffled_records(spark):
+    store, done = spark.sparkContext._jsc.sc().statusStore(), 0
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator()
+    while stages.hasNext():
+        done += stages.next().shuffleWriteRecords()
+    return done
+
+
+def test_variants_are_shuffled_once_and_rows_given_twice_count_once(spark, monkeypatch):
+    """Variants go through one shuffle of keys alone, even where no side is small enough to be broadcast."""
+    monkeypatch.setattr(line_dedup, "hinted", lambda df: df.hint("merge"))
+    tail = " ".join(f"w{k}" for k in range(30))
+    rows = [(d, "\n".join(" ".join(f"x{d}y{n}z{k}" for k in range(29)) + f" v{d} " + tail for n in range(20))) for d in range(40)]
+    near = rows[3][1].split("\n")[5].replace("v3", "other")
+    rows += [(99, near), (99, near)]
+    before = shuffled_records(spark)
+    got = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.line, r.kept_doc_id, r.kept_line, r.distance) for r in got] == [(99, 0, 3, 5, 1)]
+    variants = 60 * 20 * 40
+    assert shuffled_records(spark) - before < 1.5 * variants
