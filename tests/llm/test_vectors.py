@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -116,3 +117,32 @@ def test_floats_and_empty_tables(spark):
     assert sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())) == [(2, 0, 2, True), (3, 1, 3, True), (5, 1, 3, False), (9, 0, 9, True)]
     none = near_vectors(spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>"))
     assert sorted(map(tuple, none.collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def shuffle_bytes(spark):
+    files, total = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), 0
+    while files.hasNext():
+        file = files.next()
+        total += file.length() if file.getName().startswith("shuffle_") else 0
+    return total
+
+
+def test_pairs_of_cells_leave_no_shuffle_files(spark, monkeypatch):
+    """Many cells that no bound prunes: tiles of several rounds find what all pairs have, and their shuffle files go."""
+    monkeypatch.setattr(module, "CELL_BYTES", 8_000)
+    monkeypatch.setattr(module, "ROUND_BYTES", 1, raising=False)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(1500, 16))
+    points[1000:] = points[:500] + rng.normal(size=(500, 16)) * 0.02
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    before = shuffle_bytes(spark)
+    result = near_vectors(df, 0.95)
+    for _ in range(20):  # files are removed in the background
+        if shuffle_bytes(spark) - before < points.nbytes:
+            break
+        time.sleep(0.5)
+    assert shuffle_bytes(spark) - before < points.nbytes
+    near = unit(points) @ unit(points).T >= 0.95
+    np.fill_diagonal(near, False)
+    least = components(near)
+    assert sorted(map(tuple, result.collect())) == [(k, int(near[k].sum()), least[k], least[k] == k) for k in range(1500)]

@@ -6,7 +6,9 @@
    A vector is in one cell; a cell takes ``CELL_BYTES``, whatever the size of the group it comes from.
 3. Each cell's own cover tree is built in a task (``cover_tree``), which also traverses it against itself.
 4. Pairs of nodes descend from the roots in rounds of joins; covering radii prune them. Pairs of cells that remain meet in
-   a task each, by dual traversal of their trees. A task returns weights per class and links that join components only.
+   tiles, all pairs of two blocks of cells in a task, by dual traversal of their trees. A task returns weights per class and
+   links that join components only. Tiles are dealt over rounds that shuffle about as much as the cells take, or
+   ``ROUND_BYTES``; a round's shuffle files go with it, so disk grows with the vectors and not with the pairs of cells.
 
 Nothing is left to chance: the sample tells where cells are cut, not what is compared. The bounds prune vectors whose
 groups are apart, as those of texts are; without any structure (independent random directions) triangle bounds in many
@@ -21,11 +23,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.llm import cover_tree
@@ -34,6 +37,21 @@ from verdict.llm.components import components
 
 #: Bytes of the vectors of a cell; vectors of a node that are looked at to choose its centres; most centres of a node.
 CELL_BYTES, SAMPLE, FAN = 4_000_000, 1024, 64
+#: Most cells of a block, about; bytes that a round of tiles may shuffle, at least.
+BLOCK, ROUND_BYTES = 8, 1_000_000_000
+#: Spark's setting by which a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run within leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def unit_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -196,13 +214,18 @@ def within_cells(cells: DataFrame) -> DataFrame:
 
 def between_cells(cells: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """(of ``FOUND``) the same of pairs of cells; links are only those that join groups of the two cells."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    n = cells.count()
+    blocks = -(-n // max(1, min(BLOCK, n // 12)))
+    one, two = (F.pmod(F.xxhash64(c), F.lit(max(1, blocks))) for c in "ab")
+    tiled = checkpointed(pairs.select("a", "b", F.least(one, two).alias("p"), F.greatest(one, two).alias("q")))
+    ends = checkpointed(tiled.select(F.col("p").alias("i"), F.col("q").alias("j"), F.explode(F.array("a", "b")).alias("node")).distinct())
+    rounds = max(1, -(-ends.count() * CELL_BYTES // max(ROUND_BYTES, n * CELL_BYTES)))
+    turn = lambda p, q: F.pmod(F.xxhash64(q, p), F.lit(rounds))
 
     def tree(row: dict, n: int) -> cover_tree.Tree:
         return cover_tree.Tree(np.frombuffer(row["points"], np.float64).reshape(n, -1), np.arange(n), *np.frombuffer(row["nodes"], np.int64).reshape(4, -1), np.frombuffer(row["radii"], np.float64))
 
-    def meet(block: pa.Table) -> pa.Table:
-        one, two = sorted(block.to_pylist(), key=lambda row: row["node"])
+    def meet(one: dict, two: dict) -> pa.Table:
         (h, w, _, x), (g, v, _, y) = unpacked(one), unpacked(two)
         before = np.concatenate([x, y + len(h)])
         links = cover_tree.Links(np.concatenate([w, v]), before)
@@ -211,14 +234,31 @@ def between_cells(cells: DataFrame, pairs: DataFrame, least: float) -> DataFrame
         moved = np.flatnonzero((before == np.arange(len(before))) & (links.labels != before))
         return found_rows(h + g, links.total(), moved, links.labels[moved])
 
-    return cells.join(hinted(ends), "node").groupBy("a", "b").applyInArrow(meet, FOUND)
+    def tile(held: pa.Table, todo: pa.Table) -> pa.Table:
+        rows = {row["node"]: row for row in held.to_pylist()}
+        return pa.concat_tables([meet(rows[a], rows[b]) for a, b in zip(todo.column("a").to_pylist(), todo.column("b").to_pylist())])
+
+    found = []
+    for k in range(rounds):
+        held = cells.join(hinted(ends.where(turn("i", "j") == k)), "node").groupBy("i", "j")
+        found.append(checkpointed(held.cogroup(tiled.where(turn("p", "q") == k).groupBy("p", "q")).applyInArrow(tile, FOUND)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``: how many other vectors have a cosine of ``least`` or
     more with it, the least id that links reach, and whether that is its own."""
-    rows = checkpointed(unit_vectors(vectors, key, value))
-    classes = rows.where("h IS NOT NULL").groupBy("h").agg(F.first("d").alias("d"), F.first("x").alias("x"), F.count("*").alias("weight"), F.min("vec_id").alias("least_id"))
+    with released(vectors.sparkSession):
+        rows, named = linked(unit_vectors(vectors, key, value), least)
+    out = rows.join(named, F.col("h") == F.col("class"), "left")
+    component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def linked(units: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, h) of all vectors, and (class, n_links, component_id) of all classes of equal ones."""
+    rows = checkpointed(units.select("vec_id", "h"))
+    classes = units.where("h IS NOT NULL").groupBy("h").agg(F.first("d").alias("d"), F.first("x").alias("x"), F.count("*").alias("weight"), F.min("vec_id").alias("least_id"))
     classes = checkpointed(classes)
     root = F.col("d").cast("string")
     placed = classes.select("h", "d", "x", "weight", root.alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(2.0).alias("far"), F.lit(True).alias("open"))
@@ -239,7 +279,4 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
     named = classes.select("h", "weight", "least_id").join(counted, "h", "left").join(roots.withColumnRenamed("node", "h"), "h", "left")
     named = checkpointed(named.select("h", "weight", "least_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "h").alias("root")))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = checkpointed(named.join(ids, "root").select(F.col("h").alias("class"), (F.col("weight") - 1 + F.col("n")).alias("n_links"), "component_id"))
-    out = rows.select("vec_id", "h").join(named, F.col("h") == F.col("class"), "left")
-    component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return rows, checkpointed(named.join(ids, "root").select(F.col("h").alias("class"), (F.col("weight") - 1 + F.col("n")).alias("n_links"), "component_id"))
