@@ -6,6 +6,8 @@ changes as they are now. The second reads the groups changed and holds which one
 it has not met yet is counted. So a batch costs what it holds, whatever came before, and whether a group varies is exact,
 however its rows are spread over batches. Everything a batch writes goes under its number: one that is repeated starts from
 the same state and replaces itself, and groups that come again are not counted again.
+
+Counts of reasons alone need no group: ``start_reasons`` adds what a batch holds to the counts stored for the one before.
 """
 
 from __future__ import annotations
@@ -70,6 +72,20 @@ def start(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return second.outputMode("append").trigger(availableNow=True).start()
 
 
+def start_reasons(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Brings the counts of reasons alone at ``out``, a folder of their own, up to date with all files there are, and ends."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        now = batch.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("reason").alias("kind"), "reason", "n")
+        if io.exists(batch.sparkSession, f"{out}/summary/batch={number - 1}"):
+            before = batch.sparkSession.read.schema(now.schema).parquet(f"{out}/summary/batch={number - 1}")
+            now = now.unionByName(before).groupBy("kind", "reason").agg(F.sum("n").alias("n"))
+        now.write.mode("overwrite").parquet(f"{out}/summary/batch={number}")
+
+    given = log.select(F.explode("reasons").alias("reason"))
+    return given.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _store(now: DataFrame, path: str, number: int, keys: list[str]) -> None:
     """Writes the rows of batch ``number``, and those of the batch before that it has not changed."""
     spark = now.sparkSession
