@@ -29,3 +29,11 @@ def test_look_up_costs_little_beside_the_scan(spark):
     assert sorted(r.doc_id for r in found.collect()) == list(range(7, 40_000, 1000))
     bare = docs.select("doc_id", F.xxhash64("text"))
     assert min(seconds(found) for _ in range(3)) < 2 * min(seconds(bare) for _ in range(3)) + 0.5
+
+
+def test_a_sieve_is_sent_once_a_stage(spark):
+    """Each mention of a scalar subquery is a copy of its value in a stage's closure, which the driver holds and sends."""
+    rows = spark.range(1000).withColumn("x", F.xxhash64("id"))
+    kept = rows.where(sieved(sieve(rows.where("id < 100").select("x")), F.col("x")))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery#") == 1
+    assert {r.id for r in kept.collect()} >= set(range(100)) and kept.count() < 120

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,28 +66,41 @@ def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 SIEVE_BITS = 16, 26
 
 
-def _spots(value: Column, bits: Column) -> list[Column]:
-    """Two bits of a sieve for a 64-bit hash, from its low and its high half."""
-    return [F.pmod(value, bits), F.pmod(F.shiftrightunsigned(value, 32), bits)]
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def sieve(hashes: DataFrame) -> Column:
-    """An array of 64-bit words with two bits for every hash in the single column of ``hashes``, of some 64 bits a hash
-    within ``SIEVE_BITS``, so that one in a thousand others passes. It is a scalar subquery, computed once and no part of any
-    row; ``sieved`` looks hashes up."""
+def _spot(value: Column, words: Column) -> tuple[Column, Column]:
+    """The word of a sieve for a 64-bit hash, by its low bits, and two bits of that word, by its high ones."""
+    at = lambda k: F.shiftrightunsigned(value, k).cast("int").bitwiseAND(63)
+    return F.pmod(value, words).cast("int"), _bit(at(58)).bitwiseOR(_bit(at(52)))
+
+
+class Sieve(NamedTuple):
+    """A scalar subquery of an array of 64-bit words, and their number."""
+
+    marks: Column
+    words: int
+
+
+def sieve(hashes: DataFrame) -> Sieve:
+    """64-bit words, one of which has two bits for every hash in the single column of ``hashes``, of some 64 bits a hash within
+    ``SIEVE_BITS``, so that one in some five hundred others passes. They are a scalar subquery, computed once and no part of
+    any row; ``sieved`` looks hashes up."""
     low, high = SIEVE_BITS
-    bits = min(high, max(low, (64 * hashes.count()).bit_length()))
-    spots = hashes.select(F.explode(F.array(*_spots(F.col(f"`{hashes.columns[0]}`"), F.lit(1 << bits)))).alias("bit"))
-    words = spots.groupBy(F.shiftright("bit", 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))).alias("word"))
-    every = hashes.sparkSession.range(1 << (bits - 6)).join(words, "id", "left")
+    count = 1 << (min(high, max(low, (64 * hashes.count()).bit_length())) - 6)
+    word, bits = _spot(F.col(f"`{hashes.columns[0]}`"), F.lit(count).cast("long"))
+    words = hashes.select(word.cast("long").alias("id"), bits.alias("bits")).groupBy("id").agg(F.bit_or("bits").alias("word"))
+    every = hashes.sparkSession.range(count).join(words, "id", "left")
     row = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("w"))
-    return checkpointed(row.select(F.transform("w", lambda x: x["word"]).alias("marks"))).scalar()
+    return Sieve(checkpointed(row.select(F.transform("w", lambda x: x["word"]).alias("marks"))).scalar(), count)
 
 
-def sieved(marks: Column, value: Column) -> Column:
-    """False only for hashes that lack a bit in ``marks``. Not within lambda functions, where subqueries can't stand."""
-    one, two = (F.getbit(F.element_at(marks, (F.shiftright(s, 6) + 1).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in _spots(value, F.size(marks).cast("long") * 64))
-    return one & two
+def sieved(marks: Sieve, value: Column) -> Column:
+    """False only for hashes that lack a bit in ``marks``. Not within lambda functions, where subqueries can't stand. The words
+    stand in it once: every mention of a subquery is a copy of its value in what the driver sends out for a stage."""
+    word, bits = _spot(value, F.lit(marks.words).cast("long"))
+    return F.element_at(marks.marks, word + 1).bitwiseAND(bits) == bits
 
 
 def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpointed, hinted, looked_up, sieve, sieved, slices
+from verdict.llm.common import Sieve, checkpointed, hinted, looked_up, sieve, sieved, slices
 from verdict.llm.jaccard import INVERSE, IS_SPACE, MULTIPLIER, SLICE, mixed, powers
 
 MIN_WORDS, MIN_CHARS, NEAR_WORDS = 3, 30, 8
@@ -227,7 +227,7 @@ def survivors(members: DataFrame) -> DataFrame:
     return members.join(kept, "group").where(F.col("kept_first") < F.col("first")).groupBy("content").agg(F.min("kept_first").alias("near_first"))
 
 
-def marks_of(rows: DataFrame) -> Column:
+def marks_of(rows: DataFrame) -> Sieve:
     """A sieve of the contents of ``rows``, by their ``xxhash64``."""
     return sieve(rows.select(F.xxhash64("content").alias("x")))
 
